@@ -1,8 +1,11 @@
-"""Use an expression several times without repeating it in the plan."""
+"""Use an expression several times without repeating it in the plan.
 
-from __future__ import annotations
+The larger functions are written as SQL text over a named value. That keeps a
+function one expression, lets its Column form and its SQL name share the text, and
+needs a handful of calls to the JVM where building it from Columns needs hundreds.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +15,28 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def sql_string(value: str) -> str:
+    """``value`` as a SQL string literal, unprintable characters as escapes."""
+    out = []
+    for ch in value:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif " " <= ch <= "~":
+            out.append(ch)
+        else:
+            out.append(f"\\u{ord(ch):04X}" if ord(ch) < 0x10000 else f"\\U{ord(ch):08X}")
+    return "'" + "".join(out) + "'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_over(c: Column | str, body: str, name: str = "t") -> Column:
+    """The SQL text ``body`` over a column it calls ``name``, evaluated once per row."""
+    bound = F.call_function("transform", F.array(as_column(c)), F.expr(f"{name} -> {body}"))
+    return F.get(bound, F.lit(0))
 
 
 def any_of(conditions: list[Column]) -> Column:

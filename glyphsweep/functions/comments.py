@@ -1,4 +1,7 @@
-"""Comment functions: remove the comments whose text carries a token."""
+"""Comment functions: remove the comments whose text carries a token.
+
+The functions are SQL text over the value named ``t`` (see ``bind``).
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.bind import as_column, let
+from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
 from glyphsweep.functions.dialect import blank_class, search_any
 from glyphsweep.functions.messages import mentions_trace_word
 from glyphsweep.rules import (
@@ -21,16 +24,12 @@ from glyphsweep.rules import (
 )
 
 _BLANK = blank_class()
-_BLANK_LINE = rf"\A{_BLANK}*+\z"
+_BLANK_LINE = sql_string(rf"\A{_BLANK}*+\z")
 _BLANK_BUT_LF = rf"[{_BLANK}&&[^\n]]"
 # The first blank line of a run is kept as it is, the others go.
 _BLANK_RUN = rf"(?<![^\n])({_BLANK_BUT_LF}*+)(?:\n{_BLANK_BUT_LF}*+(?=\n|\z))++"
 
 
-def _is_blank(c: Column) -> Column:
-    return c.rlike(_BLANK_LINE)
-
-
 def has_ai_token(
     c: Column | str, extra: Iterable[LineRule] = (), exclude: Iterable[str] = ()
 ) -> Column:
@@ -46,6 +45,37 @@ def trim_trailing(c: Column | str) -> Column:
     return F.rtrim(as_column(c), F.lit(" \t"))
 
 
+def _trim_sql(text: str) -> str:
+    return f"rtrim(' \\t', {text})"
+
+
+def _blocks_sql(opening: str, closing: str, token: str) -> str:
+    # An unclosed block is matched to the end of the text, so its opening is not tried
+    # again from every later one; it is told apart by its end.
+    span = sql_string(rf"(?s){re.escape(opening)}.*?(?:{re.escape(closing)}|\z)")
+    parts = f"named_struct('gaps', split(t, {span}), 'blocks', regexp_extract_all(t, {span}, 0))"
+    verdict = f"""CASE
+        WHEN NOT (endswith(block, {sql_string(closing)})
+          AND char_length(block) >= {len(opening) + len(closing)}
+          AND block RLIKE {token}) THEN 'keep'
+        WHEN substring_index(p.gaps[i], '\\n', -1) RLIKE {_BLANK_LINE} THEN 'alone'
+        ELSE 'inline' END"""
+    # A block alone on its lines takes the line feed after it from the next gap.
+    rest = (
+        "CASE WHEN get(v, i - 1) = 'alone' AND startswith(gap, '\\n') THEN substr(gap, 2) ELSE gap END"
+    )
+    piece = f"""CASE get(v, i)
+        WHEN 'alone' THEN
+          substr(rest, 1, char_length(rest) - char_length(substring_index(rest, '\\n', -1)))
+        WHEN 'inline' THEN {_trim_sql("rest")}
+        WHEN 'keep' THEN concat(rest, p.blocks[i])
+        ELSE rest END"""
+    joined = f"array_join(transform(p.gaps, (gap, i) -> {sql_let(rest, 'rest', piece)}), '')"
+    verdicts = f"transform(p.blocks, (block, i) -> {verdict})"
+    stripped = sql_let(parts, "p", sql_let(verdicts, "v", joined))
+    return f"CASE WHEN contains(t, {sql_string(opening)}) THEN {stripped} ELSE t END"
+
+
 def strip_blocks(
     c: Column | str, opening: str, closing: str,
     extra: Iterable[LineRule] = (), exclude: Iterable[str] = (),
@@ -55,49 +85,8 @@ def strip_blocks(
     A block alone on its lines goes with its indentation and the line feed after it;
     one behind code goes with the blanks before it. A block that is never closed stays.
     """
-    token = search_any(comment_rules(extra, exclude))
-    # An unclosed block is matched to the end of the text, so its opening is not tried
-    # again from every later one; it is told apart below.
-    span = rf"(?s){re.escape(opening)}.*?(?:{re.escape(closing)}|\z)"
-    keep, alone, inline = F.lit(0), F.lit(1), F.lit(2)
-
-    def verdict(p: Column, block: Column, i: Column) -> Column:
-        closed = block.endswith(closing) & (
-            F.char_length(block) >= len(opening) + len(closing)
-        )
-        indent = F.substring_index(F.get(p["gaps"], i), "\n", -1)
-        return (
-            F.when(~(closed & block.rlike(token)), keep).when(_is_blank(indent), alone)
-            .otherwise(inline)
-        )
-
-    def rejoin(p: Column) -> Column:
-        def piece(verdicts: Column, gap: Column, i: Column) -> Column:
-            after_alone = (i > 0) & (F.get(verdicts, i - 1) == alone)
-            rest = F.when(after_alone & gap.startswith("\n"), F.substr(gap, F.lit(2))).otherwise(gap)
-            mine = F.get(verdicts, i)
-            last_line = F.char_length(F.substring_index(rest, "\n", -1))
-            return (
-                F.when(mine == alone, F.substr(rest, F.lit(1), F.char_length(rest) - last_line))
-                .when(mine == inline, trim_trailing(rest))
-                .when(mine == keep, F.concat(rest, F.get(p["blocks"], i)))
-                .otherwise(rest)
-            )
-
-        verdicts = F.transform(p["blocks"], lambda b, i: verdict(p, b, i))
-        return let(
-            verdicts,
-            lambda v: F.array_join(F.transform(p["gaps"], lambda g, i: piece(v, g, i)), ""),
-        )
-
-    def whole(text: Column) -> Column:
-        parts = F.struct(
-            F.split(text, span).alias("gaps"),
-            F.regexp_extract_all(text, F.lit(span), F.lit(0)).alias("blocks"),
-        )
-        return F.when(F.contains(text, F.lit(opening)), let(parts, rejoin)).otherwise(text)
-
-    return let(as_column(c), whole)
+    token = sql_string(search_any(comment_rules(extra, exclude)))
+    return sql_over(c, _blocks_sql(opening, closing, token))
 
 
 def comment_start_pattern(token: str) -> str:
@@ -113,6 +102,17 @@ def comment_start_pattern(token: str) -> str:
     return rf"""(?s)\A((?:[^"'`{lead}]++{partial}{quoted})*+)({re.escape(token)}.*)\z"""
 
 
+def _line_comments_sql(comment: str, token: str) -> str:
+    start = sql_string(comment_start_pattern(comment))
+    code = f"regexp_extract(line, {start}, 1)"
+    cleaned = f"""CASE
+        WHEN NOT (contains(line, {sql_string(comment)}) AND line RLIKE {start}
+          AND regexp_extract(line, {start}, 2) RLIKE {token}) THEN line
+        WHEN {code} RLIKE {_BLANK_LINE} THEN NULL
+        ELSE {_trim_sql(code)} END"""
+    return f"array_join(array_compact(transform(split(t, '\\n'), line -> {cleaned})), '\\n')"
+
+
 def strip_line_comments(
     c: Column | str, token: str,
     extra: Iterable[LineRule] = (), exclude: Iterable[str] = (),
@@ -122,24 +122,8 @@ def strip_line_comments(
     A line that is nothing but such a comment goes; behind code, the comment goes with
     the blanks before it.
     """
-    ai = search_any(comment_rules(extra, exclude))
-    split_line = comment_start_pattern(token)
-
-    def cleaned(line: Column) -> Column:
-        code = F.regexp_extract(line, split_line, 1)
-        marked = (
-            F.contains(line, F.lit(token))
-            & line.rlike(split_line)
-            & F.regexp_extract(line, split_line, 2).rlike(ai)
-        )
-        return (
-            F.when(~marked, line)
-            .when(_is_blank(code), F.lit(None).cast("string"))
-            .otherwise(trim_trailing(code))
-        )
-
-    lines = F.transform(F.split(as_column(c), "\n"), cleaned)
-    return F.array_join(F.filter(lines, lambda line: line.isNotNull()), "\n")
+    ai = sql_string(search_any(comment_rules(extra, exclude)))
+    return sql_over(c, _line_comments_sql(token, ai))
 
 
 def collapse_blank_lines(c: Column | str) -> Column:
@@ -147,18 +131,20 @@ def collapse_blank_lines(c: Column | str) -> Column:
     return F.regexp_replace(as_column(c), _BLANK_RUN, "$1")
 
 
-def _clean_with(
-    c: Column, syntax: CommentSyntax, extra: Iterable[LineRule], exclude: Iterable[str]
-) -> Column:
-    text = c
+def _clean_sql(syntax: CommentSyntax, token: str) -> str:
+    steps = []
     if syntax.block_open:
-        text = strip_blocks(text, syntax.block_open, syntax.block_close, extra, exclude)
+        steps.append(_blocks_sql(syntax.block_open, syntax.block_close, token))
     if syntax.doc_open:
-        text = strip_blocks(text, syntax.doc_open, syntax.doc_close, extra, exclude)
+        steps.append(_blocks_sql(syntax.doc_open, syntax.doc_close, token))
     if syntax.html:
-        text = strip_blocks(text, "<!--", "-->", extra, exclude)
-    text = strip_line_comments(text, syntax.line_token, extra, exclude)
-    return let(text, lambda t: F.when(t == c, t).otherwise(collapse_blank_lines(t)))
+        steps.append(_blocks_sql("<!--", "-->", token))
+    steps.append(_line_comments_sql(syntax.line_token, token))
+    text = "t"
+    for step in steps:
+        text = sql_let(text, "t", step)
+    collapsed = f"regexp_replace(done, {sql_string(_BLANK_RUN)}, '$1')"
+    return sql_let(text, "done", f"CASE WHEN done = t THEN done ELSE {collapsed} END")
 
 
 def clean_comments(
@@ -176,11 +162,12 @@ def clean_comments(
     def style(s: CommentSyntax) -> tuple:
         return (s.line_token, s.block_open or "", s.doc_open or "", s.html)
 
+    token = sql_string(search_any(comment_rules(extra, exclude)))
     known = ext.isin(*SOURCE_EXTENSIONS)
     cleaned = F.when(~(known & has_ai_token(c, extra, exclude)), c)
     for _, group in groupby(sorted(COMMENT_SYNTAX, key=style), key=style):
         members = list(group)
         cleaned = cleaned.when(
-            ext.isin(*[s.ext for s in members]), _clean_with(c, members[0], extra, exclude)
+            ext.isin(*[s.ext for s in members]), sql_over(c, _clean_sql(members[0], token))
         )
     return cleaned.otherwise(c)

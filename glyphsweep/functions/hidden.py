@@ -4,6 +4,8 @@ Every function takes the same options (``typography``, ``keep_zwj``,
 ``keep_variation_selectors``, ``extra``) and derives its regex from the same rules,
 so a text has findings exactly when it contains hidden characters, and exactly then
 stripping changes it. All of them are stateless per row and work on streams.
+
+``*_sql`` give the SQL text of a function over the value named ``t``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.bind import any_of, as_column, let
+from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
 from glyphsweep.functions.dialect import hidden_class
 from glyphsweep.rules import (
     HIDDEN_RULES,
@@ -44,10 +46,8 @@ def is_binary(c: Column | str) -> Column:
     return F.contains(c, F.lit(bytearray(b"\0"))) | ~F.is_valid_utf8(c.cast("string"))
 
 
-def _needs_scan(c: Column, rules: Iterable[CharRule]) -> Column | None:
-    """A cheap condition without which no rule can match; None if there is none."""
-    ascii_rule = any(lo < 0x80 for rule in rules for lo, _ in rule.ranges)
-    return None if ascii_rule else ~is_ascii(c)
+def _ascii_is_clean(rules: Iterable[CharRule]) -> bool:
+    return all(lo >= 0x80 for rule in rules for lo, _ in rule.ranges)
 
 
 def contains_hidden(c: Column | str, **opts) -> Column:
@@ -55,48 +55,55 @@ def contains_hidden(c: Column | str, **opts) -> Column:
     c = as_column(c)
     rules = hidden_rules(**opts)
     hit = c.rlike(hidden_class(rules))
-    gate = _needs_scan(c, rules)
-    return hit if gate is None else gate & hit
+    return ~is_ascii(c) & hit if _ascii_is_clean(rules) else hit
+
+
+def contains_hidden_sql(**opts) -> str:
+    rules = hidden_rules(**opts)
+    hit = f"t RLIKE {sql_string(hidden_class(rules))}"
+    return f"(octet_length(t) <> char_length(t) AND {hit})" if _ascii_is_clean(rules) else hit
 
 
 def strip_hidden(c: Column | str, **opts) -> Column:
     """The text with hidden characters deleted or folded to plain ones."""
     c = as_column(c)
-    return F.when(contains_hidden(c, **opts), _rewrite(c, hidden_rules(**opts))).otherwise(c)
+    return F.when(contains_hidden(c, **opts), sql_over(c, _rewrite_sql(**opts))).otherwise(c)
+
+
+def strip_hidden_sql(**opts) -> str:
+    return f"CASE WHEN {contains_hidden_sql(**opts)} THEN {_rewrite_sql(**opts)} ELSE t END"
+
+
+def _pieces_sql(rules: Iterable[CharRule]) -> str:
+    """``t`` cut at its hits: the pieces and the hits between them."""
+    hit = sql_string(hidden_class(rules))
+    return f"named_struct('pieces', split(t, {hit}), 'hits', regexp_extract_all(t, {hit}, 0))"
 
 
-def _rewrite(c: Column, rules: Iterable[CharRule]) -> Column:
+def _rewrite_sql(**opts) -> str:
     # Cut the text at its hits and join it again with what replaces each of them: two
     # regex passes whatever the number of rules, and the hits are those of the input,
     # so a byte-order mark that only comes to lead by a deletion still goes.
-    rules_class = hidden_class(rules)
+    rules = hidden_rules(**opts)
     folds: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for rule in rules:
         if rule.replacement:
             folds[rule.replacement].extend(rule.ranges)
-
-    def replacement(hit: Column) -> Column:
-        text = None
-        for fold, ranges in folds.items():
-            text = (F if text is None else text).when(_in_ranges(codepoint(hit), ranges), F.lit(fold))
-        return F.lit("") if text is None else F.coalesce(text, F.lit(""))
-
-    parts = F.struct(
-        F.split(c, rules_class).alias("pieces"),
-        F.regexp_extract_all(c, F.lit(rules_class), F.lit(0)).alias("hits"),
+    cases = " ".join(
+        f"WHEN {_in_ranges('ascii(get(p.hits, i))', ranges)} THEN {sql_string(fold)}"
+        for fold, ranges in folds.items()
     )
-    return let(
-        parts,
-        lambda p: F.array_join(
-            F.transform(p["pieces"], lambda x, i: F.concat(x, replacement(F.get(p["hits"], i)))), ""
-        ),
+    joined = (
+        "array_join(transform(p.pieces, (piece, i) -> concat(piece, "
+        f"CASE {cases} ELSE '' END)), '')"
     )
+    return sql_let(_pieces_sql(rules), "p", joined)
 
 
-def _in_ranges(cp: Column, ranges: Iterable[tuple[int, int]]) -> Column:
-    points = [p for lo, hi in ranges if hi - lo < _LISTED for p in range(lo, hi + 1)]
-    spans = [cp.between(lo, hi) for lo, hi in ranges if hi - lo >= _LISTED]
-    return any_of([*([cp.isin(*points)] if points else []), *spans])
+def _in_ranges(cp: str, ranges: Iterable[tuple[int, int]]) -> str:
+    points = [str(p) for lo, hi in ranges if hi - lo < _LISTED for p in range(lo, hi + 1)]
+    spans = [f"{cp} BETWEEN {lo} AND {hi}" for lo, hi in ranges if hi - lo >= _LISTED]
+    return " OR ".join([*([f"{cp} IN ({', '.join(points)})"] if points else []), *spans])
 
 
 def count_hidden(c: Column | str, **opts) -> Column:
@@ -104,8 +111,11 @@ def count_hidden(c: Column | str, **opts) -> Column:
     c = as_column(c)
     rules = hidden_rules(**opts)
     n = F.regexp_count(c, F.lit(hidden_class(rules)))
-    gate = _needs_scan(c, rules)
-    return n if gate is None else F.when(~gate, F.lit(0)).otherwise(n)
+    return F.when(is_ascii(c), F.lit(0)).otherwise(n) if _ascii_is_clean(rules) else n
+
+
+def count_hidden_sql(**opts) -> str:
+    return f"regexp_count(t, {sql_string(hidden_class(hidden_rules(**opts)))})"
 
 
 def first_hidden(c: Column | str, **opts) -> Column:
@@ -140,16 +150,21 @@ def u_plus(ch: Column | str) -> Column:
     return F.format_string("U+%04X", codepoint(ch))
 
 
-def category_of_codepoint(cp: Column | str, extra: Iterable[CharRule] = ()) -> Column:
-    """The category label of a code point, ``unknown`` when no rule covers it."""
-    cp = as_column(cp)
+def category_sql(cp: str, extra: Iterable[CharRule] = ()) -> str:
+    """SQL text for the category label of the code point ``cp``."""
     ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for rule in (*HIDDEN_RULES, *typography_rules(), *extra):
         ranges[rule.category].extend(rule.ranges)
-    label = None
-    for category, pairs in ranges.items():
-        label = (F if label is None else label).when(_in_ranges(cp, pairs), F.lit(category))
-    return label.otherwise(F.lit(UNKNOWN_CATEGORY))
+    cases = " ".join(
+        f"WHEN {_in_ranges(cp, sorted(pairs))} THEN {sql_string(category)}"
+        for category, pairs in ranges.items()
+    )
+    return f"CASE {cases} ELSE {sql_string(UNKNOWN_CATEGORY)} END"
+
+
+def category_of_codepoint(cp: Column | str, extra: Iterable[CharRule] = ()) -> Column:
+    """The category label of a code point, ``unknown`` when no rule covers it."""
+    return sql_over(cp, category_sql("t", extra))
 
 
 def category_of(ch: Column | str, extra: Iterable[CharRule] = ()) -> Column:
@@ -160,60 +175,55 @@ def category_of(ch: Column | str, extra: Iterable[CharRule] = ()) -> Column:
 # --- Positions ---------------------------------------------------------------------
 
 
-def piece_measures(text: Column, rules_class: str) -> Column:
+def _measures_sql(rules: Iterable[CharRule]) -> str:
+    measure = """named_struct(
+        'hit', hit,
+        'bytes', CAST(octet_length(p.pieces[i])
+          + CASE WHEN i > 0 THEN octet_length(get(p.hits, i - 1)) ELSE 0 END AS BIGINT),
+        'lines', CAST(octet_length(p.pieces[i])
+          - octet_length(replace(p.pieces[i], '\\n', '')) AS BIGINT),
+        'chars', CAST(char_length(substring_index(p.pieces[i], '\\n', -1))
+          + CASE WHEN i > 0 AND NOT contains(p.pieces[i], '\\n') THEN 1 ELSE 0 END AS BIGINT))"""
+    return sql_let(_pieces_sql(rules), "p", f"transform(p.hits, (hit, i) -> {measure})")
+
+
+def piece_measures(c: Column | str, **opts) -> Column:
     """Per hit, what lies between the hit before it and the hit itself.
 
     An array of ``(hit, bytes, lines, chars)``: the bytes and the line feeds since the
     start of the previous hit, and the characters since the later of that start and the
     last line feed. Summing them gives offsets, lines and columns.
     """
-    parts = F.struct(
-        F.split(text, rules_class).alias("pieces"),
-        F.regexp_extract_all(text, F.lit(rules_class), F.lit(0)).alias("hits"),
-    )
-
-    def measure(p: Column, hit: Column, i: Column) -> Column:
-        piece = F.get(p["pieces"], i)
-        previous = F.when(i > 0, F.octet_length(F.get(p["hits"], i - 1))).otherwise(F.lit(0))
-        lines = F.octet_length(piece) - F.octet_length(F.replace(piece, F.lit("\n"), F.lit("")))
-        own = F.char_length(F.substring_index(piece, "\n", -1))
-        chars = own + F.when((i > 0) & (lines == 0), F.lit(1)).otherwise(F.lit(0))
-        return F.struct(
-            hit.alias("hit"),
-            (F.octet_length(piece) + previous).cast("long").alias("bytes"),
-            lines.cast("long").alias("lines"),
-            chars.cast("long").alias("chars"),
-        )
+    return sql_over(c, _measures_sql(hidden_rules(**opts)))
 
-    return let(parts, lambda p: F.transform(p["hits"], lambda h, i: measure(p, h, i)))
 
-
-def _running(measures: Column) -> Column:
-    """Running totals of ``piece_measures`` along the array.
+def _running_sql(measures: str) -> str:
+    """Running totals along an array of measures.
 
     A doubling scan: after pass k every element covers the 2^k measures up to it, so
     n hits take log2(n) linear passes, where appending to an array would take n^2.
     """
+    before = "acc[i - shiftleft(1, k)]"
+    combined = f"""named_struct(
+        'hit', x.hit,
+        'bytes', {before}.bytes + x.bytes,
+        'lines', {before}.lines + x.lines,
+        'chars', CASE WHEN x.lines > 0 THEN x.chars ELSE {before}.chars + x.chars END)"""
+    one_pass = f"transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {combined} ELSE x END)"
+    passes = "sequence(0, char_length(bin(size(m) - 1)) - 1)"
+    return sql_let(
+        measures, "m",
+        f"CASE WHEN size(m) > 1 THEN aggregate({passes}, m, (acc, k) -> {one_pass}) ELSE m END",
+    )
 
-    def combine(a: Column, x: Column) -> Column:
-        return F.struct(
-            x["hit"].alias("hit"),
-            (a["bytes"] + x["bytes"]).alias("bytes"),
-            (a["lines"] + x["lines"]).alias("lines"),
-            F.when(x["lines"] > 0, x["chars"]).otherwise(a["chars"] + x["chars"]).alias("chars"),
-        )
-
-    def one_pass(acc: Column, k: Column) -> Column:
-        step = F.call_function("shiftleft", F.lit(1), k)
-        return F.transform(
-            acc, lambda x, i: F.when(i >= step, combine(F.get(acc, i - step), x)).otherwise(x)
-        )
 
-    passes = F.char_length(F.bin(F.size(measures) - 1))
-    return F.when(
-        F.size(measures) > 1,
-        F.aggregate(F.sequence(F.lit(0), passes - 1), measures, one_pass),
-    ).otherwise(measures)
+def find_hidden_sql(**opts) -> str:
+    rules = hidden_rules(**opts)
+    finding = f"""named_struct(
+        'rune', ascii(f.hit), 'u', format_string('U+%04X', ascii(f.hit)), 'offset', f.bytes,
+        'line', f.lines + 1, 'col', f.chars + 1,
+        'category', {category_sql("ascii(f.hit)", opts.get("extra", ()))})"""
+    return f"transform({_running_sql(_measures_sql(rules))}, f -> {finding})"
 
 
 def find_hidden_array(c: Column | str, **opts) -> Column:
@@ -222,22 +232,7 @@ def find_hidden_array(c: Column | str, **opts) -> Column:
     Offsets are 0-based bytes; lines count line feeds only and, like columns, which
     count code points, start at 1. The array is empty for a clean text.
     """
-    c = as_column(c)
-    extra = opts.get("extra", ())
-    rules_class = hidden_class(hidden_rules(**opts))
-
-    def finding(x: Column) -> Column:
-        return F.struct(
-            codepoint(x["hit"]).alias("rune"),
-            u_plus(x["hit"]).alias("u"),
-            x["bytes"].alias("offset"),
-            (x["lines"] + 1).alias("line"),
-            (x["chars"] + 1).alias("col"),
-            category_of(x["hit"], extra).alias("category"),
-        )
-
-    measures = piece_measures(c, rules_class)
-    return F.transform(let(measures, _running), finding)
+    return sql_over(c, find_hidden_sql(**opts))
 
 
 def format_finding(

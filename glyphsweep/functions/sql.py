@@ -4,107 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from glyphsweep.functions.dialect import hidden_class, line_search
-from glyphsweep.functions.messages import BLANKS
-from glyphsweep.rules import (
-    CATEGORIES,
-    HIDDEN_RULES,
-    TRACE_WORDS,
-    commit_rules,
-    hidden_rules,
-    typography_rules,
+from glyphsweep.functions.hidden import (
+    contains_hidden_sql,
+    count_hidden_sql,
+    find_hidden_sql,
+    strip_hidden_sql,
 )
+from glyphsweep.functions.messages import clean_message_sql
 
-
-def _text(value: str) -> str:
-    """A SQL string literal, invisible characters as escapes."""
-    out = []
-    for ch in value:
-        if ch in "\\'":
-            out.append("\\" + ch)
-        elif " " <= ch <= "~":
-            out.append(ch)
-        elif ord(ch) < 0x10000:
-            out.append(f"\\u{ord(ch):04X}")
-        else:
-            out.append(f"\\U{ord(ch):08X}")
-    return "'" + "".join(out) + "'"
-
-
-def _category_sql(cp: str) -> str:
-    cases = []
-    for category in CATEGORIES:
-        ranges = [
-            r for rule in (*HIDDEN_RULES, *typography_rules())
-            if rule.category == category for r in rule.ranges
-        ]
-        covered = " OR ".join(f"{cp} BETWEEN {lo} AND {hi}" for lo, hi in ranges)
-        cases.append(f"WHEN {covered} THEN '{category}'")
-    return f"CASE {' '.join(cases)} ELSE 'unknown' END"
-
-
-def _definitions(**opts) -> dict[str, str]:
-    rules = hidden_rules(**opts)
-    hit = _text(hidden_class(rules))
-    deletion = _text(hidden_class([r for r in rules if not r.replacement]))
-    folds = [(chr(p), r.replacement) for r in rules if r.replacement
-             for lo, hi in r.ranges for p in range(lo, hi + 1)]
-    stripped = f"regexp_replace(t, {deletion}, '')"
-    for ch, text in folds:
-        if len(text) > 1:
-            stripped = f"replace({stripped}, {_text(ch)}, {_text(text)})"
-    single = [(ch, text) for ch, text in folds if len(text) == 1]
-    stripped = (
-        f"translate({stripped}, {_text(''.join(ch for ch, _ in single))}, "
-        f"{_text(''.join(text for _, text in single))})"
-    )
-    dirty = f"(octet_length(t) <> char_length(t) AND t RLIKE {hit})"
-    trace = " OR ".join(f"l RLIKE {_text(p)}" for p in line_search(commit_rules(), commit_rules()))
-    mentioned = " OR ".join(f"contains(lower(t), {_text(w)})" for w in TRACE_WORDS)
-    kept = (
-        f"CASE WHEN {mentioned} THEN array_join(filter(split(t, '\\n'), l -> NOT ({trace})), '\\n') "
-        "ELSE t END"
-    )
-    body = f"rtrim({_text(BLANKS)}, m)"
-    normalized = (
-        f"CASE WHEN {body} = '' THEN '\\n' ELSE concat({body}, "
-        f"substring_index(substr(m, char_length({body}) + 1), '\\n', 1), '\\n') END"
-    )
-    return {
-        "contains_hidden": f"BOOLEAN RETURN {dirty}",
-        "strip_hidden": f"STRING RETURN CASE WHEN {dirty} THEN {stripped} ELSE t END",
-        "count_hidden": f"INT RETURN regexp_count(t, {hit})",
-        "clean_message": f"STRING RETURN transform(array({kept}), m -> {normalized})[0]",
-    }
-
-
-def _find_hidden_sql(**opts) -> str:
-    hit = _text(hidden_class(hidden_rules(**opts)))
-    # What lies between a hit and the one before it, its own start included.
-    measure = """named_struct(
-        'hit', h,
-        'bytes', CAST(octet_length(p.pieces[i])
-          + CASE WHEN i > 0 THEN octet_length(get(p.hits, i - 1)) ELSE 0 END AS BIGINT),
-        'lines', CAST(octet_length(p.pieces[i])
-          - octet_length(replace(p.pieces[i], '\\n', '')) AS BIGINT),
-        'chars', CAST(char_length(substring_index(p.pieces[i], '\\n', -1))
-          + CASE WHEN i > 0 AND NOT contains(p.pieces[i], '\\n') THEN 1 ELSE 0 END AS BIGINT))"""
-    combined = """named_struct(
-        'hit', x.hit,
-        'bytes', acc[i - shiftleft(1, k)].bytes + x.bytes,
-        'lines', acc[i - shiftleft(1, k)].lines + x.lines,
-        'chars', CASE WHEN x.lines > 0 THEN x.chars
-          ELSE acc[i - shiftleft(1, k)].chars + x.chars END)"""
-    return f"""
-    SELECT ascii(f.hit), format_string('U+%04X', ascii(f.hit)), f.bytes, f.lines + 1, f.chars + 1,
-      {_category_sql("ascii(f.hit)")}
-    FROM explode(transform(array(
-      transform(array(named_struct('pieces', split(t, {hit}), 'hits', regexp_extract_all(t, {hit}, 0))),
-        p -> transform(p.hits, (h, i) -> {measure}))[0]),
-      m -> CASE WHEN size(m) > 1 THEN aggregate(
-        sequence(0, char_length(bin(size(m) - 1)) - 1), m,
-        (acc, k) -> transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {combined} ELSE x END))
-        ELSE m END)[0]) AS e(f)"""
+_FINDING_COLUMNS = "rune INT, u STRING, offset BIGINT, line BIGINT, col BIGINT, category STRING"
 
 
 def register_sql_functions(spark: SparkSession, prefix: str = "", **opts) -> list[str]:
@@ -113,15 +21,15 @@ def register_sql_functions(spark: SparkSession, prefix: str = "", **opts) -> lis
     ``strip_hidden``, ``contains_hidden``, ``count_hidden`` and ``clean_message`` are
     scalar; ``find_hidden`` is a table function to be used with ``LATERAL``.
     """
-    names = []
-    for name, definition in _definitions(**opts).items():
-        spark.sql(
-            f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS {definition}"
-        )
-        names.append(prefix + name)
-    spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}find_hidden(t STRING) "
-        "RETURNS TABLE (rune INT, u STRING, offset BIGINT, line BIGINT, col BIGINT, category STRING) "
-        f"RETURN {_find_hidden_sql(**opts)}"
-    )
-    return [*names, f"{prefix}find_hidden"]
+    bodies = {
+        "contains_hidden": f"BOOLEAN RETURN {contains_hidden_sql(**opts)}",
+        "strip_hidden": f"STRING RETURN {strip_hidden_sql(**opts)}",
+        "count_hidden": f"INT RETURN {count_hidden_sql(**opts)}",
+        "clean_message": f"STRING RETURN {clean_message_sql()}",
+        "find_hidden": (
+            f"TABLE ({_FINDING_COLUMNS}) RETURN SELECT * FROM inline({find_hidden_sql(**opts)})"
+        ),
+    }
+    for name, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(t STRING) RETURNS {body}")
+    return [prefix + name for name in bodies]

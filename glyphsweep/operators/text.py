@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.dialect import hidden_class
+from glyphsweep.functions.bind import sql_over, sql_string
 from glyphsweep.functions.hidden import (
     FINDINGS_TYPE,
     category_of,
+    category_sql,
     codepoint,
     contains_hidden,
     find_hidden_array,
@@ -24,7 +25,6 @@ from glyphsweep.rules import (
     CATEGORIES,
     HIDDEN_RULES,
     UNKNOWN_CATEGORY,
-    hidden_rules,
     typography_rules,
 )
 
@@ -76,7 +76,7 @@ def running_positions(
     must be unique.
     """
     keys = _names(key)
-    measures = piece_measures(F.col(col), hidden_class(hidden_rules(**opts)))
+    measures = piece_measures(col, **opts)
     hits = (
         df.where(contains_hidden(col, **opts))
         .select(*keys, F.posexplode_outer(measures).alias("pos", "m"))
@@ -138,17 +138,15 @@ def categorize(
 
 def profile_counts(df: DataFrame, col: str, keep: Sequence[Column | str], **opts) -> DataFrame:
     """Rows with hidden characters, with their number per category (``n_0``, ``n_1``, ...)."""
-    labels = F.transform(
-        hidden_hits(col, **opts), lambda h: category_of(h, opts.get("extra", ()))
-    )
+    label = category_sql("ascii(hit)", opts.get("extra", ()))
+    labels = sql_over(hidden_hits(col, **opts), f"transform(hits, hit -> {label})", "hits")
     labelled = df.where(contains_hidden(col, **opts)).select(*keep, labels.alias("_labels"))
     names = [c for c in labelled.columns if c != "_labels"]
-
-    def occurrences(label: str) -> Column:
-        return F.size(F.filter("_labels", lambda x: x == label)).cast("long")
-
-    numbered = enumerate(profile_categories(opts))
-    return labelled.select(*names, *[occurrences(c).alias(f"n_{i}") for i, c in numbered])
+    counts = [
+        F.expr(f"CAST(size(filter(_labels, x -> x = {sql_string(c)})) AS BIGINT) AS n_{i}")
+        for i, c in enumerate(profile_categories(opts))
+    ]
+    return labelled.select(*names, *counts)
 
 
 def profile_categories(opts: dict) -> list[str]:
