@@ -33,11 +33,12 @@ def blank_class() -> str:
     return char_class(BLANK_RANGES)
 
 
-def hidden_class(rules: Iterable[CharRule]) -> str:
+def hidden_class(rules: Iterable[CharRule], lead: str = "") -> str:
     """One match per character the rules cover, a leading byte-order mark excepted.
 
     The intersection lets Java reject everything below the first covered code point,
-    ASCII above all, with a single comparison.
+    ASCII above all, with a single comparison. ``lead`` is what was put in front of the
+    text.
     """
     ranges = [r for rule in rules for r in rule.ranges]
     if not ranges:
@@ -45,7 +46,7 @@ def hidden_class(rules: Iterable[CharRule]) -> str:
     lowest = min(lo for lo, _ in ranges)
     body = rf"[[\x{{{lowest:X}}}-\x{{10FFFF}}]&&{char_class(ranges)}]"
     has_bom = any(lo <= BOM <= hi for lo, hi in ranges)
-    return body + (rf"(?<!\A\x{{{BOM:X}}})" if has_bom else "")
+    return body + (rf"(?<!\A{lead}\x{{{BOM:X}}})" if has_bom else "")
 
 
 def java(pattern: str) -> str:

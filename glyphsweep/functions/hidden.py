@@ -33,6 +33,9 @@ FINDINGS_TYPE = (
 # Ranges up to this long are compared as listed code points, longer ones by bounds.
 _LISTED = 32
 
+# Up to this many findings of one text are summed up by appending.
+_APPENDED = 64
+
 
 def is_ascii(c: Column | str) -> Column:
     """Whether the text holds ASCII only; such a text has no hidden character."""
@@ -75,29 +78,30 @@ def strip_hidden_sql(**opts) -> str:
 
 
 def _pieces_sql(rules: Iterable[CharRule]) -> str:
-    """``t`` cut at its hits: the pieces and the hits between them."""
-    hit = sql_string(hidden_class(rules))
-    return f"named_struct('pieces', split(t, {hit}), 'hits', regexp_extract_all(t, {hit}, 0))"
+    """``t`` cut before each hit: every piece but the first starts with its hit.
+
+    A letter is put in front, so that the first piece is never cut off by a hit at the
+    very start, and every piece has a first character to drop.
+    """
+    before_hit = sql_string(f"(?={hidden_class(rules, lead='x')})")
+    return f"split(concat('x', t), {before_hit})"
 
 
 def _rewrite_sql(**opts) -> str:
-    # Cut the text at its hits and join it again with what replaces each of them: two
-    # regex passes whatever the number of rules, and the hits are those of the input,
-    # so a byte-order mark that only comes to lead by a deletion still goes.
+    # One pass cuts the text, whatever the number of rules, and the hits are those of
+    # the input: a byte-order mark that only comes to lead by a deletion still goes.
     rules = hidden_rules(**opts)
     folds: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for rule in rules:
         if rule.replacement:
             folds[rule.replacement].extend(rule.ranges)
     cases = " ".join(
-        f"WHEN {_in_ranges('ascii(get(p.hits, i))', ranges)} THEN {sql_string(fold)}"
+        f"WHEN {_in_ranges('ascii(piece)', ranges)} THEN {sql_string(fold)}"
         for fold, ranges in folds.items()
     )
-    joined = (
-        "array_join(transform(p.pieces, (piece, i) -> concat(piece, "
-        f"CASE {cases} ELSE '' END)), '')"
-    )
-    return sql_let(_pieces_sql(rules), "p", joined)
+    fold = f"CASE WHEN i = 0 THEN '' {cases} ELSE '' END"
+    rejoined = f"transform({_pieces_sql(rules)}, (piece, i) -> concat({fold}, substr(piece, 2)))"
+    return f"array_join({rejoined}, '')"
 
 
 def _in_ranges(cp: str, ranges: Iterable[tuple[int, int]]) -> str:
@@ -147,7 +151,7 @@ def codepoint(ch: Column | str) -> Column:
 
 def u_plus(ch: Column | str) -> Column:
     """``U+200B`` style text for a one-character string."""
-    return F.format_string("U+%04X", codepoint(ch))
+    return sql_over(codepoint(ch), u_plus_sql("t"))
 
 
 def category_sql(cp: str, extra: Iterable[CharRule] = ()) -> str:
@@ -176,23 +180,27 @@ def category_of(ch: Column | str, extra: Iterable[CharRule] = ()) -> Column:
 
 
 def _measures_sql(rules: Iterable[CharRule]) -> str:
-    measure = """named_struct(
-        'hit', hit,
-        'bytes', CAST(octet_length(p.pieces[i])
-          + CASE WHEN i > 0 THEN octet_length(get(p.hits, i - 1)) ELSE 0 END AS BIGINT),
-        'lines', CAST(octet_length(p.pieces[i])
-          - octet_length(replace(p.pieces[i], '\\n', '')) AS BIGINT),
-        'chars', CAST(char_length(substring_index(p.pieces[i], '\\n', -1))
-          + CASE WHEN i > 0 AND NOT contains(p.pieces[i], '\\n') THEN 1 ELSE 0 END AS BIGINT))"""
-    return sql_let(_pieces_sql(rules), "p", f"transform(p.hits, (hit, i) -> {measure})")
+    measure = """CASE WHEN contains(piece, '\\n') THEN named_struct(
+        'rune', ascii(p[i + 1]),
+        'bytes', CAST(octet_length(piece) AS BIGINT),
+        'lines', CAST(octet_length(piece) - octet_length(replace(piece, '\\n', '')) AS BIGINT),
+        'chars', CAST(char_length(substring_index(piece, '\\n', -1)) AS BIGINT))
+      ELSE named_struct(
+        'rune', ascii(p[i + 1]),
+        'bytes', CAST(octet_length(piece) AS BIGINT),
+        'lines', 0L,
+        'chars', CAST(char_length(piece) AS BIGINT)) END"""
+    ahead = "slice(p, 1, size(p) - 1)"
+    return sql_let(_pieces_sql(rules), "p", f"transform({ahead}, (piece, i) -> {measure})")
 
 
 def piece_measures(c: Column | str, **opts) -> Column:
-    """Per hit, what lies between the hit before it and the hit itself.
+    """Per hit, the text from the hit before it up to the hit.
 
-    An array of ``(hit, bytes, lines, chars)``: the bytes and the line feeds since the
-    start of the previous hit, and the characters since the later of that start and the
-    last line feed. Summing them gives offsets, lines and columns.
+    An array of ``(rune, bytes, lines, chars)``: the hit's code point, the bytes and the
+    line feeds ahead of it, and the characters ahead of it since the last line feed.
+    The first measure has one byte, and on its first line one character, too many (see
+    ``_pieces_sql``). Summing measures gives offsets, lines and columns.
     """
     return sql_over(c, _measures_sql(hidden_rules(**opts)))
 
@@ -200,29 +208,45 @@ def piece_measures(c: Column | str, **opts) -> Column:
 def _running_sql(measures: str) -> str:
     """Running totals along an array of measures.
 
-    A doubling scan: after pass k every element covers the 2^k measures up to it, so
-    n hits take log2(n) linear passes, where appending to an array would take n^2.
+    Short arrays are appended to one by one, which copies n^2 / 2 elements. Longer ones
+    take a doubling scan: after pass k every element covers the 2^k measures up to it,
+    so n hits need log2(n) linear passes.
     """
-    before = "acc[i - shiftleft(1, k)]"
-    combined = f"""named_struct(
-        'hit', x.hit,
-        'bytes', {before}.bytes + x.bytes,
-        'lines', {before}.lines + x.lines,
-        'chars', CASE WHEN x.lines > 0 THEN x.chars ELSE {before}.chars + x.chars END)"""
-    one_pass = f"transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {combined} ELSE x END)"
+
+    def combined(before: str) -> str:
+        return f"""named_struct(
+          'rune', x.rune,
+          'bytes', {before}.bytes + x.bytes,
+          'lines', {before}.lines + x.lines,
+          'chars', CASE WHEN x.lines > 0 THEN x.chars ELSE {before}.chars + x.chars END)"""
+
+    appended = (
+        "aggregate(slice(m, 2, size(m) - 1), slice(m, 1, 1), "
+        f"(acc, x) -> concat(acc, array({combined('element_at(acc, -1)')})))"
+    )
+    one_pass = (
+        "transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) "
+        f"THEN {combined('acc[i - shiftleft(1, k)]')} ELSE x END)"
+    )
     passes = "sequence(0, char_length(bin(size(m) - 1)) - 1)"
     return sql_let(
         measures, "m",
-        f"CASE WHEN size(m) > 1 THEN aggregate({passes}, m, (acc, k) -> {one_pass}) ELSE m END",
+        f"CASE WHEN size(m) < 2 THEN m WHEN size(m) <= {_APPENDED} THEN {appended} "
+        f"ELSE aggregate({passes}, m, (acc, k) -> {one_pass}) END",
     )
 
 
+def u_plus_sql(cp: str) -> str:
+    return f"concat('U+', CASE WHEN {cp} > 65535 THEN hex({cp}) ELSE lpad(hex({cp}), 4, '0') END)"
+
+
 def find_hidden_sql(**opts) -> str:
     rules = hidden_rules(**opts)
+    # Byte 0 and, on the first line, character 1 are those of the letter put in front.
     finding = f"""named_struct(
-        'rune', ascii(f.hit), 'u', format_string('U+%04X', ascii(f.hit)), 'offset', f.bytes,
-        'line', f.lines + 1, 'col', f.chars + 1,
-        'category', {category_sql("ascii(f.hit)", opts.get("extra", ()))})"""
+        'rune', f.rune, 'u', {u_plus_sql("f.rune")}, 'offset', f.bytes - 1,
+        'line', f.lines + 1, 'col', CASE WHEN f.lines = 0 THEN f.chars ELSE f.chars + 1 END,
+        'category', {category_sql("f.rune", opts.get("extra", ()))})"""
     return f"transform({_running_sql(_measures_sql(rules))}, f -> {finding})"
 
 

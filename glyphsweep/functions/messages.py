@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.bind import any_of, as_column, sql_let, sql_over, sql_string
+from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
 from glyphsweep.functions.dialect import line_search
 from glyphsweep.rules import BLANK_RANGES, TRACE_WORDS, LineRule, commit_rules
 
@@ -20,9 +20,9 @@ BLANKS = "".join(chr(cp) for lo, hi in BLANK_RANGES for cp in range(lo, hi + 1))
 _LINES = "split(t, '\\n')"
 
 
-def _mention_sql() -> str:
+def _mention_sql(text: str = "t") -> str:
     found = " OR ".join(f"contains(low, {sql_string(word)})" for word in TRACE_WORDS)
-    return sql_let("lower(t)", "low", found)
+    return sql_let(f"lower({text})", "low", found)
 
 
 def mentions_trace_word(c: Column | str) -> Column:
@@ -36,14 +36,17 @@ def _searches(rules: Iterable[LineRule]) -> list[str]:
 
 def _trace_sql(line: str, rules: Iterable[LineRule]) -> str:
     found = " OR ".join(f"{line} RLIKE {sql_string(p)}" for p in _searches(rules))
-    return f"({found or 'false'})"
+    if not found:
+        return "false"
+    built_in = set(rules) <= set(commit_rules())
+    return f"({_mention_sql(line)} AND ({found}))" if built_in else f"({found})"
 
 
 def is_trace_line(
     c: Column | str, extra: Iterable[LineRule] = (), exclude: Iterable[str] = ()
 ) -> Column:
     """Whether one message line matches a commit rule."""
-    return any_of([as_column(c).rlike(p) for p in _searches(commit_rules(extra, exclude))])
+    return sql_over(c, _trace_sql("t", commit_rules(extra, exclude)))
 
 
 def matching_rules(
@@ -51,7 +54,8 @@ def matching_rules(
 ) -> Column:
     """The commit rules a line matches, as an array of (rule_id, family)."""
     hits = ", ".join(
-        f"CASE WHEN {_trace_sql('t', [rule])} THEN named_struct("
+        f"CASE WHEN {' OR '.join(f't RLIKE {sql_string(p)}' for p in _searches([rule]))} "
+        "THEN named_struct("
         f"'rule_id', {sql_string(rule.rule_id)}, 'family', {sql_string(rule.family)}) END"
         for rule in commit_rules(extra, exclude)
     )

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from glyphsweep.functions.bind import sql_over, sql_string
 from glyphsweep.functions.hidden import (
     FINDINGS_TYPE,
-    category_of,
     category_sql,
-    codepoint,
     contains_hidden,
     find_hidden_array,
     hidden_hits,
     piece_measures,
     strip_hidden,
-    u_plus,
+    u_plus_sql,
 )
 from glyphsweep.operators.joins import broadcast_if_small
 from glyphsweep.rules import (
@@ -84,21 +82,22 @@ def running_positions(
     )
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = hits.select(
-        *keys, "pos", "hit", "chars",
-        F.sum("bytes").over(so_far).alias("offset"),
+        *keys, "pos", "rune", "chars",
+        (F.sum("bytes").over(so_far) - 1).alias("offset"),
         (F.sum("lines").over(so_far) + 1).alias("line"),
     )
     on_line = Window.partitionBy(*keys, "line").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, 0
     )
+    ahead = F.sum("chars").over(on_line)
     return placed.select(
         *keys,
-        codepoint("hit").alias("rune"),
-        u_plus("hit").alias("u"),
+        "rune",
+        F.expr(u_plus_sql("rune")).alias("u"),
         "offset",
         "line",
-        (F.sum("chars").over(on_line) + 1).alias("col"),
-        category_of("hit", opts.get("extra", ())).alias("category"),
+        F.when(F.col("line") == 1, ahead).otherwise(ahead + 1).alias("col"),
+        F.expr(category_sql("rune", opts.get("extra", ()))).alias("category"),
     )
 
 

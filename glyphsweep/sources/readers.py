@@ -16,6 +16,17 @@ COMMITS_SCHEMA = "repo string, sha string, message string"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files fill fewer than half of them.
+
+    The cleaning work is per character, so a table of a few files would keep most cores
+    idle. One that small holds less than a file split per core, which bounds what is
+    shuffled; a large table is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def read_text(
     spark: SparkSession, path: str, key: str | Sequence[str], text: str,
     keep: Sequence[str] = (), fmt: str = "parquet",

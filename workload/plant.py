@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.sources.readers import read_text
+from glyphsweep.sources.readers import read_text, spread_small
 
 BOM = "\uFEFF"
 # By doc_id % 10: the mark after the fifth character; 9 also gets a leading BOM.
@@ -96,21 +96,27 @@ def densely_planted(text: Column, key: Column) -> Column:
     return F.replace(planted(text, key), F.lit(". "), sentence)
 
 
+def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they are."""
+    path = f"{sf_dir}/documents.parquet"
+    return spread_small(read_text(spark, path, "doc_id", "text", ["lang", "source"]))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a mark after the fifth character."""
-    raw = read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", ["lang", "source"])
-    return raw.withColumn("text", planted(F.col("text"), F.col("doc_id")))
+    text = planted(F.col("text"), F.col("doc_id"))
+    return raw_docs(spark, sf_dir).withColumn("text", text)
 
 
 def dense_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a mark after every sentence too."""
-    raw = read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", ["lang", "source"])
-    return raw.withColumn("text", densely_planted(F.col("text"), F.col("doc_id")))
+    text = densely_planted(F.col("text"), F.col("doc_id"))
+    return raw_docs(spark, sf_dir).withColumn("text", text)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as commits with footers."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_small(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return turns.select(
         F.concat(F.lit("r"), (F.col("conv_id") % 5).cast("string")).alias("repo"),
         F.md5(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("sha"),
@@ -120,7 +126,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source, prose and tool files; (repo, path) is unique."""
-    raw = read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    raw = spread_small(read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"))
     key = F.col("doc_id")
     name = F.replace(_pick(key % 11, NAMES), F.lit("{}"), key.cast("string"))
     body = F.concat(_pick(key % 11, HEADS), planted(F.col("text"), key), _pick(key % 11, TAILS))

@@ -305,7 +305,7 @@ def profile_rollup(spark, sf_dir):
 
 def _marked_turns(spark, sf_dir):
     """Conversation turns with marks: several rows per conversation."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = readers.spread_small(table(spark, sf_dir, "conversations"))
     return turns.withColumn("text", plant.densely_planted(F.col("text"), F.col("conv_id") + F.col("turn")))
 
 
