@@ -21,10 +21,11 @@ def data_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its measured size allows it, else as it is.
 
     Without the hint Spark shuffles both sides and adaptive execution splits skewed
     partitions.
     """
-    return F.broadcast(df) if data_bytes(df) <= limit else df
+    bound = BROADCAST_LIMIT if limit is None else limit
+    return F.broadcast(df) if data_bytes(df) <= bound else df
