@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
-from glyphsweep.functions.dialect import hidden_class
+from glyphsweep.functions.dialect import char_class, hidden_class
 from glyphsweep.rules import (
     HIDDEN_RULES,
     UNKNOWN_CATEGORY,
@@ -154,14 +154,29 @@ def u_plus(ch: Column | str) -> Column:
     return sql_over(codepoint(ch), u_plus_sql("t"))
 
 
-def category_sql(cp: str, extra: Iterable[CharRule] = ()) -> str:
-    """SQL text for the category label of the code point ``cp``."""
+def _ranges_by_category(extra: Iterable[CharRule]) -> dict[str, list[tuple[int, int]]]:
     ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for rule in (*HIDDEN_RULES, *typography_rules(), *extra):
         ranges[rule.category].extend(rule.ranges)
+    return ranges
+
+
+def category_classes(extra: Iterable[CharRule] = ()) -> dict[str, str]:
+    """A regex class per category; a character belongs to the first that covers it."""
+    classes, taken = {}, []
+    for category, ranges in _ranges_by_category(extra).items():
+        own = char_class(ranges)
+        overlaps = any(a <= hi and lo <= b for lo, hi in ranges for a, b in taken)
+        classes[category] = f"[{own}&&[^{char_class(taken)[1:-1]}]]" if overlaps else own
+        taken += ranges
+    return classes
+
+
+def category_sql(cp: str, extra: Iterable[CharRule] = ()) -> str:
+    """SQL text for the category label of the code point ``cp``."""
     cases = " ".join(
         f"WHEN {_in_ranges(cp, sorted(pairs))} THEN {sql_string(category)}"
-        for category, pairs in ranges.items()
+        for category, pairs in _ranges_by_category(extra).items()
     )
     return f"CASE {cases} ELSE {sql_string(UNKNOWN_CATEGORY)} END"
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.bind import sql_over, sql_string
 from glyphsweep.functions.hidden import (
     FINDINGS_TYPE,
+    category_classes,
     category_sql,
     contains_hidden,
     find_hidden_array,
@@ -20,7 +20,6 @@ from glyphsweep.functions.hidden import (
 )
 from glyphsweep.operators.joins import broadcast_if_small
 from glyphsweep.rules import (
-    CATEGORIES,
     HIDDEN_RULES,
     UNKNOWN_CATEGORY,
     typography_rules,
@@ -136,21 +135,22 @@ def categorize(
 
 
 def profile_counts(df: DataFrame, col: str, keep: Sequence[Column | str], **opts) -> DataFrame:
-    """Rows with hidden characters, with their number per category (``n_0``, ``n_1``, ...)."""
-    label = category_sql("ascii(hit)", opts.get("extra", ()))
-    labels = sql_over(hidden_hits(col, **opts), f"transform(hits, hit -> {label})", "hits")
-    labelled = df.where(contains_hidden(col, **opts)).select(*keep, labels.alias("_labels"))
-    names = [c for c in labelled.columns if c != "_labels"]
+    """Rows with hidden characters, with their number per category (``n_0``, ``n_1``, ...).
+
+    The text is scanned once for its hits; the categories are counted in those.
+    """
+    hits = F.array_join(hidden_hits(col, **opts), "").alias("_hits")
+    dirty = df.where(contains_hidden(col, **opts)).select(*keep, hits)
+    names = [c for c in dirty.columns if c != "_hits"]
     counts = [
-        F.expr(f"CAST(size(filter(_labels, x -> x = {sql_string(c)})) AS BIGINT) AS n_{i}")
-        for i, c in enumerate(profile_categories(opts))
+        F.regexp_count("_hits", F.lit(cls)).cast("long").alias(f"n_{i}")
+        for i, cls in enumerate(category_classes(opts.get("extra", ())).values())
     ]
-    return labelled.select(*names, *counts)
+    return dirty.select(*names, *counts)
 
 
 def profile_categories(opts: dict) -> list[str]:
-    extra = [r.category for r in opts.get("extra", ())]
-    return list(dict.fromkeys([*CATEGORIES, *extra]))
+    return list(category_classes(opts.get("extra", ())))
 
 
 def unpivot_profile(wide: DataFrame, by: Sequence[str], categories: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glyphsweep.functions.paths import relative_path
 
 COMMITS_SCHEMA = "repo string, sha string, message string"
+_CONTENT_BATCH = 16 * 1024 * 1024
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
@@ -69,47 +70,75 @@ def read_files(
     )
 
 
-def _list_tree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for repo, root in zip(batch["repo"], batch["root"], strict=True):
-            system, base = fs.FileSystem.from_uri(root)
-            infos = system.get_file_info(fs.FileSelector(base, recursive=True))
-            files = [i for i in infos if i.type == fs.FileType.File]
-            cut = len(base.rstrip("/")) + 1
-            yield pd.DataFrame({
-                "repo": repo,
-                "root": root,
-                "path": [i.path[cut:] for i in files],
-                "length": [i.size for i in files],
-            })
+def _expand(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """List directories: their entries, or with ``recursive`` all files below them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            yield batch[~batch["is_dir"]]
+            for row in batch[batch["is_dir"]].itertuples(index=False):
+                system, base = fs.FileSystem.from_uri(row.root)
+                base = base.rstrip("/")
+                pending = [row.path]
+                while pending:
+                    here = f"{base}/{pending.pop()}".rstrip("/")
+                    entries = system.get_file_info(fs.FileSelector(here))
+                    is_dir = [e.type == fs.FileType.Directory for e in entries]
+                    listed = pd.DataFrame({
+                        "repo": row.repo,
+                        "root": row.root,
+                        "path": [e.path[len(base) + 1 :] for e in entries],
+                        "length": [e.size or 0 for e in entries],
+                        "is_dir": pd.Series(is_dir, dtype=bool),
+                    })
+                    if recursive:
+                        pending += listed.loc[listed["is_dir"], "path"].tolist()
+                        listed = listed[~listed["is_dir"]]
+                    yield listed
+
+    return run
 
 
 def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    columns = ["repo", "path", "length", "content"]
     for batch in batches:
+        rows, size = [], 0
         for row in batch.itertuples(index=False):
             system, base = fs.FileSystem.from_uri(row.root)
             with system.open_input_stream(f"{base.rstrip('/')}/{row.path}") as stream:
                 content = stream.read()
-            yield pd.DataFrame(
-                {"repo": [row.repo], "path": [row.path], "length": [row.length], "content": [content]}
-            )
+            rows.append((row.repo, row.path, row.length, content))
+            size += len(content)
+            if size >= _CONTENT_BATCH:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
 
-def list_tree(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:
+def list_tree(
+    spark: SparkSession, roots: Mapping[str, str] | DataFrame, levels: int = 2
+) -> DataFrame:
     """The files of many trees (repo, root, path, length), dot names included.
 
-    ``roots`` is a table or mapping of repository name to the URI of its tree; trees
-    are listed in parallel.
+    ``roots`` is a table or mapping of repository name to the URI of its tree. The
+    directories of the first ``levels`` levels are spread over all tasks, so that one
+    large tree is not listed by a single one.
     """
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame(list(roots.items()), "repo string, root string")
-    return roots.select("repo", "root").repartition("repo", "root").mapInPandas(
-        _list_tree, "repo string, root string, path string, length bigint"
+    schema = "repo string, root string, path string, length bigint, is_dir boolean"
+    entries = roots.select(
+        "repo", "root", F.lit("").alias("path"), F.lit(0).cast("long").alias("length"),
+        F.lit(True).alias("is_dir"),
     )
+    for _ in range(levels):
+        entries = entries.repartition("repo", "path").mapInPandas(_expand(False), schema)
+    files = entries.repartition("repo", "path").mapInPandas(_expand(True), schema)
+    return files.select("repo", "root", "path", "length")
 
 
 def read_tree(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:

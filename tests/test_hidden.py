@@ -188,6 +188,9 @@ def test_user_characters(spark):
     ).first()
     assert row.s == "[$1\\]" * 3 + "b" and row.n == 5
     assert [x.category for x in row.f] == ["user", "user", "user", "dropped", "zero-width"]
+    overlapping = (*extra, CharRule("late", ((0x61, 0x62), (0x200B, 0x200B))))
+    counts = {r.category: r.n_hits for r in ops.profile_hidden(df, "t", extra=overlapping).collect()}
+    assert counts == {"user": 3, "dropped": 1, "zero-width": 1, "late": 1}
     assert len(hidden_rules(extra=extra)) == len(HIDDEN_RULES) + 2
 
 

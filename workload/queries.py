@@ -1025,8 +1025,10 @@ def stream_profile(spark, sf_dir):
     """Hits per six-hour window of event time; the result table is rewritten per batch."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     events = read_text_stream(spark, sf_dir, schema, glob="events.parquet")
+    # The times have no zone; read them as UTC whatever the session's zone is.
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     marked = events.select(
-        F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        ts.alias("ts"), "event_type",
         plant.planted(F.col("props"), F.col("event_id")).alias("text"),
     )
     profile = profile_hidden_stream(marked, "text", "ts", "6 hours", "1 day", ["event_type"])
