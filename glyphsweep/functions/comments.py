@@ -27,7 +27,7 @@ _BLANK = blank_class()
 _BLANK_LINE = sql_string(rf"\A{_BLANK}*+\z")
 _BLANK_BUT_LF = rf"[{_BLANK}&&[^\n]]"
 # The first blank line of a run is kept as it is, the others go.
-_BLANK_RUN = rf"(?<![^\n])({_BLANK_BUT_LF}*+)(?:\n{_BLANK_BUT_LF}*+(?=\n|\z))++"
+_BLANK_RUN = rf"(?dm)^({_BLANK_BUT_LF}*+)(?:\n{_BLANK_BUT_LF}*+(?=\n|\z))++"
 
 
 def has_ai_token(
@@ -105,9 +105,12 @@ def comment_start_pattern(token: str) -> str:
 def _line_comments_sql(comment: str, token: str) -> str:
     start = sql_string(comment_start_pattern(comment))
     code = f"regexp_extract(line, {start}, 1)"
+    # The comment is empty where the line has none.
+    marked = sql_let(
+        f"regexp_extract(line, {start}, 2)", "comment", f"comment <> '' AND comment RLIKE {token}"
+    )
     cleaned = f"""CASE
-        WHEN NOT (contains(line, {sql_string(comment)}) AND line RLIKE {start}
-          AND regexp_extract(line, {start}, 2) RLIKE {token}) THEN line
+        WHEN NOT (contains(line, {sql_string(comment)}) AND {marked}) THEN line
         WHEN {code} RLIKE {_BLANK_LINE} THEN NULL
         ELSE {_trim_sql(code)} END"""
     return f"array_join(array_compact(transform(split(t, '\\n'), line -> {cleaned})), '\\n')"

@@ -18,13 +18,15 @@ from glyphsweep.functions.hidden import (
     strip_hidden,
     u_plus_sql,
 )
-from glyphsweep.operators.joins import broadcast_if_small
+from glyphsweep.operators.joins import BROADCAST_LIMIT, data_bytes
 from glyphsweep.rules import (
     HIDDEN_RULES,
     UNKNOWN_CATEGORY,
     typography_rules,
 )
 
+_SALTS = 16
+
 
 def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
@@ -115,18 +117,28 @@ def categorize(
     The ranges are spread over blocks of 256 code points, so the range join is an
     equality join on the block.
     """
+    salt = F.lit(0)
+    salts = F.array(F.lit(0))
     if ranges is None:
         rules = F.broadcast(code_points(findings.sparkSession).select("lo", "hi", "category"))
     else:
-        rules = broadcast_if_small(ranges.select("lo", "hi", "category"))
+        rules = ranges.select("lo", "hi", "category")
+        if data_bytes(rules) <= BROADCAST_LIMIT:
+            rules = F.broadcast(rules)
+        else:
+            # One code point may be a large part of all findings: spread each over salts.
+            salt = F.pmod(F.xxhash64(*findings.columns), F.lit(_SALTS)).cast("int")
+            salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
     first, last = F.shiftright("lo", 8), F.shiftright("hi", 8)
     blocks = rules.select(
-        F.explode(F.sequence(first, last)).alias("_block"),
         F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("category").alias("_category"),
-    )
+        F.explode(F.sequence(first, last)).alias("_block"),
+    ).select("*", F.explode(salts).alias("_salt"))
     joined = findings.join(
         blocks,
-        (F.shiftright(rune, 8) == F.col("_block")) & F.col(rune).between(F.col("_lo"), F.col("_hi")),
+        (F.shiftright(rune, 8) == F.col("_block"))
+        & (salt == F.col("_salt"))
+        & F.col(rune).between(F.col("_lo"), F.col("_hi")),
         "left",
     )
     label = F.coalesce(F.col("_category"), F.lit(UNKNOWN_CATEGORY))

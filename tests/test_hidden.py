@@ -228,7 +228,9 @@ def test_profile(spark):
     }
 
 
-def test_categorize_by_a_given_table(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_categorize_by_a_given_table(spark, monkeypatch, limit):
+    monkeypatch.setattr(ops, "BROADCAST_LIMIT", limit)
     ranges = spark.createDataFrame([(0x200B, 0x20FF, "mine"), (0xE0000, 0xE01EF, "far")],
                                    "lo int, hi int, category string")
     df = spark.createDataFrame([(0x200B,), (0x2100,), (0xE0100,), (None,)], "rune int")
