@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
 from glyphsweep.functions.dialect import blank_class, search_any
-from glyphsweep.functions.messages import mentions_trace_word
+from glyphsweep.functions.messages import mention_sql, mentions_trace_word
 from glyphsweep.rules import (
     COMMENT_SYNTAX,
     SOURCE_EXTENSIONS,
@@ -49,7 +49,16 @@ def _trim_sql(text: str) -> str:
     return f"rtrim(' \\t', {text})"
 
 
-def _blocks_sql(opening: str, closing: str, token: str) -> str:
+def _marked_sql(text: str, extra: Iterable[LineRule], exclude: Iterable[str]) -> str:
+    """SQL text for ``has_ai_token`` of the value ``text``."""
+    extra = tuple(extra)
+    found = f"{text} RLIKE {sql_string(search_any(comment_rules(extra, exclude)))}"
+    return found if extra else f"({mention_sql(text)} AND {found})"
+
+
+def _blocks_sql(
+    opening: str, closing: str, extra: Iterable[LineRule], exclude: Iterable[str]
+) -> str:
     # An unclosed block is matched to the end of the text, so its opening is not tried
     # again from every later one; it is told apart by its end.
     span = sql_string(rf"(?s){re.escape(opening)}.*?(?:{re.escape(closing)}|\z)")
@@ -57,7 +66,7 @@ def _blocks_sql(opening: str, closing: str, token: str) -> str:
     verdict = f"""CASE
         WHEN NOT (endswith(block, {sql_string(closing)})
           AND char_length(block) >= {len(opening) + len(closing)}
-          AND block RLIKE {token}) THEN 'keep'
+          AND {_marked_sql("block", extra, exclude)}) THEN 'keep'
         WHEN substring_index(p.gaps[i], '\\n', -1) RLIKE {_BLANK_LINE} THEN 'alone'
         ELSE 'inline' END"""
     # A block alone on its lines takes the line feed after it from the next gap.
@@ -85,8 +94,7 @@ def strip_blocks(
     A block alone on its lines goes with its indentation and the line feed after it;
     one behind code goes with the blanks before it. A block that is never closed stays.
     """
-    token = sql_string(search_any(comment_rules(extra, exclude)))
-    return sql_over(c, _blocks_sql(opening, closing, token))
+    return sql_over(c, _blocks_sql(opening, closing, tuple(extra), exclude))
 
 
 def comment_start_pattern(token: str) -> str:
@@ -102,15 +110,18 @@ def comment_start_pattern(token: str) -> str:
     return rf"""(?s)\A((?:[^"'`{lead}]++{partial}{quoted})*+)({re.escape(token)}.*)\z"""
 
 
-def _line_comments_sql(comment: str, token: str) -> str:
-    start = sql_string(comment_start_pattern(comment))
+def _line_comments_sql(
+    token: str, extra: Iterable[LineRule], exclude: Iterable[str]
+) -> str:
+    start = sql_string(comment_start_pattern(token))
     code = f"regexp_extract(line, {start}, 1)"
     # The comment is empty where the line has none.
     marked = sql_let(
-        f"regexp_extract(line, {start}, 2)", "comment", f"comment <> '' AND comment RLIKE {token}"
+        f"regexp_extract(line, {start}, 2)", "comment",
+        f"comment <> '' AND {_marked_sql('comment', extra, exclude)}",
     )
     cleaned = f"""CASE
-        WHEN NOT (contains(line, {sql_string(comment)}) AND {marked}) THEN line
+        WHEN NOT (contains(line, {sql_string(token)}) AND {marked}) THEN line
         WHEN {code} RLIKE {_BLANK_LINE} THEN NULL
         ELSE {_trim_sql(code)} END"""
     return f"array_join(array_compact(transform(split(t, '\\n'), line -> {cleaned})), '\\n')"
@@ -125,8 +136,7 @@ def strip_line_comments(
     A line that is nothing but such a comment goes; behind code, the comment goes with
     the blanks before it.
     """
-    ai = sql_string(search_any(comment_rules(extra, exclude)))
-    return sql_over(c, _line_comments_sql(token, ai))
+    return sql_over(c, _line_comments_sql(token, tuple(extra), exclude))
 
 
 def collapse_blank_lines(c: Column | str) -> Column:
@@ -134,15 +144,17 @@ def collapse_blank_lines(c: Column | str) -> Column:
     return F.regexp_replace(as_column(c), _BLANK_RUN, "$1")
 
 
-def _clean_sql(syntax: CommentSyntax, token: str) -> str:
+def _clean_sql(
+    syntax: CommentSyntax, extra: Iterable[LineRule], exclude: Iterable[str]
+) -> str:
     steps = []
     if syntax.block_open:
-        steps.append(_blocks_sql(syntax.block_open, syntax.block_close, token))
+        steps.append(_blocks_sql(syntax.block_open, syntax.block_close, extra, exclude))
     if syntax.doc_open:
-        steps.append(_blocks_sql(syntax.doc_open, syntax.doc_close, token))
+        steps.append(_blocks_sql(syntax.doc_open, syntax.doc_close, extra, exclude))
     if syntax.html:
-        steps.append(_blocks_sql("<!--", "-->", token))
-    steps.append(_line_comments_sql(syntax.line_token, token))
+        steps.append(_blocks_sql("<!--", "-->", extra, exclude))
+    steps.append(_line_comments_sql(syntax.line_token, extra, exclude))
     text = "t"
     for step in steps:
         text = sql_let(text, "t", step)
@@ -165,12 +177,12 @@ def clean_comments(
     def style(s: CommentSyntax) -> tuple:
         return (s.line_token, s.block_open or "", s.doc_open or "", s.html)
 
-    token = sql_string(search_any(comment_rules(extra, exclude)))
     known = ext.isin(*SOURCE_EXTENSIONS)
     cleaned = F.when(~(known & has_ai_token(c, extra, exclude)), c)
     for _, group in groupby(sorted(COMMENT_SYNTAX, key=style), key=style):
         members = list(group)
         cleaned = cleaned.when(
-            ext.isin(*[s.ext for s in members]), sql_over(c, _clean_sql(members[0], token))
+            ext.isin(*[s.ext for s in members]),
+            sql_over(c, _clean_sql(members[0], extra, exclude)),
         )
     return cleaned.otherwise(c)

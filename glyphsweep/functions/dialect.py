@@ -49,12 +49,23 @@ def hidden_class(rules: Iterable[CharRule], lead: str = "") -> str:
     return body + (rf"(?<!\A{lead}\x{{{BOM:X}}})" if has_bom else "")
 
 
+def _boundary(before: str, after: str, then: str) -> str:
+    """``\\b`` between two tokens, cheaper where one of them is a plain word character."""
+    if len(after) == 1 and re.match(_WORD, after) and then[:1] not in ("*", "?", "{"):
+        return f"(?<!{_WORD})"
+    if len(before) == 1 and re.match(_WORD, before):
+        return f"(?!{_WORD})"
+    return _BOUNDARY
+
+
 def java(pattern: str) -> str:
     """A case-insensitive RE2 pattern in Java syntax (without the flags)."""
+    tokens = _TOKEN.findall(pattern)
+    padded = ["", *tokens, "", ""]
     out = []
-    for token in _TOKEN.findall(pattern):
+    for i, token in enumerate(tokens, start=1):
         if token == r"\b":
-            out.append(_BOUNDARY)
+            out.append(_boundary(padded[i - 1], padded[i + 1], padded[i + 2]))
         elif token == r"\s":
             out.append(f"[{_SPACE}]")
         elif token == "$":

@@ -20,14 +20,14 @@ BLANKS = "".join(chr(cp) for lo, hi in BLANK_RANGES for cp in range(lo, hi + 1))
 _LINES = "split(t, '\\n')"
 
 
-def _mention_sql(text: str = "t") -> str:
+def mention_sql(text: str = "t") -> str:
     found = " OR ".join(f"contains(low, {sql_string(word)})" for word in TRACE_WORDS)
     return sql_let(f"lower({text})", "low", found)
 
 
 def mentions_trace_word(c: Column | str) -> Column:
     """A cheap necessary condition for any built-in pattern or comment token to match."""
-    return sql_over(c, _mention_sql())
+    return sql_over(c, mention_sql())
 
 
 def _searches(rules: Iterable[LineRule]) -> list[str]:
@@ -39,7 +39,7 @@ def _trace_sql(line: str, rules: Iterable[LineRule]) -> str:
     if not found:
         return "false"
     built_in = set(rules) <= set(commit_rules())
-    return f"({_mention_sql(line)} AND ({found}))" if built_in else f"({found})"
+    return f"({mention_sql(line)} AND ({found}))" if built_in else f"({found})"
 
 
 def is_trace_line(
@@ -83,7 +83,7 @@ def clean_message_sql(extra: Iterable[LineRule] = (), exclude: Iterable[str] = (
     dropped = _trace_sql("line", commit_rules(extra, exclude))
     kept = f"array_join(filter({_LINES}, line -> NOT {dropped}), '\\n')"
     if not extra:
-        kept = f"CASE WHEN {_mention_sql()} THEN {kept} ELSE t END"
+        kept = f"CASE WHEN {mention_sql()} THEN {kept} ELSE t END"
     return sql_let(kept, "t", normalize_message_sql())
 
 
