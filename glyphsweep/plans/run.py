@@ -268,7 +268,7 @@ def finalize_run(spark: SparkSession, store: str, run_id: str, n_entries: int) -
     if n_entries == 0:
         return
     created = F.to_timestamp(F.substring(F.lit(run_id), 1, 15), "yyyyMMdd-HHmmss")
-    record = spark.range(1).select(
+    record = spark.range(0, 1, 1, 1).select(
         F.lit(run_id).alias("run_id"), created.alias("created"),
         F.lit(n_entries).cast("long").alias("n_entries"),
     )
@@ -340,9 +340,11 @@ def apply(
     if not given:
         raise ValueError("no table given")
     spark = given[0].sparkSession
-    run_id = run_id or new_run_id()
-    if store is not None and not read_runs(spark, store).where(F.col("run_id") == run_id).isEmpty():
-        raise ValueError(f"run {run_id} is already recorded")
+    if run_id is None:
+        run_id = new_run_id()
+    elif store is not None:
+        if not read_runs(spark, store).where(F.col("run_id") == run_id).isEmpty():
+            raise ValueError(f"run {run_id} is already recorded")
 
     n_entries, files_path, commits_path = 0, None, None
     if commits is not None and "history" in steps:

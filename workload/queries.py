@@ -284,13 +284,6 @@ def profile_by_source(spark, sf_dir):
     return text_ops.profile_hidden(dense_docs(spark, sf_dir), "text", "source")
 
 
-_ROLLUP = (
-    "SELECT {by}, category, (GROUPING_ID({by}, category) = 0)::INT AS detail, "
-    "count(*)::BIGINT AS n_hits, count(DISTINCT {key})::BIGINT AS n_docs, "
-    "{level} AS level FROM found GROUP BY ROLLUP ({by}, category)"
-)
-
-
 @query(
     f"{O.WITH_DENSE}, {O.findings('dense', 'doc_id, lang, source')} SELECT lang, source, category, "
     "(grouping(lang) + grouping(source) + grouping(category))::BIGINT AS level, "
@@ -309,12 +302,12 @@ def _marked_turns(spark, sf_dir):
     return turns.withColumn("text", plant.densely_planted(F.col("text"), F.col("conv_id") + F.col("turn")))
 
 
-_TURNS_SQL = plant.DENSE_SQL.replace("FROM documents", "FROM turns").replace(
-    "SELECT doc_id, lang, source", "SELECT conv_id, role, doc_id"
-)
+# The planting SQL picks its marks by doc_id.
 _WITH_TURNS = (
     "WITH turns AS (SELECT conv_id, role, text, conv_id + turn AS doc_id, turn FROM conversations), "
-    + _TURNS_SQL.replace("SELECT conv_id, role, doc_id", "SELECT conv_id, role, turn")
+    + plant.DENSE_SQL.replace("FROM documents", "FROM turns").replace(
+        "SELECT doc_id, lang, source", "SELECT conv_id, role, turn"
+    )
 )
 
 
@@ -699,7 +692,7 @@ def clean_comments(spark, sf_dir):
 
 # --- Runs --------------------------------------------------------------------------------
 
-_STAGED = f"WITH {O.staged()}, {COMMITS_SQL}" if (COMMITS_SQL := plant.COMMITS_SQL) else ""
+_STAGED = f"WITH {O.staged()}, {plant.COMMITS_SQL}"
 _PLAN = f"{_STAGED}, actions AS ({O.HISTORY} UNION ALL {O.ACTIONS})"
 _COLUMNS = "step_ord, step, repo, path, action"
 
@@ -937,7 +930,7 @@ def sql_find_hidden(spark, sf_dir):
     )
 
 
-# User rules: the soft vowel marks below are not covered by the built-in rules.
+# Letters the built-in rules do not cover.
 USER_CHARS = (CharRule("user", ((0x00E8, 0x00EA), (0x0061, 0x0061)), "_"),)
 
 
