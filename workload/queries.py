@@ -365,6 +365,45 @@ def clean_corpus_unchanged(spark, sf_dir):
     return result
 
 
+@query(
+    "SELECT count(*)::BIGINT AS n_rows, "
+    f"count(*) FILTER (WHERE {O.trace('text')})::BIGINT AS n_trace_texts, "
+    f"count(*) FILTER (WHERE {O.normalized(O.kept_lines('text'))} <> {O.normalized('text')})::BIGINT "
+    "AS n_changed FROM conversations"
+)
+def clean_messages_unchanged(spark, sf_dir):
+    turns = readers.read_text(spark, f"{sf_dir}/conversations.parquet", "conv_id", "text")
+    return turns.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(M.is_trace_line("text")).alias("n_trace_texts"),
+        F.count_if(M.has_traces("text")).alias("n_changed"),
+    )
+
+
+_RAW_EXTENSIONS = [".go", ".ts", ".py", ".rb"]
+_RAW_FILES = (
+    "files AS (SELECT 'r' AS repo, 'd' || doc_id::VARCHAR || "
+    f"{plant._pick_sql('doc_id % 4', _RAW_EXTENSIONS)} AS path, 0::BIGINT AS mode, text FROM documents)"
+)
+
+
+@query(
+    f"WITH {_RAW_FILES}, {O.commented()} SELECT count(*)::BIGINT AS n_rows, "
+    "count(*) FILTER (WHERE after <> before)::BIGINT AS n_changed FROM commented"
+)
+def clean_sources_unchanged(spark, sf_dir):
+    rows = readers.read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    key = F.col("doc_id")
+    sources = rows.select(
+        F.lit("r").alias("repo"),
+        F.concat(F.lit("d"), key.cast("string"), plant._pick(key % 4, _RAW_EXTENSIONS)).alias("path"),
+        F.lit(0).alias("mode"), F.col("text").cast("binary").alias("content"),
+    )
+    return file_ops.clean_comment_files(sources).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("changed").alias("n_changed")
+    )
+
+
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents")
 def read_text(spark, sf_dir):
     rows = readers.read_text(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
