@@ -8,7 +8,7 @@ import __spark_entry__ as driver
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = driver.QUERIES, driver.ORACLE
 
 
 @pytest.fixture(scope="module")
