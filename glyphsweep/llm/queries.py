@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphsweep.llm import bpe
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
+#: The vocabulary that op6 encodes with, by the name the installed package knows.
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +28,18 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query()
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; ids and text as digests."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 @query(r"""
 WITH n AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
