@@ -26,3 +26,19 @@ def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+#: A table up to this many bytes of values may be broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
+
+def broadcast_measured(stored: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``stored``, a written table, with a broadcast hint if its values measure up to ``limit``.
+
+    Beyond that Spark shuffles both sides and splits skewed partitions.
+    """
+    sizes = [F.lit(16)]
+    for name, kind in stored.dtypes:
+        sizes.append(F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(16))
+    measured = stored.agg(F.sum(sum(sizes[1:], sizes[0]).cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(stored) if measured <= limit else stored
