@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam
+from glyphsweep.llm import bpe, decontam, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -34,6 +34,24 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+-- base32: every 10 hexadecimal digits are 40 bits, 8 digits of 5 bits
+c AS (SELECT page_id, g, i, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             CAST((CAST('0x' || substr(h, 10 * g + 1, 10) AS UBIGINT) >> (35 - 5 * i)) & 31 AS INTEGER) + 1, 1) AS digit
+      FROM p, range(4) AS a(g), range(8) AS b(i)),
+d AS (SELECT page_id, string_agg(digit, '' ORDER BY g, i) AS payload_digest FROM c GROUP BY page_id)
+SELECT page_id, strlen(html) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g JOIN d USING (page_id)
+""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; ids and text as digests."""
