@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam, warc
+from glyphsweep.llm import bpe, decontam, secrets, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -34,6 +34,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query()
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base spans, and all spans."""
+    return secrets.digest_columns(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query(r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p),
