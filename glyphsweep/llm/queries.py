@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam, secrets, warc
+from glyphsweep.llm import bpe, decontam, quality, secrets, toxicity, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -58,6 +58,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the positive-unlabelled quality model."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; ids and text as digests."""
@@ -96,6 +102,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "content_hash")
 
 
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the factorization machine."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(r"""
 WITH n AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
