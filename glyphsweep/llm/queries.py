@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam, quality, secrets, toxicity, warc
+from glyphsweep.llm import bpe, decontam, quality, secrets, suffix_dedup, toxicity, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -34,6 +34,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside 200-byte strings that start twice in the corpus."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base spans, and all spans."""
