@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam, quality, secrets, suffix_dedup, toxicity, warc
+from glyphsweep.llm import bpe, decontam, near_dedup, quality, secrets, suffix_dedup, toxicity, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -108,6 +108,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "content_hash")
 
 
+@query()
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the factorization machine."""
