@@ -19,11 +19,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The two columns an operator reads, as ``key`` and ``text`` (null: empty)."""
-    return df.select(F.col(key).alias("key"), text_or_empty(F.col(text)).alias("text"))
-
-
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

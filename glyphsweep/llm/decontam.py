@@ -147,3 +147,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), listed.alias("items"),
         F.col("content").alias("content_hash"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                      item_key: str = "item_id", item_text: str = "text", size: int = WINDOW,
+                      share: int = 20) -> DataFrame:
+    """``docs`` without its contaminated documents, all columns kept."""
+    bad = staged(contamination(docs, items, key, text, item_key, item_text, size, share).where("contaminated").select(
+        F.col(key).alias("_bad_key"), F.col("content_hash").alias("_bad_content")), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("_bad_key")) & (F.xxhash64(text_or_empty(F.col(text))) == F.col("_bad_content"))
+    return docs.join(bad, same, "left_anti")

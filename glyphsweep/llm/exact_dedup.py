@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphsweep.llm.common import keyed_text, text_or_empty
+from glyphsweep.llm.common import staged, text_or_empty
 
 #: Bytes of distinct content a table holds before it spills.
 TABLE_BYTES = 64 * 1024 * 1024
@@ -208,15 +208,15 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Where the same key and text occur in several rows, which of them stays is open.
     """
-    names = docs.columns
-    classes = content_classes(docs, key, text, table_bytes).select("digest", "keep_id", "ties")
-    marked = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(key).alias("_key"),
-        F.sha2(normalised(F.col(text)), 256).alias("_digest"),
-    )
-    same = (F.col("_digest") == F.col("digest")) & F.col("_key").eqNullSafe(F.col("keep_id"))
-    kept = marked.join(classes, same).select("row", "digest", "ties")
-    alone = kept.where("ties = 1").select("row")
-    first = Window.partitionBy("digest").orderBy(F.lit(0))
-    tied = kept.where("ties > 1").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("row")
-    return alone.unionByName(tied).select("row.*")
+    classes = content_classes(docs, key, text, table_bytes)
+    members = docs.select(F.col(key).alias("_key"), F.sha2(normalised(F.col(text)), 256).alias("digest"))
+    judged = staged(members.join(classes, "digest").select(
+        "_key", "digest", (F.col("ties") > 1).alias("tied"), F.col("_key").eqNullSafe(F.col("keep_id")).alias("least"),
+    ).where("tied OR NOT least").distinct(), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col(key).alias("_row_key"),
+                       F.sha2(normalised(F.col(text)), 256).alias("_row_digest"))
+    same = (F.col("_row_digest") == F.col("digest")) & F.col("_row_key").eqNullSafe(F.col("_key"))
+    alone = rows.join(judged, same, "left_anti")
+    first = Window.partitionBy("_row_digest").orderBy(F.lit(0))
+    tied = rows.join(judged.where("tied AND least"), same, "left_semi").withColumn("_n", F.row_number().over(first))
+    return alone.select("row.*").unionByName(tied.where("_n = 1").select("row.*"))

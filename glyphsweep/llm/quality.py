@@ -165,3 +165,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     scored = docs.select(F.col(key).alias(key), F.coalesce(fold(F.col(key), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
                          score(F.col(text), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+              threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those scored below ``threshold``, all columns kept."""
+    model = train(docs, labels, key, text)
+    return docs.where(score(F.col(text), model) >= threshold)
