@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.llm import bpe, decontam, near_dedup, quality, secrets, suffix_dedup, toxicity, warc
+from glyphsweep.llm import bpe, decontam, licenses, near_dedup, quality, secrets, suffix_dedup, toxicity, warc
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -70,6 +70,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.licence_scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; ids and text as digests."""
