@@ -306,18 +306,22 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _anchors(length: int):
-    schema = pa.schema([("hash", pa.int64()), ("route", pa.int64())])
+    """``hash, route, n``: each text's hashes once, texts of a batch that are equal together."""
+    schema = pa.schema([("hash", pa.int64()), ("route", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, routes = [], []
+            copies: dict[bytes, list[int]] = {}
             for route, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = segments(data.as_py(), length)[0]
-                hashes.append(found.view(np.int64))
-                routes.append(np.full(len(found), route, np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(routes))], schema=schema)
+                copies.setdefault(data.as_py(), [route, 0])[1] += 1
+            columns: list[list[np.ndarray]] = [[], [], []]
+            for data, (route, n) in copies.items():
+                hashes, counts = np.unique(segments(data, length)[0], return_counts=True)
+                columns[0].append(hashes.view(np.int64))
+                columns[1].append(np.full(len(hashes), route, np.int64))
+                columns[2].append(counts * n)
+            if copies:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=schema)
 
     return run
 
@@ -445,9 +449,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     ``id`` is the first half of the text's SHA-256; spans of a text may overlap.
     """
     data = docs.select(*_ids(text), F.encode(text_or_empty(F.col(text)), "utf-8").alias("data"))
-    anchors = data.select("route", "data").mapInArrow(_anchors(length), "hash long, route long")
-    shared = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = anchors.join(shared, "hash").groupBy("route").agg(F.collect_set("hash").alias("hashes"))
+    anchors = data.select("route", "data").mapInArrow(_anchors(length), "hash long, route long, n long")
+    shared = anchors.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    wanted = anchors.select("hash", "route").join(shared, "hash").groupBy("route").agg(F.collect_set("hash").alias("hashes"))
     texts = distinct_texts(docs, text).join(wanted, "route").select("id", "packed", "copies", "hashes")
     found = staged(texts.mapInArrow(_candidates(length), _CANDIDATES), "segments")
     classes = found.where("segment IS NOT NULL").select("hash", "class", "anchor", "segment", "copies")
