@@ -33,8 +33,6 @@ FINDINGS_TYPE = (
 # Ranges up to this long are compared as listed code points, longer ones by bounds.
 _LISTED = 32
 
-# Up to this many findings of one text are summed up by appending.
-_APPENDED = 64
 
 
 def is_ascii(c: Column | str) -> Column:
@@ -209,23 +207,20 @@ def _measures_sql(rules: Iterable[CharRule]) -> str:
     return sql_let(_pieces_sql(rules), "p", f"transform({ahead}, (piece, i) -> {measure})")
 
 
-def piece_measures(c: Column | str, **opts) -> Column:
-    """Per hit, the text from the hit before it up to the hit.
+def pieces(c: Column | str, **opts) -> Column:
+    """The text cut in front of every hit.
 
-    An array of ``(rune, bytes, lines, chars)``: the hit's code point, the bytes and the
-    line feeds ahead of it, and the characters ahead of it since the last line feed.
-    The first measure has one byte, and on its first line one character, too many (see
-    ``_pieces_sql``). Summing measures gives offsets, lines and columns.
+    The first piece has a letter put in front, so its measures have one byte and, on
+    the first line, one character too many.
     """
-    return sql_over(c, _measures_sql(hidden_rules(**opts)))
+    return sql_over(c, _pieces_sql(hidden_rules(**opts)))
 
 
 def _running_sql(measures: str) -> str:
     """Running totals along an array of measures.
 
-    Short arrays are appended to one by one, which copies n^2 / 2 elements. Longer ones
-    take a doubling scan: after pass k every element covers the 2^k measures up to it,
-    so n hits need log2(n) linear passes.
+    A doubling scan: after pass k every element covers the 2^k measures up to it, so n
+    hits need log2(n) linear passes.
     """
 
     def combined(before: str) -> str:
@@ -235,10 +230,6 @@ def _running_sql(measures: str) -> str:
           'lines', {before}.lines + x.lines,
           'chars', CASE WHEN x.lines > 0 THEN x.chars ELSE {before}.chars + x.chars END)"""
 
-    appended = (
-        "aggregate(slice(m, 2, size(m) - 1), slice(m, 1, 1), "
-        f"(acc, x) -> concat(acc, array({combined('element_at(acc, -1)')})))"
-    )
     one_pass = (
         "transform(acc, (x, i) -> CASE WHEN i >= shiftleft(1, k) "
         f"THEN {combined('acc[i - shiftleft(1, k)]')} ELSE x END)"
@@ -246,8 +237,7 @@ def _running_sql(measures: str) -> str:
     passes = "sequence(0, char_length(bin(size(m) - 1)) - 1)"
     return sql_let(
         measures, "m",
-        f"CASE WHEN size(m) < 2 THEN m WHEN size(m) <= {_APPENDED} THEN {appended} "
-        f"ELSE aggregate({passes}, m, (acc, k) -> {one_pass}) END",
+        f"CASE WHEN size(m) < 2 THEN m ELSE aggregate({passes}, m, (acc, k) -> {one_pass}) END",
     )
 
 

@@ -27,7 +27,8 @@ def register_sql_functions(spark: SparkSession, prefix: str = "", **opts) -> lis
         "count_hidden": f"INT RETURN {count_hidden_sql(**opts)}",
         "clean_message": f"STRING RETURN {clean_message_sql()}",
         "find_hidden": (
-            f"TABLE ({_FINDING_COLUMNS}) RETURN SELECT * FROM inline({find_hidden_sql(**opts)})"
+            f"TABLE ({_FINDING_COLUMNS}) RETURN SELECT * FROM inline("
+            f"CASE WHEN {contains_hidden_sql(**opts)} THEN {find_hidden_sql(**opts)} END)"
         ),
     }
     for name, body in bodies.items():

@@ -20,7 +20,6 @@ from glyphsweep.functions.paths import (
     removed_as_artifact,
     removed_as_markdown,
 )
-from glyphsweep.operators.joins import broadcast_if_small
 from glyphsweep.rules import COMMENT_SYNTAX, STORE_DIR, TOOL_FILES, TOOL_PATHS, LineRule
 
 KEYS = ("repo", "path")
@@ -58,7 +57,7 @@ def match_rules(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     if rules is None:
         names = F.broadcast(name_rules(files.sparkSession))
     else:
-        names = broadcast_if_small(rules.select("base"))
+        names = rules.select("base")
     visited = files.where(~in_skipped_dir("path")).withColumn("base", base_name("path"))
     return visited.join(names, "base", "left_semi").select(*files.columns)
 
@@ -86,7 +85,7 @@ def removals(
 
 def apply_removals(files: DataFrame, removed: DataFrame) -> DataFrame:
     """The files that are not removed."""
-    return files.join(broadcast_if_small(removed.select(*KEYS)), list(KEYS), "left_anti")
+    return files.join(removed.select(*KEYS), list(KEYS), "left_anti")
 
 
 def changed(before: Column | str, after: Column | str) -> Column:

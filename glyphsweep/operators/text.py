@@ -14,18 +14,16 @@ from glyphsweep.functions.hidden import (
     contains_hidden,
     find_hidden_array,
     hidden_hits,
-    piece_measures,
+    pieces,
     strip_hidden,
     u_plus_sql,
 )
-from glyphsweep.operators.joins import BROADCAST_LIMIT, data_bytes
 from glyphsweep.rules import (
     HIDDEN_RULES,
     UNKNOWN_CATEGORY,
     typography_rules,
 )
 
-_SALTS = 16
 
 
 def _names(columns: str | Sequence[str]) -> list[str]:
@@ -71,16 +69,22 @@ def running_positions(
     """``find_hidden`` with window sums over the exploded hits.
 
     For texts with so many hits that their findings should not be held in one row:
-    only integers are shuffled, and the windows stream over each text's hits. ``key``
+    pieces are measured one by one, only integers are shuffled, and the windows stream
+    over each text's hits. ``key``
     must be unique.
     """
     keys = _names(key)
-    measures = piece_measures(col, **opts)
-    hits = (
-        df.where(contains_hidden(col, **opts))
-        .select(*keys, F.posexplode_outer(measures).alias("pos", "m"))
-        .select(*keys, "pos", "m.*")
+    cut = df.where(contains_hidden(col, **opts)).select(
+        *keys, F.posexplode_outer(pieces(col, **opts)).alias("pos", "piece"))
+    feeds = F.octet_length("piece") - F.octet_length(F.replace("piece", F.lit("\n"), F.lit("")))
+    measured = cut.select(
+        *keys, "pos", F.ascii("piece").alias("head"), F.octet_length("piece").cast("long").alias("bytes"),
+        feeds.cast("long").alias("lines"),
+        F.char_length(F.substring_index("piece", "\n", -1)).cast("long").alias("chars"),
     )
+    # a piece ends where the hit stands that the next one begins with
+    ends = Window.partitionBy(*keys).orderBy("pos")
+    hits = measured.withColumn("rune", F.lead("head").over(ends)).where("rune IS NOT NULL")
     so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = hits.select(
         *keys, "pos", "rune", "chars",
@@ -117,27 +121,18 @@ def categorize(
     The ranges are spread over blocks of 256 code points, so the range join is an
     equality join on the block.
     """
-    salt = F.lit(0)
-    salts = F.array(F.lit(0))
     if ranges is None:
         rules = F.broadcast(code_points(findings.sparkSession).select("lo", "hi", "category"))
-    else:
+    else:  # adaptive execution sees the size of the table and splits a frequent block
         rules = ranges.select("lo", "hi", "category")
-        if data_bytes(rules) <= BROADCAST_LIMIT:
-            rules = F.broadcast(rules)
-        else:
-            # One code point may be a large part of all findings: spread each over salts.
-            salt = F.pmod(F.xxhash64(*findings.columns), F.lit(_SALTS)).cast("int")
-            salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
     first, last = F.shiftright("lo", 8), F.shiftright("hi", 8)
     blocks = rules.select(
         F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("category").alias("_category"),
         F.explode(F.sequence(first, last)).alias("_block"),
-    ).select("*", F.explode(salts).alias("_salt"))
+    )
     joined = findings.join(
         blocks,
         (F.shiftright(rune, 8) == F.col("_block"))
-        & (salt == F.col("_salt"))
         & F.col(rune).between(F.col("_lo"), F.col("_hi")),
         "left",
     )

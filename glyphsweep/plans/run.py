@@ -8,9 +8,11 @@ can simply be repeated under the same id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,10 +36,9 @@ from glyphsweep.operators.files import (
     source_text,
     strip_in_file,
 )
-from glyphsweep.operators.joins import broadcast_if_small
 from glyphsweep.plans.steps import select_steps
 from glyphsweep.rules import STEP_ORDER, STORE_DIR, LineRule
-from glyphsweep.sources.sinks import write_cleaned
+from glyphsweep.sources.scratch import new_path
 
 DEFAULT_MODE = 0o644
 RUNS_SCHEMA = "run_id string, created timestamp, n_entries bigint"
@@ -248,8 +249,7 @@ def first_saved(saves: DataFrame) -> DataFrame:
 
 def touched_originals(files: DataFrame, actions: DataFrame) -> DataFrame:
     """The original rows of the files that ``actions`` name."""
-    keys = actions.select(*KEYS).dropDuplicates()
-    return files.join(broadcast_if_small(keys), list(KEYS), "left_semi")
+    return files.join(actions.select(*KEYS).dropDuplicates(), list(KEYS), "left_semi")
 
 
 def save_originals(touched: DataFrame, store: str, run_id: str) -> int:
@@ -332,43 +332,72 @@ def apply(
 ) -> RunResult:
     """Carry a plan out: save originals, write the cleaned tables below ``out``, record the run.
 
-    ``store=None`` saves no originals. The file table is read twice, once for the
-    originals of touched files and once for the cleaned table, and never shuffled.
+    The tables go to ``out/run_id=<id>``, so no run writes over another's. A place that
+    exists is replaced only if it belongs to this run id and the run is not recorded; one
+    that an input is read from never is. ``store=None`` saves no originals. Every file is
+    judged once: the verdicts are written to the shared folder, and originals and cleaned
+    table are taken from there. Files without a path are kept as they are.
     """
     steps = select_steps(only, skip)
     given = [t for t in (files, commits) if t is not None]
     if not given:
         raise ValueError("no table given")
     spark = given[0].sparkSession
-    if run_id is None:
-        run_id = new_run_id()
-    elif store is not None:
+    repeated = run_id is not None
+    run_id = run_id or new_run_id()
+    if repeated and store is not None:
         if not read_runs(spark, store).where(F.col("run_id") == run_id).isEmpty():
             raise ValueError(f"run {run_id} is already recorded")
+    target = f"{out.rstrip('/')}/run_id={run_id}"
+    for source in (place for t in given for place in t.inputFiles()):
+        if _plain(source).startswith(_plain(target) + "/"):
+            raise ValueError(f"{target} is an input of the run")
+    mode = "overwrite" if repeated and store is not None else "errorifexists"
 
     n_entries, files_path, commits_path = 0, None, None
+    if files is not None and set(steps) - {"history"}:
+        files_path = f"{target}/files"
+        verdicts = stage_files(files, steps, rules)
+        touched = F.size("steps") > 0
+        place = new_path(spark, "verdicts")
+        verdicts = verdicts.select(
+            *KEYS, "mode", F.when(touched, F.col("content")).alias("content"), "steps",
+            F.coalesce("removed", F.lit(False)).alias("removed"), "cleaned", touched.cast("int").alias("touched"),
+        )
+        verdicts.write.partitionBy("touched").parquet(place)
+        judged = spark.read.schema(verdicts.schema).parquet(place)
+        if store is not None:
+            n_entries = save_originals(judged.where("touched = 1"), store, run_id)
+        kept = judged.where("NOT removed").select(*KEYS, "mode", F.col("cleaned").alias("content"))
+        kept.write.mode(mode).parquet(files_path)
     if commits is not None and "history" in steps:
-        commits_path = f"{out.rstrip('/')}/commits"
+        commits_path = f"{target}/commits"
         cleaned = F.when(
             has_traces("message", rules.extra_commit_rules, rules.exclude_commit_rules),
             clean_message("message", rules.extra_commit_rules, rules.exclude_commit_rules),
         ).otherwise(F.col("message"))
-        write_cleaned(commits.withColumn("message", cleaned), commits_path, overwrite=True)
-    if files is not None and set(steps) - {"history"}:
-        staged = stage_files(files, steps, rules)
-        if store is not None:
-            n_entries = save_originals(touched_files(files, steps, rules), store, run_id)
-        files_path = f"{out.rstrip('/')}/files"
-        kept = staged.where(~F.col("removed"))
-        write_cleaned(
-            kept.select(*KEYS, "mode", F.col("cleaned").alias("content")), files_path,
-            overwrite=True,
-        )
+        commits.withColumn("message", cleaned).write.mode(mode).parquet(commits_path)
     if store is not None:
         finalize_run(spark, store, run_id, n_entries)
     return RunResult(run_id, files_path, commits_path, n_entries)
 
 
+def _plain(place: str) -> str:
+    """A path without the scheme of local files, to compare places by text."""
+    return re.sub(r"^file:/+", "/", unquote(place))
+
+
+def restore_actions(current: DataFrame, originals: DataFrame) -> DataFrame:
+    """What ``restore`` would do: (repo, path, action), ``recreate`` or ``revert``.
+
+    Files that equal their originals already are not listed.
+    """
+    now = current.select(*KEYS, F.col("content").alias("_now"), F.lit(True).alias("_there"))
+    joined = originals.select(*KEYS, "content").join(now, list(KEYS), "left")
+    action = F.when(F.col("_there").isNull(), "recreate").when(~F.col("content").eqNullSafe(F.col("_now")), "revert")
+    return joined.select(*KEYS, action.alias("action")).where("action IS NOT NULL")
+
+
 def run_actions(originals: DataFrame) -> DataFrame:
     """The actions a recorded run took, from its originals alone."""
     return _as_actions(originals.select(*KEYS, "steps"))
@@ -382,9 +411,7 @@ def restore(current: DataFrame, originals: DataFrame) -> DataFrame:
     """
     saved_mode = F.coalesce(F.nullif("mode", F.lit(0)), F.lit(DEFAULT_MODE))
     saved = originals.select(*KEYS, saved_mode.alias("mode"), "content")
-    untouched = current.join(
-        broadcast_if_small(originals.select(*KEYS)), list(KEYS), "left_anti"
-    )
+    untouched = current.join(originals.select(*KEYS), list(KEYS), "left_anti")
     return untouched.select(*KEYS, "mode", "content").unionByName(saved)
 
 

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsweep.functions.paths import relative_path
+from glyphsweep.rules import UNVISITED_DIRS
+from glyphsweep.sources.scratch import new_path
 
 COMMITS_SCHEMA = "repo string, sha string, message string"
 _CONTENT_BATCH = 16 * 1024 * 1024
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files fill fewer than half of them.
-
-    The cleaning work is per character, so a table of a few files would keep most cores
-    idle. One that small holds less than a file split per core, which bounds what is
-    shuffled; a large table is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+_LISTING_BATCH = 10_000
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def read_text(
@@ -49,54 +41,45 @@ def read_commits(
 def read_files(
     spark: SparkSession, root: str, repo: str = "", glob: str | None = None
 ) -> DataFrame:
-    """The files below ``root`` as (repo, path, mode, length, content).
+    """The files below ``root`` as (repo, path, mode, length, content), whatever their names.
 
-    Content is read only where the column is used. Spark's file sources leave out
-    names that start with a dot or an underscore; ``read_tree`` does not.
+    ``glob`` is matched against the name; only the matching files are read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if not re.match(_SCHEME, root):
+        root = os.path.abspath(root)
+    where = None
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    plain = F.regexp_replace("path", _SCHEME, "")
-    base = re.sub(_SCHEME, "", root)
-    if base == root and not root.startswith("/"):
-        base = os.path.abspath(root)
-    return reader.load(root).select(
-        F.lit(repo).alias("repo"),
-        relative_path(plain, base).alias("path"),
-        F.lit(None).cast("int").alias("mode"),
-        "length",
-        "content",
-    )
+        where = F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(glob).replace(r"\z", r"\Z"))
+    return read_tree(spark, {repo: root}, where=where)
 
 
-def _expand(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """List directories: their entries, or with ``recursive`` all files below them."""
+def _expand(skip_dirs: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The entries of directories, a batch of entries at a time.
+
+    Directories to be skipped are not listed; links are not followed nor returned.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        columns = ["repo", "root", "path", "length", "is_dir"]
         for batch in batches:
-            yield batch[~batch["is_dir"]]
-            for row in batch[batch["is_dir"]].itertuples(index=False):
+            for row in batch.itertuples(index=False):
                 system, base = fs.FileSystem.from_uri(row.root)
+                local = isinstance(system, fs.LocalFileSystem)
                 base = base.rstrip("/")
-                pending = [row.path]
-                while pending:
-                    here = f"{base}/{pending.pop()}".rstrip("/")
-                    entries = system.get_file_info(fs.FileSelector(here))
-                    is_dir = [e.type == fs.FileType.Directory for e in entries]
-                    listed = pd.DataFrame({
-                        "repo": row.repo,
-                        "root": row.root,
-                        "path": [e.path[len(base) + 1 :] for e in entries],
-                        "length": [e.size or 0 for e in entries],
-                        "is_dir": pd.Series(is_dir, dtype=bool),
-                    })
-                    if recursive:
-                        pending += listed.loc[listed["is_dir"], "path"].tolist()
-                        listed = listed[~listed["is_dir"]]
-                    yield listed
+                rows = []
+                for e in system.get_file_info(fs.FileSelector(f"{base}/{row.path}".rstrip("/"))):
+                    is_dir = e.type == fs.FileType.Directory
+                    regular = is_dir or e.type == fs.FileType.File
+                    if not regular or (local and os.path.islink(e.path)) or (is_dir and e.base_name in skip_dirs):
+                        continue
+                    rows.append((row.repo, row.root, e.path[len(base) + 1:], e.size or 0, is_dir))
+                    if len(rows) == _LISTING_BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -109,7 +92,7 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for row in batch.itertuples(index=False):
             system, base = fs.FileSystem.from_uri(row.root)
-            with system.open_input_stream(f"{base.rstrip('/')}/{row.path}") as stream:
+            with system.open_input_stream(f"{base.rstrip('/')}/{row.path}", compression=None) as stream:
                 content = stream.read()
             rows.append((row.repo, row.path, row.length, content))
             size += len(content)
@@ -120,36 +103,53 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_tree(
-    spark: SparkSession, roots: Mapping[str, str] | DataFrame, levels: int = 2
+    spark: SparkSession, roots: Mapping[str, str] | DataFrame, skip_dirs: Iterable[str] = UNVISITED_DIRS,
 ) -> DataFrame:
-    """The files of many trees (repo, root, path, length), dot names included.
+    """The regular files of many trees (repo, root, path, length), dot names included.
 
-    ``roots`` is a table or mapping of repository name to the URI of its tree. The
-    directories of the first ``levels`` levels are spread over all tasks, so that one
-    large tree is not listed by a single one.
+    ``roots`` is a table or mapping of repository name to the URI of its tree. Trees are
+    expanded level by level until no directory is left: every level is one job whose
+    directories are dealt to all tasks and whose entries are written to the shared
+    folder, so no task walks a subtree and a lost executor repeats part of a level.
+    Directories named in ``skip_dirs`` are not entered.
     """
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame(list(roots.items()), "repo string, root string")
     schema = "repo string, root string, path string, length bigint, is_dir boolean"
-    entries = roots.select(
+    level = roots.select(
         "repo", "root", F.lit("").alias("path"), F.lit(0).cast("long").alias("length"),
         F.lit(True).alias("is_dir"),
     )
-    for _ in range(levels):
-        entries = entries.repartition("repo", "path").mapInPandas(_expand(False), schema)
-    files = entries.repartition("repo", "path").mapInPandas(_expand(True), schema)
-    return files.select("repo", "root", "path", "length")
-
-
-def read_tree(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:
+    place, depth = new_path(spark, "listing"), 0
+    while True:
+        entries = level.where("is_dir").repartition("repo", "path").mapInPandas(_expand(frozenset(skip_dirs)), schema)
+        entries.write.parquet(f"{place}/level={depth}")
+        level = spark.read.schema(schema).parquet(f"{place}/level={depth}")
+        if level.where("is_dir").isEmpty():
+            break
+        depth += 1
+    levels = [f"{place}/level={i}" for i in range(depth + 1)]
+    return spark.read.schema(schema).parquet(*levels).where("NOT is_dir").select("repo", "root", "path", "length")
+
+
+def read_tree(
+    spark: SparkSession, roots: Mapping[str, str] | DataFrame, where: Column | None = None,
+    modes: DataFrame | None = None, skip_dirs: Iterable[str] = UNVISITED_DIRS,
+) -> DataFrame:
     """The files of many trees as (repo, path, mode, length, content), dot names included.
 
-    The listing is shuffled by file, so the files of a large tree are read by all tasks.
+    ``where`` is a condition on repo, path and length; only files that meet it are read.
+    ``modes`` is an inventory (repo, path, mode) that the modes come from; else they are
+    null. The listing is dealt by file, so all tasks read the files of a large tree.
     """
-    listing = list_tree(spark, roots)
+    listing = list_tree(spark, roots, skip_dirs)
+    if where is not None:
+        listing = listing.where(where)
     contents = listing.repartition("repo", "path").mapInPandas(
         _read_contents, "repo string, path string, length bigint, content binary"
     )
-    return contents.select(
-        "repo", "path", F.lit(None).cast("int").alias("mode"), "length", "content"
-    )
+    if modes is None:
+        contents = contents.withColumn("mode", F.lit(None).cast("int"))
+    else:
+        contents = contents.join(modes.select("repo", "path", F.col("mode").cast("int")), ["repo", "path"], "left")
+    return contents.select("repo", "path", "mode", "length", "content")

@@ -1,26 +1,22 @@
-"""Sinks. None of them writes over a table it could have been read from."""
+"""Sinks. None of them writes over anything."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def write_cleaned(
-    df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False
-) -> None:
-    """Write a cleaned table to a new place; ``overwrite`` is for repeating a failed run."""
-    df.write.format(fmt).mode("overwrite" if overwrite else "errorifexists").save(path)
+def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write a cleaned table to a new place; a place that exists is an error."""
+    df.write.format(fmt).mode("errorifexists").save(path)
 
 
-def write_findings(
-    df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False
-) -> None:
+def write_findings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write findings as Parquet or JSON lines."""
     if fmt not in ("parquet", "json"):
         raise ValueError(f"findings are written as parquet or json, not {fmt!r}")
-    write_cleaned(df, path, fmt, overwrite)
+    write_cleaned(df, path, fmt)
 
 
-def write_summary(df: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_summary(df: DataFrame, path: str) -> None:
     """Write actions or a summary as JSON lines."""
-    write_cleaned(df, path, "json", overwrite)
+    write_cleaned(df, path, "json")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphsweep.functions import paths as P
 from glyphsweep.operators import files as ops
-from glyphsweep.operators.joins import broadcast_if_small, data_bytes
+from glyphsweep.plans import run
 from glyphsweep.rules import SOURCE_EXTENSIONS
 
 ARTIFACTS = [
@@ -15,12 +15,12 @@ ARTIFACTS = [
     ".codex/a", ".cursor/a", ".continue/a", ".aider/a", ".claude/node_modules/x", "src/AGENTS.md",
 ]
 MARKDOWN = [
-    "CHANGELOG.md", "src/notes.md", "guide.Md", "src/doc.md", "src/README.md", "src/lib/notes.md",
+    "CHANGELOG.md", "pkg/plans.md", "guide.Md", "src/doc.md", "src/README.md", "pkg/todo.md",
     "Docs/guide.md",
 ]
 KEPT = [
-    "src/legitimate.go", "README.md", "readme.md", "README.MD", "docs/guide.md", "doc/api.md",
-    "adr/001-decision.md", "vendor/lib.md", "node_modules/pkg.md", "docs/internal/db.md", "main.go",
+    "cmd/run.go", "README.md", "readme.md", "README.MD", "docs/guide.md", "doc/api.md",
+    "adr/use-parquet.md", "vendor/about.md", "node_modules/left/why.md", "docs/ops/backup.md", "main.go",
     "vendor/CLAUDE.md", "vendor/.claude/x.md", "src/.claude/x.md", ".claude", "claude.md",
     "copilot-instructions.md", "src/docs/a.md", ".glyphsweep/CLAUDE.md", ".git/x.md",
 ]
@@ -95,13 +95,12 @@ def test_changed(spark):
     assert [r[0] for r in df.select(ops.changed("x", "y")).collect()] == [False, True, False, True]
 
 
-def test_broadcast_only_below_the_limit(spark):
-    df = spark.createDataFrame([("ab", bytearray(b"abc"), 1)], "s string, b binary, i int")
-    assert data_bytes(df) == 32 + 2 + 3 + 16
-    assert data_bytes(df.where("false")) == 0
-    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(broadcast_if_small(df))
-    assert "broadcast" not in plan(broadcast_if_small(df, limit=52))
-    big = spark.range(10).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("path"))
-    kept = big.join(broadcast_if_small(big.where("path > '4'"), limit=1), ["repo", "path"], "left_anti")
-    assert kept.count() == 5
+def test_joins_are_lazy(spark):
+    files = tree(spark, ARTIFACTS + KEPT)
+    tracker, group = spark.sparkContext.statusTracker(), "lazy"
+    spark.sparkContext.setJobGroup(group, group)
+    kept = ops.apply_removals(files, ops.removals(files))
+    run.restore(run.touched_originals(files, run.plan(files)), files)
+    assert tracker.getJobIdsForGroup(group) == []
+    assert kept.count() == len(KEPT)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -21,51 +21,38 @@ OPTIONS = [
 ]
 BOTH = {"keep_zwj": True, "keep_variation_selectors": True}
 
-STRIP_CASES = [
-    ("zero width space", "he\u200Bllo", {}, "hello"),
-    ("zero width non-joiner", "a\u200Cb", {}, "ab"),
-    ("zero width joiner", "a\u200Db", {}, "ab"),
-    ("word joiner", "a\u2060b", {}, "ab"),
-    ("soft hyphen", "co\u00ADoperate", {}, "cooperate"),
-    ("invisible plus", "1\u20642", {}, "12"),
-    ("invisible times", "1\u20622", {}, "12"),
-    ("narrow no-break space", "1\u202Fkg", {}, "1 kg"),
-    ("no-break space", "a\u00A0b", {}, "a b"),
-    ("ideographic space", "a\u3000b", {}, "a b"),
-    ("left-to-right mark", "x\u200Ey", {}, "xy"),
-    ("bidi override", "x\u202Ey", {}, "xy"),
-    ("bidi isolate", "x\u2066y\u2069", {}, "xy"),
-    ("variation selector 16", "a\uFE0Fb", {}, "ab"),
-    ("variation selector supplement", "a\U000e0100b", {}, "ab"),
-    ("tag", "hi\U000e0041!", {}, "hi!"),
-    ("line separator", "a\u2028b", {}, "a\nb"),
-    ("paragraph separator", "a\u2029b", {}, "a\nb"),
-    ("leading byte-order mark", BOM + "package main", {}, BOM + "package main"),
-    ("byte-order mark inside", f"a{BOM}b", {}, "ab"),
-    ("second byte-order mark", f"{BOM}{BOM}b", {}, f"{BOM}b"),
-    ("byte-order mark behind a deleted one", f"\u200B{BOM}b", {}, "b"),
-    ("clean ascii", "package main\n\nfunc main() {}\n", {}, "package main\n\nfunc main() {}\n"),
-    ("clean non-ascii", "café naïve 你好", {}, "café naïve 你好"),
-    ("several", "start\u200Bmid\u202Fend\U000e0042", {}, "startmid end"),
-    ("adjacent", "a\u200B\u200B\u202Fb", {}, "a b"),
-    ("at the start", "\u200Babc", {}, "abc"),
-    ("at the end", "abc\u200B", {}, "abc"),
-    ("nothing else", "\u200B", {}, ""),
-    ("empty", "", {}, ""),
-    ("typography left alone", "a\u2014b", {}, "a\u2014b"),
-    ("em dash", "a\u2014b", {"typography": True}, "a--b"),
-    ("en dash", "2010\u20132020", {"typography": True}, "2010-2020"),
-    ("double quotes", "\u201Chi\u201D", {"typography": True}, '"hi"'),
-    ("single quotes", "\u2018hi\u2019", {"typography": True}, "'hi'"),
-    ("ellipsis", "wait\u2026", {"typography": True}, "wait..."),
-    ("minus", "\u22125", {"typography": True}, "-5"),
-    ("joiner kept", "a\u200Db", {"keep_zwj": True}, "a\u200Db"),
-    ("joiner kept, space not", "a\u200Db\u200Bc", {"keep_zwj": True}, "a\u200Dbc"),
-    ("selector kept", "a\uFE0Fb", {"keep_variation_selectors": True}, "a\uFE0Fb"),
-    ("emoji sequence kept", "\U0001f468\u200D\U0001f4bb", BOTH, "\U0001f468\u200D\U0001f4bb"),
-    ("tag not kept", "hi\U000e0041", BOTH, "hi"),
-    ("not covered", "\u0085\u2065\u180B\u2800\U000e0080\t\r", {}, "\u0085\u2065\u180B\u2800\U000e0080\t\r"),
-]
+#: Both ends of every range, by category, and what takes their place.
+RANGE_ENDS = {
+    "exotic-space": ("\u00A0\u1680\u2000\u200A\u202F\u205F\u3000", " "),
+    "separator": ("\u2028\u2029", "\n"),
+    "zero-width": ("\u00AD\u034F\u115F\u1160\u17B4\u17B5\u180E\u200B\u200C\u200D\u2060\u3164\uFEFF\uFFA0\uFFF9\uFFFB", ""),
+    "bidi-control": ("\u061C\u200E\u200F\u202A\u202E\u2066\u206F", ""),
+    "tag-block": ("\U000E0000\U000E007F", ""),
+    "variation-selector": ("\uFE00\uFE0F\U000E0100\U000E01EF", ""),
+    "invisible-math": ("\u2061\u2064", ""),
+}
+FOLDED = {"\u2013": "-", "\u2014": "--", "\u2015": "--", "\u2018": "'", "\u201B": "'", "\u201C": '"', "\u201F": '"',
+          "\u2026": "...", "\u2032": "'", "\u2033": '"', "\u2212": "-"}
+#: Neighbours of the ranges that stay.
+OUTSIDE = "\u009F\u00A1\u200A\u2010\u202F\u2065\u2070\u180B\u180D\uFDFF\uFE10\U000E0080\U000E00FF\U000E01F0\u0085\u2800"
+SHAPES = ("{0}kl", "k{0}l", "kl{0}", "{0}", "k{0}{0}l", "\u00F1{0} \u4E2D{0}")
+
+
+def strip_grid(opts):
+    """Every range end at every place, with what these options leave."""
+    marks = [(ch, new, c) for c, (chars, new) in RANGE_ENDS.items() for ch in chars]
+    marks += [(ch, new, "typography") for ch, new in FOLDED.items()]
+    for ch, new, category in marks:
+        stays = (category == "typography" and not opts.get("typography")
+                 or category == "variation-selector" and opts.get("keep_variation_selectors")
+                 or ch == "\u200D" and opts.get("keep_zwj"))
+        for shape in SHAPES:
+            text, want = shape.format(ch), shape.format(ch if stays else new)
+            yield text, (BOM + want if text.startswith(BOM) else want)
+    for text in ("", "plain\tlines\r\n", *(f"p{ch}q" for ch in OUTSIDE if ch not in "\u200A\u202F")):
+        yield text, text
+    yield BOM + BOM + "t", BOM + "t"
+    yield "\u2060" + BOM + "t", "t"
 
 
 def random_texts(n, seed):
@@ -79,17 +66,16 @@ def random_texts(n, seed):
 
 
 @pytest.mark.parametrize("opts", OPTIONS + [BOTH], ids=str)
-def test_strip_cases(spark, opts):
-    cases = [c for c in STRIP_CASES if c[2] == opts]
-    df = spark.createDataFrame([(c[0], c[1]) for c in cases], "name string, t string")
+def test_strip_grid(spark, opts):
+    cases = dict(strip_grid(opts))
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
     rows = ops.clean_text(df, "t", **opts).collect()
-    got = {r.name: (r.cleaned, r.changed) for r in rows}
-    assert got == {name: (want, want != text) for name, text, _, want in cases}
+    assert {r.t: (r.cleaned, r.changed) for r in rows} == {t: (want, want != t) for t, want in cases.items()}
 
 
 @pytest.mark.parametrize("opts", OPTIONS, ids=str)
 def test_everything_agrees_with_brute_force(spark, opts):
-    texts = random_texts(250, seed=len(str(opts))) + [c[1] for c in STRIP_CASES]
+    texts = random_texts(250, seed=len(str(opts))) + [t for t, _ in strip_grid(opts)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     rows = df.select(
         "id", "t",
@@ -126,18 +112,18 @@ def test_long_runs_of_hits(spark):
 
 
 def test_positions(spark):
-    text = "clean\nab\u200Bcd\nx\U000e0041\n"
-    df = spark.createDataFrame([(1, text), (2, "safe line\nif (isAdmin) \u202E{\n")], "id int, t string")
+    text = "\u00E9t\u00E9\n\u20ACuro\u2064s\n\n\uFFF9z"
+    df = spark.createDataFrame([(1, text), (2, "one\ntwo three\u2067 four\n")], "id int, t string")
     rows = ops.find_hidden(df, "id", "t", ordered=True).collect()
     assert [(r.id, r.rune, r.offset, r.line, r.col, r.category) for r in rows] == [
-        (1, 0x200B, 8, 2, 3, "zero-width"),
-        (1, 0xE0041, 15, 3, 2, "tag-block"),
-        (2, 0x202E, 23, 2, 14, "bidi-control"),
+        (1, 0x2064, 12, 2, 5, "invisible-math"),
+        (1, 0xFFF9, 18, 4, 1, "zero-width"),
+        (2, 0x2067, 13, 2, 10, "bidi-control"),
     ]
     report = ops.find_hidden(df.where("id = 2"), "id", "t").select(
-        H.format_finding(F.lit("main.go"), "line", "col", "category", "rune")
+        H.format_finding(F.lit("notes/b.txt"), "line", "col", "category", "rune")
     )
-    assert report.first()[0] == "main.go:2:14: bidi-control U+202E"
+    assert report.first()[0] == "notes/b.txt:2:10: bidi-control U+2067"
 
 
 def test_every_code_point_has_its_category(spark):
@@ -228,9 +214,7 @@ def test_profile(spark):
     }
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 1])
-def test_categorize_by_a_given_table(spark, monkeypatch, limit):
-    monkeypatch.setattr(ops, "BROADCAST_LIMIT", limit)
+def test_categorize_by_a_given_table(spark):
     ranges = spark.createDataFrame([(0x200B, 0x20FF, "mine"), (0xE0000, 0xE01EF, "far")],
                                    "lo int, hi int, category string")
     df = spark.createDataFrame([(0x200B,), (0x2100,), (0xE0100,), (None,)], "rune int")

@@ -82,14 +82,14 @@ def test_positions_window_shuffles_once(docs):
     assert plan.count("Exchange") == 1 and "text" not in plan.split("Exchange")[0].split("Window")[-1]
 
 
-def test_restore_broadcasts_keys_only_when_small(spark, tree, monkeypatch):
+def test_restore_leaves_the_join_to_adaptive_execution(spark, tree):
     originals = tree.where("path = '1.go'")
-    assert "BroadcastHashJoin" in physical(run.restore(tree, originals))
-    monkeypatch.setattr("glyphsweep.operators.joins.BROADCAST_LIMIT", 1)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        shuffled = run.restore(tree, originals)
-        assert "BroadcastHashJoin" not in physical(shuffled)
-        assert shuffled.count() == tree.count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    restored = run.restore(tree, originals)
+    plan = physical(restored)
+    assert "AdaptiveSparkPlan" in plan and "ResolvedHint" not in plan
+    assert restored.count() == tree.count()
+
+
+def test_measures_stand_above_the_explode(docs):
+    plan = physical(text_ops.running_positions(docs, "doc_id", "text"))
+    assert "named_struct" not in plan

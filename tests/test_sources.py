@@ -23,15 +23,30 @@ def tree(tmp_path):
 
 def test_read_files(spark, tree):
     rows = {r.path: bytes(r.content) for r in readers.read_files(spark, tree, repo="r").collect()}
-    assert rows == {p: TREE[p] for p in ("a.go", "src/b.md")}
-    assert [r.path for r in readers.read_files(spark, f"file://{tree}/", glob="*.md").collect()] == ["src/b.md"]
-
-
-def test_read_tree_sees_dot_names(spark, tree):
-    got = readers.read_tree(spark, {"r": f"file://{tree}", "same": tree}).collect()
+    assert rows == TREE
+    assert [r.path for r in readers.read_files(spark, f"file://{tree}/", glob="b.*").collect()] == ["src/b.md"]
+
+
+def test_read_tree_prunes_skips_links_and_takes_modes(spark, tree, tmp_path):
+    deep = tmp_path / "repo" / "k" / "l" / "m" / "n"
+    deep.mkdir(parents=True)
+    (deep / "leaf").write_bytes(b"leaf")
+    (tmp_path / "repo" / "k" / "node_modules").mkdir()
+    (tmp_path / "repo" / "k" / "node_modules" / "x.js").write_bytes(b"")
+    (deep / "up").symlink_to(tmp_path / "repo")
+    (tmp_path / "repo" / "again").symlink_to(tmp_path / "repo" / "a.go")
+    want = {**TREE, "k/l/m/n/leaf": b"leaf"}
+    modes = spark.createDataFrame([("r", "a.go", 0o755)], "repo string, path string, mode int")
+    got = readers.read_tree(spark, {"r": f"file://{tree}", "same": tree}, modes=modes).collect()
+    assert len(got) == 2 * len(want)
     assert {(r.repo, r.path): bytes(r.content) for r in got} == {
-        (repo, p): content for repo in ("r", "same") for p, content in TREE.items()
+        (repo, p): content for repo in ("r", "same") for p, content in want.items()
     }
+    assert {r.path: r.mode for r in got if r.repo == "r" and r.mode} == {"a.go": 0o755}
+    everything = readers.list_tree(spark, {"r": tree}, skip_dirs=())
+    assert "k/node_modules/x.js" in {r.path for r in everything.collect()}
+    some = readers.read_tree(spark, {"r": tree}, where=F.col("path").startswith(".claude"))
+    assert [r.path for r in some.collect()] == [".claude/c.md"]
 
 
 def test_read_commits(spark, tmp_path):
@@ -57,7 +72,6 @@ def test_sinks_do_not_overwrite_unasked(spark, tmp_path):
     sinks.write_cleaned(df, target)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.write_cleaned(df, target)
-    sinks.write_cleaned(df, target, overwrite=True)
     sinks.write_findings(ops.find_hidden(df, "id", "t"), f"{tmp_path}/f", "json")
     text = "".join(part.read_text() for part in (tmp_path / "f").glob("part*.json"))
     assert json.loads(text) == {"id": 1, "rune": 8203, "u": "U+200B", "offset": 0, "line": 1, "col": 1,
@@ -68,13 +82,6 @@ def test_sinks_do_not_overwrite_unasked(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/s").first()["count"] == 1
 
 
-def test_spread_small(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert readers.spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 3)
-    assert readers.spread_small(wide) is wide
-
-
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert scratch.shared_dir(spark) == configured
