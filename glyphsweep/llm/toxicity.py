@@ -29,7 +29,7 @@ TERMS, FACTORS = 1 << 17, 4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Terms in fewer rows of the sample have no weight; of the others, those get one that
-#: depend most on the label.
+#: depend most on the label, and more than chance explains.
 LEAST_ROWS, MOST_TERMS = 4, 4_096
 _CACHE = 200_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,11 +85,13 @@ def dependent_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     ratio = (part(in_toxic, in_all * k / n) + part(clean, in_all * (n - k) / n)
              + part(k - in_toxic, (n - in_all) * k / n) + part(n - k - clean, (n - in_all) * (n - k) / n))
     ratio[in_all < LEAST_ROWS] = -1
+    # near what the best of as many unrelated terms would reach by chance
+    chance = 0.7 * np.log(max(2, np.count_nonzero(in_all >= LEAST_ROWS)))
     best = np.argsort(-ratio, kind="stable")[:MOST_TERMS]
-    return np.sort(best[ratio[best] > 0])
+    return np.sort(best[ratio[best] > chance])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, steps: int = 150, rate: float = 0.05,
+def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, steps: int = 400, rate: float = 0.05,
         decay: float = 1e-4, seed: int = 7) -> Model:
     """Full-batch Adam on the weighted logistic loss with decay of weights and factors."""
     none = Model(-2.0, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32))
