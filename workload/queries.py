@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ ORACLE: dict[str, str] = {}
 
 def _flat(df: DataFrame) -> DataFrame:
     """Integers as BIGINT, bytes as text."""
-    wide = {T.IntegerType(): "bigint", T.ShortType(): "bigint", T.BinaryType(): "string"}
+    wide = {T.IntegerType(): "bigint", T.ShortType(): "bigint", T.BinaryType(): "string"}  # planted bytes are UTF-8
     return df.select(*[
         F.col(f.name).cast(wide[f.dataType]).alias(f.name) if f.dataType in wide else F.col(f.name)
         for f in df.schema.fields
@@ -521,6 +521,24 @@ def read_commits(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT 'r' || (conv_id % 5)::VARCHAR AS repo, md5(conv_id::VARCHAR || '-' || turn::VARCHAR) AS sha, "
+    "row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id * 1000 + turn) AS place FROM conversations"
+)
+def read_commits_in_order(spark, sf_dir):
+    """Commits read back oldest first: the place of each in the order they come in."""
+    exported = new_path(spark, "commits")
+    table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("r"), (F.col("conv_id") % 5).cast("string")).alias("repo"),
+        F.md5(F.concat_ws("-", "conv_id", "turn")).alias("sha"), F.col("text").alias("message"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("made"),
+    ).repartition(4, "sha").write.json(exported)
+    ordered = readers.read_commits(spark, exported, fmt="json", order_by="made")
+    came = ordered.select("repo", "sha", F.monotonically_increasing_id().alias("came"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("came"))
+    return came.select("repo", "sha", place.cast("bigint").alias("place"))
+
+
 # --- Paths -------------------------------------------------------------------------------
 
 
@@ -878,6 +896,34 @@ def restore(spark, sf_dir):
     return runs.restore_latest(spark, current.unionByName(later), f"{base}/store")
 
 
+@query(
+    f"{_STAGED} SELECT repo, path, CASE WHEN {_TOUCHED} THEN coalesce(nullif(mode, 0), 420) ELSE mode END AS mode, "
+    "before AS content FROM staged UNION ALL SELECT 'new', 'later.txt', 420, 'made' || chr(8203) || ' since'"
+)
+def apply_twice(spark, sf_dir):
+    """A run on an earlier run's output, below the same folder; then both undone."""
+    base, first = _applied(spark, sf_dir)
+    later = spark.range(1).select(
+        F.lit("new").alias("repo"), F.lit("later.txt").alias("path"),
+        F.lit(0o644).alias("mode"), F.lit("made\u200B since").cast("binary").alias("content"),
+    )
+    store = f"{base}/store"
+    second = runs.apply(spark.read.parquet(first.files_path).unionByName(later), f"{base}/out", store)
+    current = runs.restore_latest(spark, spark.read.parquet(second.files_path), store)
+    return runs.restore(current, runs.read_run(spark, store, first.run_id))
+
+
+@query(
+    f"{_STAGED} SELECT repo, path, CASE WHEN artifact OR markdown THEN 'recreate' ELSE 'revert' END AS action "
+    f"FROM staged WHERE {_TOUCHED}"
+)
+def restore_actions(spark, sf_dir):
+    """What undoing an applied run would do."""
+    base, result = _applied(spark, sf_dir)
+    current = spark.read.parquet(result.files_path)
+    return runs.restore_actions(current, runs.read_run(spark, f"{base}/store", result.run_id))
+
+
 @query(f"{_STAGED} SELECT count(*)::BIGINT AS n_files FROM staged WHERE {_TOUCHED}")
 def restore_summary(spark, sf_dir):
     base, result = _applied(spark, sf_dir)
@@ -920,6 +966,24 @@ def read_tree(spark, sf_dir):
     return _by_bucket(readers.read_tree(spark, {"pages": uri}))
 
 
+#: Directories that Spark's own file sources leave out, and one that is not visited.
+_NAMES = (".dot", "_under", "deep/_a/.b", "node_modules")
+
+
+@query(
+    "SELECT name, sum(strlen(html) + 1)::BIGINT AS n_bytes FROM pages, "
+    f"(SELECT unnest({list(_NAMES[:3])!r}) AS name, unnest([0, 1, 2]) AS n) WHERE page_id % 4 = n GROUP BY name"
+)
+def read_tree_names(spark, sf_dir):
+    """Files below dot and underscore names; the tree below an unvisited name is not read."""
+    target = new_path(spark, "tree")
+    pages = table(spark, sf_dir, "pages")
+    for n, name in enumerate(_NAMES):
+        pages.where(F.col("page_id") % 4 == n).select("html").write.text(f"{target}/{name}")
+    read = readers.read_tree(spark, {"pages": target}, where=P.extension("path") == ".txt")
+    return read.groupBy(P.dir_name("path").alias("name")).agg(F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
 @query(f"{O.WITH_DENSE} SELECT doc_id, {O.strip('text')} AS cleaned, {O.dirty('text')} AS changed FROM dense")
 def write_cleaned(spark, sf_dir):
     target = new_path(spark, "cleaned")
