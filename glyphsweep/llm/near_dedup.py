@@ -9,12 +9,12 @@ texts agree in a component with the probability of their weighted Jaccard simila
 process ends as soon as its next point is later than all components.
 
 Bands of components propose pairs. First every text is compared with the least of each of
-its buckets; what is similar forms components. Then, within buckets that still hold
-several components, texts outside the largest one are compared with the other components'
-texts: by signature inside the task, with a margin of several standard deviations, and
-only what passes becomes a pair. Every pair is decided by the multiset overlap of whole
-texts. Pairs within one component are never looked at, so a group of copies costs about
-one comparison per copy.
+its buckets; what is similar forms components. Then, among texts that buckets connect,
+those outside the largest component are compared with the other components' texts, in
+blocks of bounded size: by signature, with a margin of several standard deviations, and
+what passes by overlap, until a component is reached. Only links leave a block. Every
+link is decided by the multiset overlap of whole texts, and pairs within one component
+are never looked at, so a group of copies costs about one comparison per copy.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ BANDS, ROWS = 27, 6
 SIZE = BANDS * ROWS
 #: Estimates so many standard deviations below the threshold are still compared exactly.
 MARGIN = 4.0
-#: Members of a bucket that one task compares with the texts outside its largest component.
-BLOCK = 4_000
+#: Texts of one side of a block that a task compares with each other.
+BLOCK = 500
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _CACHE = 200_000
@@ -175,40 +175,59 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "packed"])
 
 
+def texts_of(needed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, packed``: the compressed texts of the stored keys ``needed``."""
+    kind = docs.schema[key].dataType.simpleString()
+    texts = docs.select(F.col(key).alias("node"), text_or_empty(F.col(text)).alias("text")).join(
+        broadcast_measured(needed), "node", "left_semi").mapInArrow(_packed, f"node {kind}, packed binary")
+    return staged(texts, "texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     """``a, b, similarity`` of those pairs whose whole texts overlap enough."""
     kind = docs.schema[key].dataType.simpleString()
     pairs = staged(pairs, "pairs")
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    texts = docs.select(F.col(key).alias("node"), text_or_empty(F.col(text)).alias("text")).join(
-        broadcast_measured(needed), "node", "left_semi").mapInArrow(_packed, f"node {kind}, packed binary")
-    texts = staged(texts, "texts")
+    texts = texts_of(needed, docs, key, text)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
     found = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_overlaps, f"a {kind}, b {kind}, similarity double")
     return found.where(F.col("similarity") >= similar)
 
 
-def _across(least: float):
-    """Pairs of a bucket's block from different components whose signatures are close."""
+def _across(similar: float, least: float):
+    """Links of a block between texts of different components, at most one per text and
+    component: candidates by signature are decided by overlap, the closest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _), rows in groupby(_records(batches), key=lambda r: (r[0], r[1])):
+        expand = zstandard.ZstdDecompressor()
+        for _, rows in groupby(_records(batches), key=lambda r: r[:3]):
             outside, members = [], []
-            for _, _, is_outside, node, root, signature in rows:
-                (outside if is_outside else members).append((node, root, np.frombuffer(signature, np.uint16)))
+            for row in rows:
+                (outside if row[3] else members).append(row[4:])
             if not outside or not members:
                 continue
-            signs = np.stack([m[2] for m in members])
-            roots = np.array([m[1] for m in members], dtype=object)
-            a, b = [], []
-            for node, root, sign in outside:
-                close = np.flatnonzero(((signs == sign).mean(axis=1) >= least) & (roots != root))
-                for i in close.tolist():
-                    a.append(min(node, members[i][0]))
-                    b.append(max(node, members[i][0]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            bags: dict = {}
+
+            def bag(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+                if row[0] not in bags:  # noqa: B023
+                    bags[row[0]] = shingles(words(expand.decompress(row[3]).decode("utf-8", "replace")))  # noqa: B023
+                return bags[row[0]]  # noqa: B023
+
+            numbers = {root: i for i, root in enumerate({r[1] for r in outside} | {r[1] for r in members})}
+            signs = np.stack([np.frombuffer(m[2], np.uint16) for m in members])
+            roots = np.array([numbers[m[1]] for m in members])
+            links = []
+            for row in outside:
+                agree = (signs == np.frombuffer(row[2], np.uint16)).mean(axis=1)
+                close = np.flatnonzero((agree >= least) & (roots != numbers[row[1]]))
+                met: set[int] = set()
+                for i in close[np.argsort(-agree[close], kind="stable")].tolist():
+                    if roots[i] not in met and (value := similarity(bag(row), bag(members[i]))) >= similar:
+                        met.add(roots[i])
+                        links.append((min(row[0], members[i][0]), max(row[0], members[i][0]), value))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], names=["a", "b", "similarity"])
 
     return run
 
@@ -228,24 +247,34 @@ def near_pairs(nodes: DataFrame, docs: DataFrame, key: str, text: str, similar:
     first = staged(verified(stars, docs, key, text, similar), "links")
     roots = staged(components(first, "a", "b"), "roots")
 
-    # buckets that still hold several components, and each one's largest
-    held = members.join(roots, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"),
-                                        F.sum("n").alias("members")).where("roots > 1")
-    mixed = mixed.select("bucket", F.col("top.root").alias("largest"),
-                         F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_rows = held.join(mixed, "bucket").join(nodes.select("node", "signature"), "node")
-    inside = open_rows.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-                              F.lit(False).alias("outside"), "node", "root", "signature")
-    outside = open_rows.where(F.col("root") != F.col("largest")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(True).alias("outside"), "node", "root", "signature")
+    # texts that buckets connect, similar or not; where such a cluster holds several
+    # components, all but the largest are compared with the rest, block by block
+    clusters = staged(components(stars, "a", "b"), "clusters")
+    held = staged(clusters.select("node", F.col("root").alias("cluster")).join(roots, "node", "left").select(
+        "cluster", "node", F.coalesce("root", "node").alias("root")), "held")
+    sizes = held.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"),
+                                         F.sum("n").alias("members")).where("roots > 1")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    parts = F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int")
+    mixed = mixed.select("cluster", F.col("top.root").alias("largest"), blocks.alias("blocks"), parts.alias("parts"))
+    open_nodes = staged(held.join(mixed, "cluster"), "open")
+    rows = open_nodes.join(texts_of(open_nodes.select("node").distinct(), docs, key, text), "node").join(
+        nodes.select("node", "signature"), "node")
+    place = F.xxhash64("node")
+    inside = rows.select(
+        "cluster", F.pmod(place, F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outside"),
+        "node", "root", "signature", "packed")
+    outside = rows.where(F.col("root") != F.col("largest")).select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(place, F.col("parts")).cast("int").alias("part"), F.lit(True).alias("outside"),
+        "node", "root", "signature", "packed")
     least = similar - MARGIN * float(np.sqrt(similar * (1 - similar) / SIZE))
-    pairs = (inside.unionByName(outside).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-             .mapInArrow(_across(least), f"a {kind}, b {kind}").distinct())
-    return first.unionByName(verified(pairs, docs, key, text, similar))
+    order = ["cluster", "block", "part"]
+    across = inside.unionByName(outside).repartition(*order).sortWithinPartitions(*order).mapInArrow(
+        _across(similar, least), f"a {kind}, b {kind}, similarity double")
+    return first.unionByName(across)
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
