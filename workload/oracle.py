@@ -7,7 +7,7 @@ characters, and the patterns are used as RE2 reads them.
 
 from __future__ import annotations
 
-from glyphsweep.rules import COMMENT_TOKENS, COMMIT_PATTERNS
+from workload.expected import COMMENT_TOKENS, COMMIT_PATTERNS
 from workload.plant import COMMITS_SQL, DENSE_SQL, DOCS_SQL, FILES_SQL
 
 # Code points by category, as RE2 classes.
@@ -203,9 +203,9 @@ def commented(source: str = "files") -> str:
     """CTEs ending in ``commented``: every file with ``before`` and ``after`` the step."""
     keys = "repo, path"
     return f"""
-    go0 AS (SELECT * FROM {source} WHERE path LIKE '%.go'),
+    go0 AS (SELECT * FROM {source} WHERE regexp_matches(path, '\\.(go|java|c|cpp|h|hpp|rs|cs|php)$')),
     {blocks("go1", "go0", BLOCK, keys)}, {line_comments("go2", "go1", SLASH_LINE, keys)},
-    ts0 AS (SELECT * FROM {source} WHERE path LIKE '%.ts'),
+    ts0 AS (SELECT * FROM {source} WHERE regexp_matches(path, '\\.(js|jsx|ts|tsx)$')),
     {blocks("ts1", "ts0", BLOCK, keys)}, {blocks("ts2", "ts1", HTML, keys)},
     {line_comments("ts3", "ts2", SLASH_LINE, keys)},
     py0 AS (SELECT * FROM {source} WHERE path LIKE '%.py'),

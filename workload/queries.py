@@ -576,7 +576,10 @@ def path_parts(spark, sf_dir):
 
 
 _SYNTAX_SQL = """syntax(ext, line_token, block_open, doc_open, html) AS (VALUES
-    ('.go', '//', '/*', NULL, false), ('.ts', '//', '/*', NULL, true),
+    ('.go', '//', '/*', NULL, false), ('.java', '//', '/*', NULL, false), ('.c', '//', '/*', NULL, false),
+    ('.cpp', '//', '/*', NULL, false), ('.h', '//', '/*', NULL, false), ('.hpp', '//', '/*', NULL, false),
+    ('.rs', '//', '/*', NULL, false), ('.cs', '//', '/*', NULL, false), ('.php', '//', '/*', NULL, false),
+    ('.js', '//', '/*', NULL, true), ('.jsx', '//', '/*', NULL, true), ('.ts', '//', '/*', NULL, true), ('.tsx', '//', '/*', NULL, true),
     ('.py', '#', NULL, '\"\"\"', false), ('.rb', '#', NULL, NULL, false))"""
 
 
@@ -1091,7 +1094,7 @@ def stream_find_hidden(spark, sf_dir):
     "SELECT md5(conv_id::VARCHAR || '-' || turn::VARCHAR) AS sha, "
     f"{O.normalized(O.kept_lines('m'))} AS cleaned, "
     f"{O.normalized(O.kept_lines('m'))} <> {O.normalized('m')} AS has_traces "
-    f"FROM (SELECT conv_id, turn, text || {plant._pick_sql('conv_id % 8', plant.FOOTERS)} AS m FROM conversations)"
+    f"FROM (SELECT conv_id, turn, text || {plant._pick_sql(f'conv_id % {len(plant.FOOTERS)}', plant.FOOTERS)} AS m FROM conversations)"
 )
 def stream_clean_commits(spark, sf_dir):
     turns = read_text_stream(
@@ -1100,7 +1103,7 @@ def stream_clean_commits(spark, sf_dir):
     )
     messages = turns.select(
         F.md5(F.concat_ws("-", "conv_id", "turn")).alias("sha"),
-        F.concat("text", plant._pick(F.col("conv_id") % 8, plant.FOOTERS)).alias("message"),
+        F.concat("text", plant._pick(F.col("conv_id") % len(plant.FOOTERS), plant.FOOTERS)).alias("message"),
     )
     cleaned = commit_ops.clean_commits(messages).select("sha", "cleaned", "has_traces")
     return _drain(cleaned, spark, "stream-commits")
