@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphsweep.llm import bpe, decontam, licenses, near_dedup, quality, secrets, suffix_dedup, toxicity, warc
 from glyphsweep.llm import exact_dedup as exact
