@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from glyphsweep.functions import paths as P
 from glyphsweep.operators import files as ops
