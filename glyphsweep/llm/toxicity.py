@@ -2,10 +2,12 @@
 
 Terms are the distinct words of a text with their beginnings and ends, hashed. Besides a
 weight, each term has a small vector; the inner product of two vectors is what the pair
-adds, so that an insult next to a group's name can count more than both alone. All pairs
-of a text are summed in time linear in its terms, for vectors scaled to the unit length
-of the text's terms, so that long texts do not drown in their pairs. The model is fitted with logistic loss
-on a bounded sample of labelled rows; every text is scored whole, in tasks.
+adds, so that an insult next to a group's name can count although each alone is neutral.
+All pairs of a text are summed in time linear in its terms. Every term in ``LEAST_ROWS``
+rows of the sample has a weight and a vector; penalties by what chance would give shrink
+those that tell nothing, so that long texts do not drown in their pairs. The vectors start
+from the pairs that the weights alone leave unexplained. The model is fitted with logistic
+loss on a bounded sample of labelled rows; every text is scored whole, in tasks.
 """
 
 from __future__ import annotations
@@ -22,15 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphsweep.llm.common import text_or_empty
-from glyphsweep.llm.learning import Adam, bounded_sample, fold, sigmoid
+from glyphsweep.llm.learning import bounded_sample, fold, sigmoid
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 6_000
 TERMS, FACTORS = 1 << 17, 4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Terms in fewer rows of the sample have no weight; of the others, those get one that
-#: depend most on the label, and more than chance explains.
-LEAST_ROWS, MOST_TERMS = 4, 4_096
+#: Terms in fewer rows of the sample have no weight and no vector.
+LEAST_ROWS = 4
+#: Penalties in units of the largest slope chance would give. That of the weights is the
+#: one of these that does best on every fourth row when fitted on the others.
+WEIGHT_PENALTIES, FACTOR_PENALTY = (0.1, 0.3, 0.6, 1.0), 1.2
+#: Rows of each class from which the vectors get their start, and terms in one matrix.
+START_ROWS, START_BLOCK = 1_000, 4_096
 _CACHE = 200_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -67,65 +73,153 @@ class Model:
         margin = self.bias + self.weights[ids].sum()
         v = self.factors[ids]
         total = v.sum(axis=0)
-        margin += 0.5 * float((total * total).sum() - (v * v).sum()) / max(1, np.count_nonzero(self.weights[ids]))
+        margin += 0.5 * float((total * total).sum() - (v * v).sum())
         return float(sigmoid(np.float64(margin)))
 
 
-def dependent_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms whose presence tells most about the label (log-likelihood ratio)."""
-    in_all = np.bincount(np.concatenate(rows), minlength=TERMS).astype(float)
-    toxic = [r for r, y in zip(rows, labels, strict=True) if y]
-    in_toxic = np.bincount(np.concatenate(toxic), minlength=TERMS).astype(float)
-    n, k = len(rows), len(toxic)
+@dataclass
+class _Rows:
+    """Labelled rows as places of their terms among the used ones."""
+
+    terms: list[np.ndarray]
+    labels: np.ndarray
+    share: np.ndarray
+    width: int
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    def flat(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the rows ``part``, and for each the place of its row in ``part``."""
+        chosen = [self.terms[i] for i in part]
+        return np.concatenate(chosen), np.repeat(np.arange(len(part)), [len(r) for r in chosen])
 
-    clean = in_all - in_toxic
-    ratio = (part(in_toxic, in_all * k / n) + part(clean, in_all * (n - k) / n)
-             + part(k - in_toxic, (n - in_all) * k / n) + part(n - k - clean, (n - in_all) * (n - k) / n))
-    ratio[in_all < LEAST_ROWS] = -1
-    # near what the best of as many unrelated terms would reach by chance
-    chance = 0.7 * np.log(max(2, np.count_nonzero(in_all >= LEAST_ROWS)))
-    best = np.argsort(-ratio, kind="stable")[:MOST_TERMS]
-    return np.sort(best[ratio[best] > chance])
 
+def unexplained_pairs(rows: _Rows, bias: float, weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """``a, b, z``: pairs of terms whose joint rows the weights misjudge more than chance explains.
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, steps: int = 400, rate: float = 0.05,
-        decay: float = 1e-4, seed: int = 7) -> Model:
-    """Full-batch Adam on the weighted logistic loss with decay of weights and factors."""
+    They only give the vectors a start, so a bounded number of rows of each class will do.
+    """
+    few = np.concatenate([rng.permutation(np.flatnonzero(rows.labels == c))[:START_ROWS] for c in (0, 1)])
+    ids, row_of = rows.flat(few)
+    rest = rows.labels[few] - sigmoid(bias + np.bincount(row_of, weights[ids], len(few)))
+    rest = (rest - rest.mean()).astype(np.float32)
+    # a pair in fewer rows could not pass
+    used = np.flatnonzero(np.bincount(ids, minlength=rows.width) >= max(LEAST_ROWS, int(np.log(max(2, rows.width)))))
+    place = np.full(rows.width, -1, np.int32)
+    place[used] = np.arange(len(used))
+    ids, row_of = place[ids][place[ids] >= 0], row_of[place[ids] >= 0]
+    order = np.argsort(ids, kind="stable")
+    ids, row_of = ids[order], row_of[order]
+    cuts = np.searchsorted(ids, np.arange(0, len(used) + START_BLOCK, START_BLOCK))
+
+    def dense(i: int) -> np.ndarray:
+        x = np.zeros((len(few), min(START_BLOCK, len(used) - i * START_BLOCK)), np.float32)
+        x[row_of[cuts[i]:cuts[i + 1]], ids[cuts[i]:cuts[i + 1]] - i * START_BLOCK] = 1
+        return x
+
+    bar = np.sqrt(2 * np.log(max(2, len(used) * (len(used) - 1) / 2))) + 1
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    alone = (np.bincount(ids, rest[row_of], len(used)) / np.bincount(ids, minlength=len(used))).astype(np.float32)
+    spread = np.float32((rest * rest).mean())
+    blocks = -(-len(used) // START_BLOCK)
+    for i in range(blocks):
+        x = dense(i)
+        signed = (x * rest[:, None]).T
+        for j in range(i, blocks):
+            y = x if i == j else dense(j)
+            z, both = signed @ y, x.T @ y
+            # less what either term alone leaves unexplained
+            z -= both * (alone[i * START_BLOCK:][:x.shape[1], None] + alone[j * START_BLOCK:][:y.shape[1]])
+            z /= np.sqrt(spread * both + 1)
+            a, b = np.nonzero(np.abs(z) > bar)
+            once = a + i * START_BLOCK < b + j * START_BLOCK
+            found.append((a[once] + i * START_BLOCK, b[once] + j * START_BLOCK, z[a[once], b[once]]))
+    a, b, z = map(np.concatenate, zip(*found, strict=True))
+    return used[a], used[b], z
+
+
+def leading_vectors(a: np.ndarray, b: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the pairs, and their entries in the leading eigenvectors of the pair matrix."""
+    nodes = np.unique(np.concatenate([a, b]))
+    a, b = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    # shifted, so that the largest positive eigenvalue leads
+    shift = 0.5 * (np.bincount(a, np.abs(z), len(nodes)) + np.bincount(b, np.abs(z), len(nodes))).max()
+    u = rng.normal(size=(len(nodes), min(FACTORS, len(nodes))))
+    for _ in range(100):
+        u = np.linalg.qr(np.stack([np.bincount(a, z * c[b], len(nodes)) + np.bincount(b, z * c[a], len(nodes)) + shift * c
+                                   for c in u.T], 1))[0]
+    start = np.zeros((FACTORS, len(nodes)))
+    start[:u.shape[1]] = (u / np.abs(u).max(axis=0)).T
+    return nodes, start
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 20, batch: int = 256,
+        rate: float = 0.1, seed: int = 7) -> Model:
+    """Weights first, then weights and vectors, by proximal AdaGrad on the weighted logistic loss."""
     none = Model(-2.0, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32))
     if not len(rows) or labels.min() == labels.max():
         return none
-    used = dependent_terms(rows, labels)
+    in_rows = np.bincount(np.concatenate(rows), minlength=TERMS)
+    used = np.flatnonzero(in_rows >= LEAST_ROWS)
     if not len(used):
         return none
-    place = np.full(TERMS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    kept = [place[r][place[r] >= 0] for r in rows]
-    ids = np.concatenate(kept)
-    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in kept])
     n, width = len(rows), len(used)
-    scale = 1 / np.maximum(1, [len(r) for r in kept])
-    share = importance / importance.sum()
-    bias = np.array([np.log(max((share * labels).sum(), 1e-3) / max((share * (1 - labels)).sum(), 1e-3))])
-    weights = np.zeros(width)
-    factors = np.random.default_rng(seed).normal(0, 0.01, (FACTORS, width))
-    adam = Adam([bias, weights, factors], rate)
-    for _ in range(steps):
-        margin = bias[0] + np.bincount(row_of, weights[ids], n)
-        sums = np.stack([np.bincount(row_of, f[ids], n) for f in factors])
-        squares = np.bincount(row_of, (factors * factors).sum(axis=0)[ids], n)
-        margin += 0.5 * scale * ((sums * sums).sum(axis=0) - squares)
-        g = share * (sigmoid(margin) - labels)
-        by_term = g[row_of]
-        g_weights = np.bincount(ids, by_term, width)
-        by_pair = g * scale
-        g_factors = np.stack([np.bincount(ids, (by_pair * s)[row_of], width) for s in sums])
-        g_factors -= factors * np.bincount(ids, by_pair[row_of], width)
-        adam.update([np.array([g.sum()]), g_weights + decay * weights, g_factors + decay * factors])
+    place = np.full(TERMS, -1, np.int32)
+    place[used] = np.arange(width)
+    table = _Rows([place[r][place[r] >= 0] for r in rows], labels, importance / importance.mean(), width)
+    toxic = min(max(float((table.share * labels).mean()), 1e-3), 1 - 1e-3)
+    # slope of a term that has nothing to do with the label, at its largest among so many
+    chance = np.sqrt(2 * np.log(max(2, width)) * toxic * (1 - toxic) * in_rows[used]) / n
+    # all terms of a row move at once
+    rate = min(rate, 1 / np.sqrt(max(1.0, np.mean([len(r) for r in table.terms]))))
+    rng = np.random.default_rng(seed)
+
+    def descend(among: np.ndarray, penalty: float, start: tuple, pairs: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        bias, weights, factors = start[0], start[1].copy(), start[2].copy()
+        past_bias, past_weights, past_factors = 1e-8, np.full(width, 1e-6), np.full(width, 1e-6)
+        for _ in range(epochs):
+            order = rng.permutation(among)
+            for part in (order[s:s + batch] for s in range(0, len(order), batch)):
+                ids, row_of = table.flat(part)
+                margin = bias + np.bincount(row_of, weights[ids], len(part))
+                if pairs:
+                    sums = np.stack([np.bincount(row_of, f[ids], len(part)) for f in factors])
+                    squares = np.bincount(row_of, (factors * factors).sum(axis=0)[ids], len(part))
+                    margin += 0.5 * ((sums * sums).sum(axis=0) - squares)
+                g = table.share[part] * (sigmoid(margin) - labels[part]) / len(part)
+                by_term = np.bincount(ids, g[row_of], width)
+                past_bias += g.sum() ** 2
+                bias -= rate * g.sum() / np.sqrt(past_bias)
+                past_weights += by_term * by_term
+                step = rate / np.sqrt(past_weights)
+                weights -= step * by_term
+                weights = np.sign(weights) * np.maximum(0, np.abs(weights) - step * penalty * chance)
+                if pairs:
+                    slope = np.stack([np.bincount(ids, (g * s)[row_of], width) for s in sums]) - factors * by_term
+                    past_factors += (slope * slope).sum(axis=0)
+                    step = rate / np.sqrt(past_factors)
+                    factors -= step * slope
+                    length = np.maximum(np.sqrt((factors * factors).sum(axis=0)), 1e-12)
+                    factors *= np.maximum(0, 1 - step * FACTOR_PENALTY * chance / length)
+        return bias, weights, factors
+
+    start = (np.log(toxic / (1 - toxic)), np.zeros(width), rng.normal(0, 0.01, (FACTORS, width)))
+    apart = rng.permutation(n)
+    kept, tried = apart[n // 4:], apart[:n // 4]
+
+    def loss(penalty: float) -> float:
+        bias, weights, _ = descend(kept, penalty, start, False)
+        ids, row_of = table.flat(tried)
+        p = np.clip(sigmoid(bias + np.bincount(row_of, weights[ids], len(tried))), 1e-9, 1 - 1e-9)
+        return float(-(table.share[tried] * np.where(labels[tried] == 1, np.log(p), np.log(1 - p))).sum())
+
+    penalty = min(WEIGHT_PENALTIES, key=loss) if len(tried) else WEIGHT_PENALTIES[-1]
+    alone = descend(apart, penalty, start, False)
+    a, b, z = unexplained_pairs(table, alone[0], alone[1], rng)
+    if len(z):
+        nodes, leading = leading_vectors(a, b, z, rng)
+        alone[2][:, nodes] += 0.5 * leading
+    bias, weights, factors = descend(apart, penalty, alone, True)
     model = none
-    model.bias = float(bias[0])
+    model.bias = float(bias)
     model.weights[used] = weights
     model.factors[used] = factors.T
     return model

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -43,3 +44,19 @@ def test_odd_tables(spark, module, label):
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
     assert len({r.score for r in rows if r.doc_id in (2, 3)}) == 1
     assert module.classify(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("n_rows, n_words", [(500, 40), (1500, 200)])
+def test_labels_that_depend_on_pairs_only(n_rows, n_words):
+    rnd = random.Random(1)
+    insults, groups = ["grobian", "lumpkin"], ["marsians", "venusfolk"]
+    common = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8 * n_words)]
+    rows, labels = [], []
+    for i in range(n_rows):
+        # each insult and each group is as frequent in both classes
+        words = [*rnd.choices(common, k=n_words), insults[i % 2], groups[i // 2 % 2]]
+        rows.append(toxicity.terms(" ".join(rnd.sample(words, len(words)))))
+        labels.append(float(i % 2 == i // 2 % 2))
+    known = n_rows * 3 // 4
+    model = toxicity.fit(rows[:known], np.array(labels[:known]), np.ones(known))
+    assert ranking([model.score(r) for r in rows[known:]], labels[known:]) > 0.97
