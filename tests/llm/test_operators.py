@@ -209,3 +209,25 @@ def test_licence_notices(spark):
     docs = spark.createDataFrame(rows + prose, "doc_id long, text string, family int")
     got = [(r.doc_id, r.families) for r in licenses.licence_scan(docs).collect() if r.families]
     assert sorted(got, key=str) == sorted([(1, "MIT"), (4, "BSD,CC-BY-NC"), (6, "GPL-3.0"), (None, "Apache-2.0"), (None, "Apache-2.0")], key=str)
+
+
+def test_wrapped_licence_notices(spark):
+    mit = """Copyright (c) 2020 Someone
+
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    bsd = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:"""
+    gpl2 = gpl.replace("version 3", "version 2").replace("software:", "software;")
+    prose = [(100 + i, " ".join(random.Random(i).choices(["rain", "fell", "over", "old", "towns", "version", "2"], k=30))) for i in range(60)]
+    rows = [(1, mit), (2, gpl), (3, bsd), (4, gpl2), (5, mit + "\n\n" + gpl), (6, "He used the software\nand free files of the work."),
+            (7, "SPDX-License-Identifier: MIT\n" + bsd)]
+    docs = spark.createDataFrame(rows + prose, "doc_id long, text string")
+    got = {r.doc_id: (r.n_notices, r.families) for r in licenses.licence_scan(docs).collect() if r.n_notices}
+    assert got == {1: (1, "MIT"), 2: (1, "GPL-3.0"), 3: (1, "BSD"), 4: (1, "GPL-2.0"), 5: (2, "GPL-3.0,MIT"), 7: (2, "BSD,MIT")}
