@@ -34,7 +34,7 @@ HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "literal")
 
-#: How sensitive a word of a name is. A name scores its most sensitive word.
+#: How sensitive a word of a name is. The words of a name add up like independent signs.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "signature": 0.6,
@@ -44,7 +44,11 @@ SENSITIVE = {
 HARMLESS = {"length", "count", "size", "max", "min", "limit", "name", "field", "label", "placeholder", "hint",
             "expired", "expires", "expiry", "ttl", "type", "public", "url", "path", "file", "policy", "id"}
 #: Literals of at least this many characters whose name and shape score this much are secrets.
-LITERAL_LEAST, SCORE_LEAST = 8, 0.75
+LITERAL_LEAST, SCORE_LEAST = 8, 0.35
+#: Names below this are common for harmless values: theirs must mix letters and digits.
+STRONG = 0.75
+#: Words of a literal with blanks that is a passphrase.
+PHRASE_LEAST = 3
 #: Assignments through which a literal is followed.
 DEPTH = 8
 
@@ -87,14 +91,21 @@ def sensitivity(name: str) -> float:
     """0 to 1: how likely a value of this name is to be kept secret."""
     words = [w.lower() for w in _WORDS.findall(name)]
     joined = {a + b for a, b in zip(words, words[1:], strict=False)}
-    best = max((SENSITIVE.get(w, 0.0) for w in [*words, *joined]), default=0.0)
+    best = 1 - math.prod(1 - SENSITIVE.get(w, 0.0) for w in {*words, *joined})
     return 0.3 * best if HARMLESS & {w for w in words[-1:]} else best
 
 
 def randomness(literal: str) -> float:
-    """0 to 1: entropy per character against what its alphabet allows, and its mix."""
-    if len(literal) < LITERAL_LEAST or " " in literal.strip():
+    """0 to 1: entropy per character against what its alphabet allows, and its mix.
+
+    Of literals with blanks only passphrases count: no sentences, nor what names a secret.
+    """
+    if len(literal) < LITERAL_LEAST:
         return 0.0
+    if " " in literal.strip():
+        parts = literal.lower().split()
+        if len(set(parts)) < PHRASE_LEAST or literal.strip()[-1] in ".:!?" or any(sensitivity(w) for w in parts):
+            return 0.0
     counts = Counter(literal)
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
     kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal),
@@ -102,6 +113,13 @@ def randomness(literal: str) -> float:
     return min(1.0, min(1.0, entropy / min(4.0, math.log2(len(literal)))) * (0.55 + 0.15 * kinds))
 
 
+def secrecy(weight: float, literal: str) -> float:
+    """Score of a literal under a name of sensitivity ``weight``."""
+    if weight < STRONG and (" " in literal.strip() or not (re.search("[0-9]", literal) and re.search("[A-Za-z]", literal))):
+        return 0.0
+    return weight * randomness(literal)
+
+
 @dataclass
 class Literal:
     start: int
@@ -136,7 +154,9 @@ def _right_side(m: re.Match, literals: list[Literal], refs: list[str]) -> int:
     if groups.get("ref"):
         plain = groups["ref"].strip("${}")
         refs.append(plain)
-        literals.append(Literal(m.end("ref") - len(groups["ref"]), m.end("ref"), groups["ref"]))
+        # what names a secret is a name, not its value
+        if not sensitivity(plain):
+            literals.append(Literal(m.end("ref") - len(groups["ref"]), m.end("ref"), groups["ref"]))
     return m.end()
 
 
@@ -156,7 +176,7 @@ def lexed_spans(text: str) -> list[Span]:
         weight = sensitivity(name)
         if weight:
             for place, (value, _) in mine.items():
-                score = weight * randomness(value)
+                score = secrecy(weight, value)
                 if score >= SCORE_LEAST and (place not in best or best[place].score < score):
                     best[place] = Span("literal", *place, name=name, score=round(score, 4))
     return sorted(best.values(), key=_order)

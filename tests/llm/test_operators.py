@@ -136,6 +136,22 @@ def test_assignments_reach_literals(text, want):
     assert [text[s.start:s.end] for s in secrets.find_spans(text) if s.kind == "literal"] == want
 
 
+@pytest.mark.parametrize("name", [*secrets.SENSITIVE, "private_key", "encryption_key", "accessKey", "connection_string"])
+def test_every_listed_name_gives_a_literal(name):
+    found = secrets.find_spans(f'{name} = "hT7$kd93Kq!zW0-p"')
+    assert any(s.start <= len(name) + 4 and s.end == len(name) + 20 for s in found if s.kind == "literal")
+    assert not [s for s in secrets.find_spans(f'{name}_label = "hT7$kd93Kq!zW0-p"') if s.kind == "literal"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("pwd=qzkvhwplxm\n", ["qzkvhwplxm"]), ('credential = "qzkvhwplxm"', ["qzkvhwplxm"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('password: "Please enter your password again"', []), ('"key": "Content-Type"', []), ("pwd = get_token\n", []),
+])
+def test_plain_values_of_strong_names(text, want):
+    assert [text[s.start:s.end] for s in secrets.find_spans(text) if s.kind == "literal"] == want
+
+
 def test_redaction_keeps_length():
     text = 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" é'
     masked = secrets.redacted(text, secrets.find_spans(text))
