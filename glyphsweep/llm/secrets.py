@@ -5,7 +5,7 @@ in source and configuration syntax: ``name = "literal"``, ``"name": "literal"``,
 ``export NAME=literal``, ``--name literal``, ``<name>literal</name>`` and header-like
 ``name: literal``. Pairs of name and literal are propagated: a name assigned another
 name, or a concatenation of names and literals, gets their literals as its own, in the
-order of the text and to a bounded depth. A literal is a secret if the names it reaches
+order of the text, through any number of names. A literal is a secret if the names it reaches
 score enough: how sensitive the words of a name are, and how random the literal is.
 
 Everything happens within one text; no data moves between rows.
@@ -49,8 +49,6 @@ LITERAL_LEAST, SCORE_LEAST = 8, 0.35
 STRONG = 0.75
 #: Words of a literal with blanks that is a passphrase.
 PHRASE_LEAST = 3
-#: Assignments through which a literal is followed.
-DEPTH = 8
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _LITERAL = r""" "(?P<dq>(?:[^"\\\n]|\\.)*+)" | '(?P<sq>(?:[^'\\\n]|\\.)*+)' | `(?P<bq>[^`\n]*+)` """
@@ -164,21 +162,28 @@ def lexed_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, themselves or through other names."""
     if not _HINT.search(text):
         return []
-    held: dict[str, dict[tuple[int, int], tuple[str, int]]] = {}
+    found = assignments(text)
+    # the assignment that a name stands for, and which ones each takes up
+    held: dict[str, int] = {}
+    taken = []
+    for i, (name, _, refs) in enumerate(found):
+        taken.append([held[ref] for ref in refs if ref in held])
+        held[name] = i
+    # from the last back, so that each has met all it flows into; of equals the first name counts
+    weights = [(sensitivity(name), name) for name, _, _ in found]
     best: dict[tuple[int, int], Span] = {}
-    for name, literals, refs in assignments(text):
-        mine = {(x.start, x.end): (x.value, 0) for x in literals}
-        for ref in refs:
-            for place, (value, depth) in held.get(ref, {}).items():
-                if depth < DEPTH:
-                    mine[place] = (value, depth + 1)
-        held[name] = mine
-        weight = sensitivity(name)
-        if weight:
-            for place, (value, _) in mine.items():
-                score = secrecy(weight, value)
-                if score >= SCORE_LEAST and (place not in best or best[place].score < score):
-                    best[place] = Span("literal", *place, name=name, score=round(score, 4))
+    for i in range(len(found) - 1, -1, -1):
+        weight, name = weights[i]
+        if not weight:
+            continue
+        for earlier in taken[i]:
+            own = sensitivity(found[earlier][0])
+            if weight > own and weight >= weights[earlier][0]:
+                weights[earlier] = weight, name
+        for x in found[i][1]:
+            score, place = secrecy(weight, x.value), (x.start, x.end)
+            if score >= SCORE_LEAST and (place not in best or best[place].score <= round(score, 4)):
+                best[place] = Span("literal", *place, name=name, score=round(score, 4))
     return sorted(best.values(), key=_order)
 
 

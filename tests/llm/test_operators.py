@@ -152,6 +152,14 @@ def test_plain_values_of_strong_names(text, want):
     assert [text[s.start:s.end] for s in secrets.find_spans(text) if s.kind == "literal"] == want
 
 
+def test_literals_are_followed_through_any_number_of_names():
+    steps = "".join(f"b{i + 1} = b{i}\n" for i in range(3000))
+    spans = secrets.find_spans('b0 = "hT7$kd93Kq!z"\n' + steps + "db_password = b3000\n")
+    assert [(s.kind, s.name) for s in spans] == [("literal", "db_password")]
+    parts = "".join(f'x = x + "Zq{i:04d}-Xk2!"\n' for i in range(3000))
+    assert len(secrets.find_spans('x = "hT7$kd93Kq!z"\n' + parts + "passwd = x\n")) == 3001
+
+
 def test_redaction_keeps_length():
     text = 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" é'
     masked = secrets.redacted(text, secrets.find_spans(text))
