@@ -49,10 +49,10 @@ class _ShapeIds(dict):
     """Word to hashed shape: letters by case, digits and repeated marks folded."""
 
     def __missing__(self, word: str) -> int:
-        shape = "".join(("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c) for c in word[:40])
+        shape = "".join(("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c) for c in word)
         shape = "".join(c for c, _ in groupby(shape))
         found = zlib.crc32(shape.encode("utf-8")) % SHAPES
-        if len(self) < _CACHE:
+        if len(self) < _CACHE and len(word) <= 40:
             self[word] = found
         return found
 

@@ -60,3 +60,9 @@ def test_labels_that_depend_on_pairs_only(n_rows, n_words):
     known = n_rows * 3 // 4
     model = toxicity.fit(rows[:known], np.array(labels[:known]), np.ones(known))
     assert ranking([model.score(r) for r in rows[known:]], labels[known:]) > 0.97
+
+
+def test_shapes_read_whole_words():
+    same, other = "\u6f22" * 60 + "\u3002" + "\u5b57" * 60, "\u6f22" * 60 + "7" + "\u5b57" * 60
+    shapes = [quality.features(t)[quality.DENSE:] for t in (same, other)]
+    assert (shapes[0] != shapes[1]).any()
