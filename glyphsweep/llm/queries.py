@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsweep.llm import bpe, decontam, licenses, near_dedup, quality, secrets, suffix_dedup, toxicity, warc
+from glyphsweep.llm import bpe, decontam, licenses, near_dedup, quality, secrets, simhash, spelling, suffix_dedup, toxicity, warc, whitening
 from glyphsweep.llm import exact_dedup as exact
 from glyphsweep.llm.common import table
 
@@ -136,3 +136,21 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by complete content, one row per document."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart in all documents, their frequent forms and the forms' ends."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and their components."""
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the whitened principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
