@@ -5,6 +5,10 @@ Every function takes the same options (``typography``, ``keep_zwj``,
 so a text has findings exactly when it contains hidden characters, and exactly then
 stripping changes it. All of them are stateless per row and work on streams.
 
+Texts that are not UTF-8 are read as a decoder reads them: a byte that belongs to no
+sequence is one unit, stays what it is and counts as one in columns. ``*_bytes``
+functions take BINARY and give it back.
+
 ``*_sql`` give the SQL text of a function over the value named ``t``.
 """
 
@@ -16,6 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphsweep.functions import raw
 from glyphsweep.functions.bind import as_column, sql_let, sql_over, sql_string
 from glyphsweep.functions.dialect import char_class, hidden_class
 from glyphsweep.rules import (
@@ -68,11 +73,22 @@ def contains_hidden_sql(**opts) -> str:
 def strip_hidden(c: Column | str, **opts) -> Column:
     """The text with hidden characters deleted or folded to plain ones."""
     c = as_column(c)
-    return F.when(contains_hidden(c, **opts), sql_over(c, _rewrite_sql(**opts))).otherwise(c)
+    return F.when(contains_hidden(c, **opts), sql_over(c, _rewrite_any_sql(**opts))).otherwise(c)
 
 
 def strip_hidden_sql(**opts) -> str:
-    return f"CASE WHEN {contains_hidden_sql(**opts)} THEN {_rewrite_sql(**opts)} ELSE t END"
+    return f"CASE WHEN {contains_hidden_sql(**opts)} THEN {_rewrite_any_sql(**opts)} ELSE t END"
+
+
+def contains_hidden_bytes(c: Column | str, **opts) -> Column:
+    """``contains_hidden`` of a BINARY column, UTF-8 or not."""
+    return contains_hidden(as_column(c).cast("string"), **opts)
+
+
+def strip_hidden_bytes(c: Column | str, **opts) -> Column:
+    """``strip_hidden`` of a BINARY column; bytes that are not UTF-8 stay as they are."""
+    c = as_column(c)
+    return F.when(contains_hidden_bytes(c, **opts), strip_hidden(c.cast("string"), **opts).cast("binary")).otherwise(c)
 
 
 def _pieces_sql(rules: Iterable[CharRule]) -> str:
@@ -85,7 +101,17 @@ def _pieces_sql(rules: Iterable[CharRule]) -> str:
     return f"split(concat('x', t), {before_hit})"
 
 
-def _rewrite_sql(**opts) -> str:
+def _byte_pieces_sql(rules: Iterable[CharRule]) -> str:
+    """The same for a text that is not UTF-8; the pieces have one character per byte."""
+    before_hit = sql_string(f"(?={raw.hidden_bytes(rules, lead='x')})")
+    return f"split(concat('x', {raw.text_sql('CAST(t AS BINARY)')}), {before_hit})"
+
+
+def _rewrite_any_sql(**opts) -> str:
+    return f"CASE WHEN is_valid_utf8(t) THEN {_rewrite_sql(**opts)} ELSE {_rewrite_sql(as_bytes=True, **opts)} END"
+
+
+def _rewrite_sql(as_bytes: bool = False, **opts) -> str:
     # One pass cuts the text, whatever the number of rules, and the hits are those of
     # the input: a byte-order mark that only comes to lead by a deletion still goes.
     rules = hidden_rules(**opts)
@@ -93,13 +119,18 @@ def _rewrite_sql(**opts) -> str:
     for rule in rules:
         if rule.replacement:
             folds[rule.replacement].extend(rule.ranges)
+    rune = raw.rune_sql("piece") if as_bytes else "ascii(piece)"
     cases = " ".join(
-        f"WHEN {_in_ranges('ascii(piece)', ranges)} THEN {sql_string(fold)}"
-        for fold, ranges in folds.items()
+        f"WHEN {_in_ranges(rune, ranges)} THEN {sql_string(fold)}" for fold, ranges in folds.items()
     )
     fold = f"CASE WHEN i = 0 THEN '' {cases} ELSE '' END"
-    rejoined = f"transform({_pieces_sql(rules)}, (piece, i) -> concat({fold}, substr(piece, 2)))"
-    return f"array_join({rejoined}, '')"
+    if not as_bytes:
+        rejoined = f"transform({_pieces_sql(rules)}, (piece, i) -> concat({fold}, substr(piece, 2)))"
+        return f"array_join({rejoined}, '')"
+    kept = f"substr(piece, CASE WHEN i = 0 THEN 2 ELSE {raw.unit_size_sql('piece')} + 1 END)"
+    rejoined = f"transform({_byte_pieces_sql(rules)}, (piece, i) -> concat({fold}, {kept}))"
+    joined = f"array_join({rejoined}, '')"
+    return f"CAST({raw.bytes_sql(joined)} AS STRING)"
 
 
 def _in_ranges(cp: str, ranges: Iterable[tuple[int, int]]) -> str:
@@ -129,10 +160,11 @@ def first_hidden_position(c: Column | str, **opts) -> Column:
     """1-based character position of the first hidden character, 0 if there is none."""
     c = as_column(c)
     # regexp_instr counts UTF-16 units, so measure the text ahead of the hit instead.
-    ahead = F.get(F.split(c, hidden_class(hidden_rules(**opts)), 2), F.lit(0))
-    return F.when(contains_hidden(c, **opts), F.char_length(ahead) + 1).otherwise(
-        F.char_length(c) * 0
-    )
+    rules = hidden_rules(**opts)
+    ahead = F.get(F.split(c, hidden_class(rules), 2), F.lit(0))
+    ahead_bytes = sql_over(c, f"split({raw.text_sql('CAST(t AS BINARY)')}, {sql_string(raw.hidden_bytes(rules))}, 2)[0]")
+    units = F.when(F.is_valid_utf8(c), F.char_length(ahead)).otherwise(F.regexp_count(ahead_bytes, F.lit(raw.UNIT)))
+    return F.when(contains_hidden(c, **opts), units + 1).otherwise(F.char_length(c) * 0)
 
 
 def hidden_hits(c: Column | str, **opts) -> Column:
@@ -207,13 +239,31 @@ def _measures_sql(rules: Iterable[CharRule]) -> str:
     return sql_let(_pieces_sql(rules), "p", f"transform({ahead}, (piece, i) -> {measure})")
 
 
+def _byte_measures_sql(rules: Iterable[CharRule]) -> str:
+    """The measures of a text that is not UTF-8; columns count its units."""
+    last_line = "substring_index(piece, '\\n', -1)"
+    measure = f"""named_struct(
+        'rune', {raw.rune_sql("p[i + 1]")},
+        'bytes', CAST(char_length(piece) AS BIGINT),
+        'lines', CAST(char_length(piece) - char_length(replace(piece, '\\n', '')) AS BIGINT),
+        'chars', CAST(regexp_count({last_line}, {sql_string(raw.UNIT)}) AS BIGINT))"""
+    ahead = "slice(p, 1, size(p) - 1)"
+    return sql_let(_byte_pieces_sql(rules), "p", f"transform({ahead}, (piece, i) -> {measure})")
+
+
 def pieces(c: Column | str, **opts) -> Column:
     """The text cut in front of every hit.
 
     The first piece has a letter put in front, so its measures have one byte and, on
-    the first line, one character too many.
+    the first line, one character too many. The pieces of a text that is not UTF-8 have
+    one character per byte.
     """
-    return sql_over(c, _pieces_sql(hidden_rules(**opts)))
+    rules = hidden_rules(**opts)
+    return sql_over(c, f"CASE WHEN is_valid_utf8(t) THEN {_pieces_sql(rules)} ELSE {_byte_pieces_sql(rules)} END")
+
+
+def _measures_any_sql(rules: Iterable[CharRule]) -> str:
+    return f"CASE WHEN is_valid_utf8(t) THEN {_measures_sql(rules)} ELSE {_byte_measures_sql(rules)} END"
 
 
 def _running_sql(measures: str) -> str:
@@ -252,7 +302,7 @@ def find_hidden_sql(**opts) -> str:
         'rune', f.rune, 'u', {u_plus_sql("f.rune")}, 'offset', f.bytes - 1,
         'line', f.lines + 1, 'col', CASE WHEN f.lines = 0 THEN f.chars ELSE f.chars + 1 END,
         'category', {category_sql("f.rune", opts.get("extra", ()))})"""
-    return f"transform({_running_sql(_measures_sql(rules))}, f -> {finding})"
+    return f"transform({_running_sql(_measures_any_sql(rules))}, f -> {finding})"
 
 
 def find_hidden_array(c: Column | str, **opts) -> Column:
@@ -264,6 +314,11 @@ def find_hidden_array(c: Column | str, **opts) -> Column:
     return sql_over(c, find_hidden_sql(**opts))
 
 
+def find_hidden_bytes_array(c: Column | str, **opts) -> Column:
+    """``find_hidden_array`` of a BINARY column, UTF-8 or not."""
+    return find_hidden_array(as_column(c).cast("string"), **opts)
+
+
 def format_finding(
     path: Column | str, line: Column | str, col: Column | str,
     category: Column | str, rune: Column | str,

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from glyphsweep.functions import raw
 from glyphsweep.functions.hidden import (
     FINDINGS_TYPE,
     category_classes,
@@ -16,6 +18,7 @@ from glyphsweep.functions.hidden import (
     hidden_hits,
     pieces,
     strip_hidden,
+    strip_hidden_bytes,
     u_plus_sql,
 )
 from glyphsweep.rules import (
@@ -30,17 +33,31 @@ def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def _is_bytes(df: DataFrame, col: str) -> bool:
+    return df.select(col).schema[0].dataType == BinaryType()
+
+
+def _text(df: DataFrame, col: str) -> Column:
+    """The column as a string; bytes that are not UTF-8 stay in it as they are."""
+    return F.col(col).cast("string") if _is_bytes(df, col) else F.col(col)
+
+
 def clean_text(df: DataFrame, col: str, cleaned: str = "cleaned", **opts) -> DataFrame:
-    """Add the cleaned text and whether it differs."""
+    """Add the cleaned text and whether it differs.
+
+    A BINARY column gives bytes again; what is not UTF-8 in it stays as it is.
+    """
+    strip = strip_hidden_bytes if _is_bytes(df, col) else strip_hidden
     return df.withColumns(
-        {cleaned: strip_hidden(col, **opts), "changed": contains_hidden(col, **opts)}
+        {cleaned: strip(col, **opts), "changed": contains_hidden(_text(df, col), **opts)}
     )
 
 
 def with_findings(df: DataFrame, col: str, name: str = "findings", **opts) -> DataFrame:
     """Add the findings of each row as an array; empty for a clean text."""
+    text = _text(df, col)
     found = (
-        F.when(contains_hidden(col, **opts), find_hidden_array(col, **opts))
+        F.when(contains_hidden(text, **opts), find_hidden_array(text, **opts))
         .when(F.col(col).isNotNull(), F.array().cast(FINDINGS_TYPE))
     )
     return df.withColumn(name, found)
@@ -52,13 +69,14 @@ def find_hidden(
     """One row per hidden character with its byte offset, line and column.
 
     Positions are worked out inside the row, so nothing is shuffled; ``ordered`` adds
-    the one sort by key and offset.
+    the one sort by key and offset. The column may be BINARY: a byte that is not UTF-8
+    is one byte and one column.
     """
-    keys = _names(key)
+    keys, text = _names(key), _text(df, col)
     # The outer generator adds no row, no dirty text being without findings, and keeps
     # the optimizer from testing the array's size in a filter that computes it again.
-    found = df.where(contains_hidden(col, **opts)).select(
-        *keys, F.inline_outer(find_hidden_array(col, **opts))
+    found = df.where(contains_hidden(text, **opts)).select(
+        *keys, F.inline_outer(find_hidden_array(text, **opts))
     )
     return found.orderBy(*keys, "offset") if ordered else found
 
@@ -73,14 +91,20 @@ def running_positions(
     over each text's hits. ``key``
     must be unique.
     """
-    keys = _names(key)
-    cut = df.where(contains_hidden(col, **opts)).select(
-        *keys, F.posexplode_outer(pieces(col, **opts)).alias("pos", "piece"))
+    keys, text = _names(key), _text(df, col)
+    cut = df.where(contains_hidden(text, **opts)).select(
+        *keys, F.is_valid_utf8(text).alias("_valid"), F.posexplode_outer(pieces(text, **opts)).alias("pos", "piece"))
     feeds = F.octet_length("piece") - F.octet_length(F.replace("piece", F.lit("\n"), F.lit("")))
+    last_line = F.substring_index("piece", "\n", -1)
+
+    def either(whole: Column, as_bytes: Column) -> Column:
+        return F.when(F.col("_valid"), whole).otherwise(as_bytes)
+
     measured = cut.select(
-        *keys, "pos", F.ascii("piece").alias("head"), F.octet_length("piece").cast("long").alias("bytes"),
+        *keys, "pos", either(F.ascii("piece"), F.expr(raw.rune_sql("piece"))).alias("head"),
+        either(F.octet_length("piece"), F.char_length("piece")).cast("long").alias("bytes"),
         feeds.cast("long").alias("lines"),
-        F.char_length(F.substring_index("piece", "\n", -1)).cast("long").alias("chars"),
+        either(F.char_length(last_line), F.regexp_count(last_line, F.lit(raw.UNIT))).cast("long").alias("chars"),
     )
     # a piece ends where the hit stands that the next one begins with
     ends = Window.partitionBy(*keys).orderBy("pos")

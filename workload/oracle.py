@@ -8,7 +8,7 @@ characters, and the patterns are used as RE2 reads them.
 from __future__ import annotations
 
 from workload.expected import COMMENT_TOKENS, COMMIT_PATTERNS
-from workload.plant import COMMITS_SQL, DENSE_SQL, DOCS_SQL, FILES_SQL
+from workload.plant import BYTES_SQL, COMMITS_SQL, DENSE_SQL, DOCS_SQL, FILES_SQL, STRAY_CLASS
 
 # Code points by category, as RE2 classes.
 SPACE = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
@@ -89,7 +89,7 @@ def category(ch: str) -> str:
     return f"CASE {cases} ELSE 'unknown' END"
 
 
-def findings(source: str, keys: str = "doc_id", text: str = "text", **opts) -> str:
+def findings(source: str, keys: str = "doc_id", text: str = "text", size: str = "strlen(ch)", **opts) -> str:
     """CTEs ending in ``found``: one row per hit, by unnested characters and windows."""
     return f"""
     chars AS (
@@ -97,7 +97,7 @@ def findings(source: str, keys: str = "doc_id", text: str = "text", **opts) -> s
       FROM (SELECT {keys}, regexp_extract_all({text}, '(?s).') AS cs FROM {source})),
     placed AS (
       SELECT {keys}, ch, i,
-        coalesce(sum(strlen(ch)) OVER before, 0) AS "offset",
+        coalesce(sum({size}) OVER before, 0) AS "offset",
         1 + coalesce(sum((ch = chr(10))::INT) OVER before, 0) AS line,
         i - coalesce(max(CASE WHEN ch = chr(10) THEN i END) OVER before, 0) AS col
       FROM chars
@@ -279,5 +279,14 @@ HISTORY = f"""
     SELECT 1::BIGINT AS step_ord, 'history' AS step, repo, sha AS path, 'rewrite' AS action
     FROM commits WHERE {normalized(kept_lines("message"))} <> {normalized("message")}"""
 
-WITH_DOCS, WITH_DENSE = f"WITH {DOCS_SQL}", f"WITH {DENSE_SQL}"
+#: The bytes of a character of ``byte_docs``, and how many they are.
+BYTE_SIZE = f"CASE WHEN regexp_full_match(ch, {q(STRAY_CLASS)}) THEN 1 ELSE strlen(ch) END"
+
+
+def byte_hex(text: str) -> str:
+    char = f"CASE WHEN regexp_full_match(c, {q(STRAY_CLASS)}) THEN printf('%02X', unicode(c) - 57344) ELSE hex(encode(c)) END"
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c: {char}), '')"
+
+
+WITH_DOCS, WITH_DENSE, WITH_BYTES = f"WITH {DOCS_SQL}", f"WITH {DENSE_SQL}", f"WITH {BYTES_SQL}"
 WITH_COMMITS, WITH_FILES = f"WITH {COMMITS_SQL}", f"WITH {FILES_SQL}"

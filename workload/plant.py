@@ -24,6 +24,13 @@ _COVERED = {cp for _, lo, hi, _ in CODE_POINTS for cp in range(lo, hi + 1)}
 _BESIDE = sorted({cp + d for cp in _ENDS for d in (-1, 1)} - _COVERED)
 SENTENCE_MARKS = [*map(chr, _ENDS), *map(chr, _BESIDE[::3])]
 
+# Bytes that are no UTF-8, by doc_id: alone, cut off, overlong, a surrogate, beyond the last plane.
+STRAYS = [
+    b"", b"\xff", b"\x80", b"\xe2\x80", b"\xc3", b"\xf0\x9f\x98", b"\xed\xa0\x80", b"\xc0\xaf", b"\xef\xbb",
+    b"\xf4\x90\x80\x80", b"\x8b\xe2", b"\xe0\x80\x8b", b"\xfe\xff\xf1",
+]
+_STRAY_HERE = "\x01"
+
 # What follows the text of a commit message, by conv_id; together all rules are met.
 FOOTERS = [
     "",
@@ -140,6 +147,19 @@ def dense_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_docs(spark, sf_dir).withColumn("text", text)
 
 
+def byte_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes, with marks and bytes that are no UTF-8 after every sentence."""
+    key = F.col("doc_id")
+    sentence = F.concat(F.lit("." + _STRAY_HERE), _pick(key % len(SENTENCE_MARKS), SENTENCE_MARKS), F.lit(" "))
+    text = F.concat(
+        F.when(key % 3 == 0, F.lit(_STRAY_HERE)).otherwise(F.lit("")),
+        F.replace(planted(F.col("text"), key), F.lit(". "), sentence))
+    # one character per byte, so that bytes can be put in like text
+    stray = _pick(key % len(STRAYS), [s.decode("latin-1") for s in STRAYS])
+    spread = F.replace(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(_STRAY_HERE), stray)
+    return raw_docs(spark, sf_dir).select("doc_id", F.encode(spread, "ISO-8859-1").alias("content"))
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as commits with footers."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -173,6 +193,13 @@ DENSE_SQL = (
     "dense AS (SELECT doc_id, lang, source, replace("
     f"{_PLANTED}, '. ', '.' || {_pick_sql(f'doc_id % {len(SENTENCE_MARKS)}', SENTENCE_MARKS)} || ' ') AS text FROM documents)"
 )
+#: A byte that is no UTF-8 is a private character here, U+E000 plus its value.
+STRAY_CLASS = r"[\x{E000}-\x{E0FF}]"
+_STRAY = _pick_sql(f"doc_id % {len(STRAYS)}", ["".join(chr(0xE000 + b) for b in s) for s in STRAYS])
+BYTES_SQL = (
+    f"byte_docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_STRAY} ELSE '' END || replace("
+    f"{_PLANTED}, '. ', '.' || {_STRAY} || {_pick_sql(f'doc_id % {len(SENTENCE_MARKS)}', SENTENCE_MARKS)} || ' ') AS text FROM documents)"
+)
 COMMITS_SQL = (
     "commits AS (SELECT 'r' || (conv_id % 5)::VARCHAR AS repo, "
     "md5(conv_id::VARCHAR || '-' || turn::VARCHAR) AS sha, "

@@ -190,6 +190,49 @@ def format_finding(spark, sf_dir):
     )
 
 
+# --- Hidden characters in bytes that are not UTF-8 -----------------------------------
+
+
+@query(
+    f"{O.WITH_BYTES} SELECT doc_id, md5({O.byte_hex(O.strip('text'))}) AS cleaned, "
+    f"md5({O.byte_hex(O.strip('text', typography=True))}) AS folded, {O.dirty('text')} AS changed FROM byte_docs"
+)
+def strip_bytes(spark, sf_dir):
+    content = plant.byte_docs(spark, sf_dir)
+    cleaned = text_ops.clean_text(content, "content").withColumn("folded", H.strip_hidden_bytes("content", typography=True))
+    return cleaned.select("doc_id", F.md5(F.hex("cleaned")).alias("cleaned"), F.md5(F.hex("folded")).alias("folded"), "changed")
+
+
+@query(
+    f"{O.WITH_BYTES}, {O.findings('byte_docs', size=O.BYTE_SIZE)} "
+    'SELECT doc_id, rune, u, "offset", line, col, category FROM found'
+)
+def find_bytes(spark, sf_dir):
+    return text_ops.find_hidden(plant.byte_docs(spark, sf_dir), "doc_id", "content")
+
+
+@query(
+    f"{O.WITH_BYTES}, {O.findings('byte_docs', size=O.BYTE_SIZE, typography=True, zwj=True)} "
+    'SELECT doc_id, rune, u, "offset", line, col, category FROM found'
+)
+def find_bytes_by_windows(spark, sf_dir):
+    """Positions by window sums over exploded pieces, other options."""
+    return text_ops.running_positions(plant.byte_docs(spark, sf_dir), "doc_id", "content", typography=True, keep_zwj=True)
+
+
+@query(
+    f"{O.WITH_BYTES}, {O.findings('byte_docs')}, "
+    "ahead AS (SELECT p.doc_id, min(p.i) AS i FROM placed p JOIN found f "
+    'ON p.doc_id = f.doc_id AND p."offset" = f."offset" GROUP BY p.doc_id) '
+    f"SELECT b.doc_id, coalesce(a.i, 0)::BIGINT AS position, {O.count('text', O.hidden())}::BIGINT AS n "
+    "FROM byte_docs b LEFT JOIN ahead a USING (doc_id)"
+)
+def first_hidden_in_bytes(spark, sf_dir):
+    text = F.col("content").cast("string")
+    return plant.byte_docs(spark, sf_dir).select(
+        "doc_id", H.first_hidden_position(text).alias("position"), H.count_hidden(text).alias("n"))
+
+
 # --- Hidden characters: findings -----------------------------------------------------
 
 _FOUND = 'SELECT doc_id, rune, u, "offset", line, col, category FROM found'
