@@ -1,22 +1,18 @@
 """Preview, apply and undo a cleaning run over file and commit tables.
 
 A run never changes its inputs: ``apply`` writes the originals of every file it
-touches, then the cleaned tables to new places, then the record that makes the run
-count. A run that dies in between leaves no record, so ``restore`` ignores it and it
-can simply be repeated under the same id.
+touches, then the cleaned tables to new places, then the line in the store's log that
+makes the run count. A run that dies in between leaves no line, so ``restore`` ignores
+it and it can simply be repeated under the same id.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from dataclasses import dataclass
-from datetime import datetime, timezone
-from urllib.parse import unquote
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from glyphsweep.functions.bind import any_of, where_computed
 from glyphsweep.functions.comments import clean_comments, has_ai_token
@@ -37,14 +33,24 @@ from glyphsweep.operators.files import (
     strip_in_file,
 )
 from glyphsweep.plans.steps import select_steps
+from glyphsweep.plans.store import (
+    Attempt,
+    exists,
+    latest_run,
+    log_version,
+    new_attempt,
+    new_run_id,
+    read_run,
+    read_runs,
+    record,
+    refuse_recorded,
+    save_originals,
+)
 from glyphsweep.rules import STEP_ORDER, STORE_DIR, LineRule
 from glyphsweep.sources.scratch import new_path
+from glyphsweep.sources.sinks import write_events
 
 DEFAULT_MODE = 0o644
-RUNS_SCHEMA = "run_id string, created timestamp, n_entries bigint"
-ORIGINALS_SCHEMA = (
-    "repo string, path string, mode int, content binary, steps array<string>, run_id string"
-)
 
 
 @dataclass(frozen=True)
@@ -226,18 +232,30 @@ def step_summary(actions: DataFrame, distinct: bool = False) -> DataFrame:
     return actions.groupBy("step").agg(touched.alias("n_files"))
 
 
-def new_run_id(now: datetime | None = None) -> str:
-    """An id that sorts by time: UTC date, time and fraction."""
-    moment = (now or datetime.now(timezone.utc)).astimezone(timezone.utc)
-    return moment.strftime("%Y%m%d-%H%M%S.%f") + "000"
+#: Steps whose single actions are details; the others' are news.
+_DETAILS = ("history", "comments")
+
+
+def action_events(actions: DataFrame, run_id: str) -> DataFrame:
+    """One event per action: time (RFC 3339), level, message, run, step, repo, path."""
+    return actions.select(
+        _now().alias("time"),
+        F.when(F.col("step").isin(*_DETAILS), F.lit("DEBUG")).otherwise(F.lit("INFO")).alias("level"),
+        F.concat("step", F.lit(": "), "action").alias("msg"),
+        F.lit(run_id).alias("run_id"), "step", "action", "repo", "path",
+    )
 
 
-def originals_dir(store: str) -> str:
-    return f"{store.rstrip('/')}/originals"
+def step_events(spark: SparkSession, run_id: str, counts: dict[str, int]) -> DataFrame:
+    """One closing event per step, with the number of files or commits it touched."""
+    rows = [(f"{step}: done", run_id, step, n) for step, n in counts.items()]
+    given = spark.createDataFrame(rows, "msg string, run_id string, step string, n_files bigint")
+    return given.select(_now().alias("time"), F.lit("INFO").alias("level"), "msg", "run_id", "step", "n_files")
 
 
-def runs_dir(store: str) -> str:
-    return f"{store.rstrip('/')}/runs"
+def _now() -> Column:
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def first_saved(saves: DataFrame) -> DataFrame:
@@ -252,52 +270,6 @@ def touched_originals(files: DataFrame, actions: DataFrame) -> DataFrame:
     return files.join(actions.select(*KEYS).dropDuplicates(), list(KEYS), "left_semi")
 
 
-def save_originals(touched: DataFrame, store: str, run_id: str) -> int:
-    """Write the originals of a run and return how many; nothing is written for none.
-
-    The run has its own directory, so saving again after a failure replaces it.
-    """
-    target = f"{originals_dir(store)}/run_id={run_id}"
-    columns = [*KEYS, "mode", "content", *(["steps"] if "steps" in touched.columns else [])]
-    touched.select(*columns).write.mode("overwrite").parquet(target)
-    return touched.sparkSession.read.parquet(target).count()
-
-
-def finalize_run(spark: SparkSession, store: str, run_id: str, n_entries: int) -> None:
-    """Record the run as complete. A run that saved nothing is not recorded."""
-    if n_entries == 0:
-        return
-    created = F.to_timestamp(F.substring(F.lit(run_id), 1, 15), "yyyyMMdd-HHmmss")
-    record = spark.range(0, 1, 1, 1).select(
-        F.lit(run_id).alias("run_id"), created.alias("created"),
-        F.lit(n_entries).cast("long").alias("n_entries"),
-    )
-    record.write.mode("overwrite").parquet(f"{runs_dir(store)}/{run_id}")
-
-
-def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    """The recorded runs; empty if there are none."""
-    try:
-        return spark.read.schema(RUNS_SCHEMA).option("recursiveFileLookup", "true").parquet(
-            runs_dir(store)
-        )
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RUNS_SCHEMA)
-
-
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest recorded run, one row or none."""
-    return runs.orderBy(F.desc("run_id")).limit(1)
-
-
-def read_run(spark: SparkSession, store: str, run_id: str) -> DataFrame:
-    """The originals of one run; other runs' files are not read."""
-    saved = spark.read.schema(ORIGINALS_SCHEMA).parquet(originals_dir(store))
-    return saved.where(F.col("run_id") == run_id)
-
-
 def manifest_entries(originals: DataFrame) -> DataFrame:
     """The manifest of a run as JSON lines, one (path, mode) entry per saved file."""
     entry = F.struct("repo", "path", F.col("mode").cast("int").alias("mode"))
@@ -310,16 +282,6 @@ def read_manifest(entries: DataFrame) -> DataFrame:
     return entries.select(parsed.alias("e")).select("e.*")
 
 
-@dataclass(frozen=True)
-class RunResult:
-    """Where ``apply`` wrote. ``n_entries`` is the number of originals saved."""
-
-    run_id: str
-    files_path: str | None
-    commits_path: str | None
-    n_entries: int
-
-
 def apply(
     files: DataFrame | None,
     out: str,
@@ -329,62 +291,83 @@ def apply(
     skip: Iterable[str] | str = (),
     rules: Rules = Rules(),
     run_id: str | None = None,
-) -> RunResult:
+    events: str | None = None,
+) -> Attempt:
     """Carry a plan out: save originals, write the cleaned tables below ``out``, record the run.
 
-    The tables go to ``out/run_id=<id>``, so no run writes over another's. A place that
-    exists is replaced only if it belongs to this run id and the run is not recorded; one
-    that an input is read from never is. ``store=None`` saves no originals. Every file is
-    judged once: the verdicts are written to the shared folder, and originals and cleaned
-    table are taken from there. Files without a path are kept as they are.
+    The tables go to a place of this attempt's own below ``out/run_id=<id>``; without a
+    ``store``, which saves no originals and keeps no log, to that folder itself, which must
+    not exist. Every file is judged once: the verdicts are written to the shared folder,
+    and originals, cleaned table and events are taken from there. What is done is counted
+    while it is written (``counts``, by step). ``events`` is a new place for one JSON line
+    per action and one per step. Files without a path are kept as they are.
+
+    A run that is recorded already is refused, also if someone else records it meanwhile,
+    and so is one whose files another run saved and recorded since it began.
     """
     steps = select_steps(only, skip)
     given = [t for t in (files, commits) if t is not None]
     if not given:
         raise ValueError("no table given")
     spark = given[0].sparkSession
-    repeated = run_id is not None
-    run_id = run_id or new_run_id()
-    if repeated and store is not None:
-        if not read_runs(spark, store).where(F.col("run_id") == run_id).isEmpty():
-            raise ValueError(f"run {run_id} is already recorded")
-    target = f"{out.rstrip('/')}/run_id={run_id}"
-    for source in (place for t in given for place in t.inputFiles()):
-        if _plain(source).startswith(_plain(target) + "/"):
-            raise ValueError(f"{target} is an input of the run")
-    mode = "overwrite" if repeated and store is not None else "errorifexists"
-
-    n_entries, files_path, commits_path = 0, None, None
+    attempt, seen = new_attempt(run_id or new_run_id()), None
+    target = f"{out.rstrip('/')}/run_id={attempt.run_id}"
+    if store is not None:
+        seen = log_version(spark, store)
+        refuse_recorded(spark, store, attempt.run_id)
+        target = f"{target}/attempt={attempt.attempt}"
+    if exists(spark, target):
+        raise ValueError(f"PATH_ALREADY_EXISTS: {target}, perhaps an input of the run")
+
+    done, counts = [], {}
     if files is not None and set(steps) - {"history"}:
-        files_path = f"{target}/files"
-        verdicts = stage_files(files, steps, rules)
-        touched = F.size("steps") > 0
-        place = new_path(spark, "verdicts")
-        verdicts = verdicts.select(
-            *KEYS, "mode", F.when(touched, F.col("content")).alias("content"), "steps",
-            F.coalesce("removed", F.lit(False)).alias("removed"), "cleaned", touched.cast("int").alias("touched"),
-        )
-        verdicts.write.partitionBy("touched").parquet(place)
-        judged = spark.read.schema(verdicts.schema).parquet(place)
-        if store is not None:
-            n_entries = save_originals(judged.where("touched = 1"), store, run_id)
+        attempt = replace(attempt, files_path=f"{target}/files")
+        judged, counted = _judged(files, steps, rules)
+        touched = judged.where("touched = 1")
+        n_touched = counted.pop("touched")
+        counts |= counted
+        if store is not None and n_touched:
+            attempt = save_originals(touched, store, attempt)
         kept = judged.where("NOT removed").select(*KEYS, "mode", F.col("cleaned").alias("content"))
-        kept.write.mode(mode).parquet(files_path)
+        kept.write.mode("errorifexists").parquet(attempt.files_path)
+        done.append(_as_actions(touched))
     if commits is not None and "history" in steps:
-        commits_path = f"{target}/commits"
-        cleaned = F.when(
-            has_traces("message", rules.extra_commit_rules, rules.exclude_commit_rules),
-            clean_message("message", rules.extra_commit_rules, rules.exclude_commit_rules),
-        ).otherwise(F.col("message"))
-        commits.withColumn("message", cleaned).write.mode(mode).parquet(commits_path)
+        attempt = replace(attempt, commits_path=f"{target}/commits")
+        counts["history"] = _write_commits(commits, attempt.commits_path, rules)
+        done.append(history_actions(commits, rules))
+    attempt = replace(attempt, counts=counts)
+    if events is not None:
+        actions = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+        write_events(action_events(actions, attempt.run_id), events, step_events(spark, attempt.run_id, counts))
     if store is not None:
-        finalize_run(spark, store, run_id, n_entries)
-    return RunResult(run_id, files_path, commits_path, n_entries)
+        record(spark, store, attempt, seen)
+    return attempt
+
+
+def _judged(files: DataFrame, steps: Iterable[str], rules: Rules) -> tuple[DataFrame, dict[str, int]]:
+    """Every file's verdict, written once and counted while written: by step, and touched."""
+    spark, place, counted = files.sparkSession, new_path(files.sparkSession, "verdicts"), Observation()
+    touched = F.size("steps") > 0
+    verdicts = stage_files(files, steps, rules).select(
+        *KEYS, "mode", F.when(touched, F.col("content")).alias("content"), "steps",
+        F.coalesce("removed", F.lit(False)).alias("removed"), "cleaned", touched.cast("int").alias("touched"),
+    )
+    chosen = [s for s in steps if s != "history"]
+    by_step = [F.count_if(F.array_contains("steps", s)).alias(s) for s in chosen]
+    observed = verdicts.observe(counted, F.count_if(F.col("touched") == 1).alias("touched"), *by_step)
+    observed.write.partitionBy("touched").parquet(place)
+    return spark.read.schema(verdicts.schema).parquet(place), dict(counted.get)
 
 
-def _plain(place: str) -> str:
-    """A path without the scheme of local files, to compare places by text."""
-    return re.sub(r"^file:/+", "/", unquote(place))
+def _write_commits(commits: DataFrame, place: str, rules: Rules) -> int:
+    """Write the commits with clean messages; how many had traces is counted on the way."""
+    counted = Observation()
+    extra, exclude = rules.extra_commit_rules, rules.exclude_commit_rules
+    flagged = commits.withColumn("_traced", has_traces("message", extra, exclude))
+    observed = flagged.observe(counted, F.count_if(F.col("_traced")).alias("n"))
+    message = F.when(F.col("_traced"), clean_message("message", extra, exclude)).otherwise(F.col("message"))
+    observed.withColumn("message", message).drop("_traced").write.mode("errorifexists").parquet(place)
+    return counted.get["n"]
 
 
 def restore_actions(current: DataFrame, originals: DataFrame) -> DataFrame:
@@ -423,6 +406,19 @@ def restore_latest(spark: SparkSession, current: DataFrame, store: str) -> DataF
     return restore(current, read_run(spark, store, newest["run_id"]))
 
 
+def write_restored(current: DataFrame, originals: DataFrame, place: str) -> int:
+    """Write what ``restore`` gives to a new place and return how many files it put back,
+    counted while they are written."""
+    counted = Observation()
+    saved_mode = F.coalesce(F.nullif("mode", F.lit(0)), F.lit(DEFAULT_MODE))
+    saved = originals.select(*KEYS, saved_mode.alias("mode"), "content", F.lit(True).alias("_back"))
+    untouched = current.join(originals.select(*KEYS), list(KEYS), "left_anti").select(
+        *KEYS, "mode", "content", F.lit(False).alias("_back"))
+    rows = untouched.unionByName(saved).observe(counted, F.count_if(F.col("_back")).alias("n"))
+    rows.drop("_back").write.mode("errorifexists").parquet(place)
+    return counted.get["n"]
+
+
 def restore_summary(originals: DataFrame) -> DataFrame:
     """How many files a restore puts back."""
     return originals.agg(F.count(F.lit(1)).alias("n_files"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -20,3 +21,17 @@ def write_findings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """Write actions or a summary as JSON lines."""
     write_cleaned(df, path, "json")
+
+
+LEVELS = ("DEBUG", "INFO", "WARN")
+
+
+def write_events(events: DataFrame, path: str, closing: DataFrame | None = None, least: str = "DEBUG") -> None:
+    """Write events of at least a level as JSON lines to a new place, in one pass.
+
+    ``closing`` events, few, go to a file of their own behind the others.
+    """
+    shown = list(LEVELS[LEVELS.index(least):])
+    write_cleaned(events.where(F.col("level").isin(*shown)), path, "json")
+    if closing is not None:
+        closing.where(F.col("level").isin(*shown)).coalesce(1).write.mode("append").json(path)

@@ -126,10 +126,10 @@ def test_newest_recorded_run_wins(spark, tmp_path):
     store = f"{tmp_path}/store"
     for day, text in (("1", "x = 1 // by Claude\n"), ("2", "x = 2 // by Claude\n")):
         tree = table(spark, {"notes.go": (text, 0o644)})
-        run.apply(tree, f"{tmp_path}/out{day}", store, run_id=f"2026010{day}-000000.000000000")
+        newest = run.apply(tree, f"{tmp_path}/out{day}", store, run_id=f"2026010{day}-000000.000000000")
     unfinished = table(spark, {"notes.go": ("never recorded", 0o644)})
     run.save_originals(unfinished, store, "20260109-000000.000000000")
-    back = run.restore_latest(spark, spark.read.parquet(f"{tmp_path}/out2/run_id=20260102-000000.000000000/files"), store)
+    back = run.restore_latest(spark, spark.read.parquet(newest.files_path), store)
     assert contents(back) == {"notes.go": "x = 2 // by Claude\n"}
     with pytest.raises(ValueError):
         run.apply(tree, f"{tmp_path}/out3", store, run_id="20260102-000000.000000000")

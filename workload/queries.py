@@ -20,6 +20,7 @@ from glyphsweep.operators import commits as commit_ops
 from glyphsweep.operators import files as file_ops
 from glyphsweep.operators import text as text_ops
 from glyphsweep.plans import run as runs
+from glyphsweep.plans import store as stores
 from glyphsweep.rules import CharRule, LineRule
 from glyphsweep.sources import readers, sinks
 from glyphsweep.sources.scratch import new_path
@@ -905,10 +906,10 @@ def latest_run(spark, sf_dir):
     """The newest recorded run of a store that also holds older and unfinished ones."""
     base, _ = _applied(spark, sf_dir)
     store = f"{base}/store"
-    runs.finalize_run(spark, store, "20250102-030405.000000000", 1)
     tree = files(spark, sf_dir)
-    runs.save_originals(tree, store, "20270102-030405.000000000")
-    return runs.latest_run(runs.read_runs(spark, store)).select("run_id", "n_entries")
+    stores.record(spark, store, stores.save_originals(tree, store, "20250102-030405.000000000"))
+    stores.save_originals(tree, store, "20270102-030405.000000000")
+    return stores.latest_run(stores.read_runs(spark, store)).select("run_id", "n_entries")
 
 
 @query(f"{_STAGED}, done AS ({O.ACTIONS}) SELECT {_COLUMNS} FROM done")
@@ -976,6 +977,53 @@ def restore_summary(spark, sf_dir):
     return runs.restore_summary(runs.read_run(spark, f"{base}/store", result.run_id))
 
 
+@query(f"{_PLAN} SELECT step, count(*)::BIGINT AS n_files FROM actions GROUP BY step")
+def applied_counts(spark, sf_dir):
+    """Files and commits by step, counted by the run while it wrote, from its line in the log."""
+    base, _ = _applied(spark, sf_dir)
+    log = stores.read_runs(spark, f"{base}/store")
+    return log.select(F.explode("counts").alias("step", "n_files")).where("n_files > 0")
+
+
+@query(f"{_STAGED} SELECT '{RUN_ID}' AS run_id, 1::BIGINT AS version, count(*)::BIGINT AS n_entries FROM staged WHERE {_TOUCHED}")
+def run_log(spark, sf_dir):
+    """The log after a run and two refused ones: under the same id, and begun before it on its files."""
+    base, result = _applied(spark, sf_dir)
+    store, tree = f"{base}/store", files(spark, sf_dir)
+    late = stores.new_attempt("20260303-000000.000000000")
+    late = stores.save_originals(runs.touched_files(tree, ["comments"]), store, late)
+    for attempt, seen in ((result, None), (late, 0)):
+        try:
+            stores.record(spark, store, attempt, seen)
+        except stores.RunConflict:
+            pass
+    return stores.read_runs(spark, store).select("run_id", "version", "n_entries")
+
+
+@query(f"{_STAGED} SELECT count(*)::BIGINT AS n_files FROM staged WHERE {_TOUCHED}")
+def restored_count(spark, sf_dir):
+    """Files put back, counted while the restored table is written."""
+    base, result = _applied(spark, sf_dir)
+    saved = runs.read_run(spark, f"{base}/store", result.run_id)
+    n = runs.write_restored(spark.read.parquet(result.files_path), saved, f"{base}/restored")
+    return spark.read.parquet(f"{base}/restored").groupBy().agg(F.lit(n).cast("long").alias("n_files"))
+
+
+@query(
+    f"{_PLAN} SELECT CASE WHEN step IN ('history', 'comments') THEN 'DEBUG' ELSE 'INFO' END AS level, "
+    f"step || ': ' || action AS msg, '{RUN_ID}' AS run_id, step, action, repo, path, NULL::BIGINT AS n_files FROM actions "
+    f"UNION ALL SELECT 'INFO', step || ': done', '{RUN_ID}', step, NULL, NULL, NULL, count(*)::BIGINT FROM actions GROUP BY step"
+)
+def events(spark, sf_dir):
+    """The events of an applied run: one per action and one per step, read back."""
+    base = new_path(spark, "run")
+    runs.apply(files(spark, sf_dir), f"{base}/out", f"{base}/store", commits=commits(spark, sf_dir),
+               run_id=RUN_ID, events=f"{base}/events")
+    schema = "time string, level string, msg string, run_id string, step string, action string, repo string, path string, n_files bigint"
+    read = spark.read.schema(schema).json(f"{base}/events")
+    return read.where("time RLIKE '^[0-9]{4}(-[0-9]{2}){2}T([0-9]{2}:){2}[0-9.]+Z$' AND n_files IS DISTINCT FROM 0").drop("time")
+
+
 # --- Sources and sinks -------------------------------------------------------------------
 
 _BY_BUCKET = (
