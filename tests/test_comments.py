@@ -8,31 +8,47 @@ from glyphsweep.functions import comments as C
 from glyphsweep.operators import files as ops
 from glyphsweep.rules import LineRule
 from tests import brute
+from workload.expected import SOURCE_STYLES
 
-CASES = [
-    (".go", "var a int\n  // this part came from Copilot, by Claude\n// plain\nvar b int\n", "var a int\n// plain\nvar b int\n"),
-    (".c", "int n = 4;   // Codex suggested 4\nint m;\n", "int n = 4;\nint m;\n"),
-    (".java", "/* made by Claude\n   in two lines */\nclass T {}\n", "class T {}\n"),
-    (".py", 'class T:\n    """Codex wrote this."""\n    x = 3\n', "class T:\n    x = 3\n"),
-    (".rb", "a = 5 # Claude says five\n# stays\n", "a = 5\n# stays\n"),
-    (".js", "f(); // chatgpt.com had this\ng();\n", "f();\ng();\n"),
-    (".rs", 'let u = "http://claude.ai // x";\n', 'let u = "http://claude.ai // x";\n'),
-    (".kt", "val z = 1\n\n\n\n// nothing to see\n", "val z = 1\n\n\n\n// nothing to see\n"),
-    (".tsx", "<p>\n  <!-- by Claude -->\n</p> <!-- kept -->\n", "<p>\n</p> <!-- kept -->\n"),
-    (".go", "a /* claude */ /* codex */\nb\n", "ab\n"),
-    (".go", "a\n\n\n\n// claude\n\n \nb\n\n\n", "a\n\nb\n"),
-    (".rs", "fn f<'a>(x: &'a str) {} // claude\nlet c = 'x; // claude\n",
-     "fn f<'a>(x: &'a str) {}\nlet c = 'x; // claude\n"),
-    (".py", "x = '''claude'''\n", "x = '''claude'''\n"),
-    (".txt", "// claude\n", "// claude\n"),
-    (".c", "/*/ claude\nint x;\n", "/*/ claude\nint x;\n"),
-]
-
-
-def test_cases(spark):
-    df = spark.createDataFrame([(i, e, t) for i, (e, t, _) in enumerate(CASES)], "id int, ext string, t string")
-    got = {r.id: r.c for r in df.select("id", C.clean_comments("t", "ext").alias("c")).collect()}
-    assert got == {i: want for i, (_, _, want) in enumerate(CASES)}
+STYLE_OF = {ext: style for style, ends in SOURCE_STYLES.items() for ext in ends}
+#: One comment text for each token rule, and some that only look like one.
+MARKED = ["claude", "Anthropic", "at claude.ai", "claude.com", "anthropic.com", "CODEX", "chatgpt", "OpenAI", "openai.com",
+          "chatgpt.com", "ai-assisted", "AI  created", "powered by AI", "built with codex", "generated by", "Assisted with"]
+UNMARKED = ["plain", "claudette", "said aid", "generated", "by the way", "codexes", ""]
+OPENINGS = [("//", ""), ("#", ""), ("/*", "*/"), ('"""', '"""'), ("<!--", "-->"), ("/*", "")]
+#: Where a comment stands: ``{0}`` is the comment.
+PLACES = ["{0}", "{0}\n", "a\n{0}\nb\n", "a\n\t {0}\nb\n", "a = 1 {0}\nb\n", "a {0} b {0}\n", 's = "{0}"\nb\n', "s = '{0}' {0}\n",
+          "s = `{0}`\n", "\n\n{0}\n\n\n{0}\n\nb", "a{0}{0}\n \n", "\\{0}\n", "\u3000{0}\nb\r\n{0}\r\n"]
+
+
+def sources():
+    for start, end in OPENINGS:
+        for text in [*MARKED, *UNMARKED]:
+            for body in {text, f"one\n{text}\n  three"} if end else {text}:
+                yield from (place.format(f"{start} {body} {end}".rstrip(" ")) for place in PLACES)
+
+
+def test_every_style_place_and_token(spark):
+    texts = sorted(set(sources()))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one_of_each = {style: F.lit(ends[-1]) for style, ends in SOURCE_STYLES.items()}
+    rows = df.select("t", *[C.clean_comments("t", e).alias(style) for style, e in one_of_each.items()],
+                     C.clean_comments("t", F.lit(".txt")).alias("other")).collect()
+    changed = dict.fromkeys(SOURCE_STYLES, 0)
+    for r in rows:
+        assert r.other == r.t
+        for style in SOURCE_STYLES:
+            assert r[style] == brute.without_comments(r.t, style), (style, r.t)
+            changed[style] += r[style] != r.t
+    assert min(changed.values()) > 100
+
+
+def test_every_extension_has_its_style(spark):
+    text = "\n".join(f"v{i} {start} by codex {end}" for i, (start, end) in enumerate(OPENINGS[:5])) + "\n"
+    ends = [*STYLE_OF, ".txt", "", ".kt"]
+    df = spark.createDataFrame([(e,) for e in ends], "ext string")
+    got = {r.ext: r.c for r in df.select("ext", C.clean_comments(F.lit(text), "ext").alias("c")).collect()}
+    assert got == {e: brute.without_comments(text, STYLE_OF[e]) if e in STYLE_OF else text for e in ends}
 
 
 def random_sources(n, seed):

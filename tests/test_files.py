@@ -5,24 +5,26 @@ import pytest
 from glyphsweep.functions import paths as P
 from glyphsweep.operators import files as ops
 from glyphsweep.plans import run
-from glyphsweep.rules import SOURCE_EXTENSIONS
-
-ARTIFACTS = [
-    "CLAUDE.md", "AGENTS.md", ".mcp.json", ".claude.json", ".claudeignore", ".cursorrules",
-    ".cursorignore", ".aider.conf.yml", ".aider.input.history", ".aider.chat.history.md",
-    "docs/CLAUDE.md", ".github/copilot-instructions.md", ".claude/commands/test.md",
-    ".codex/a", ".cursor/a", ".continue/a", ".aider/a", ".claude/node_modules/x", "src/AGENTS.md",
-]
-MARKDOWN = [
-    "CHANGELOG.md", "pkg/plans.md", "guide.Md", "src/doc.md", "src/README.md", "pkg/todo.md",
-    "Docs/guide.md",
-]
-KEPT = [
-    "cmd/run.go", "README.md", "readme.md", "README.MD", "docs/guide.md", "doc/api.md",
-    "adr/use-parquet.md", "vendor/about.md", "node_modules/left/why.md", "docs/ops/backup.md", "main.go",
-    "vendor/CLAUDE.md", "vendor/.claude/x.md", "src/.claude/x.md", ".claude", "claude.md",
-    "copilot-instructions.md", "src/docs/a.md", ".glyphsweep/CLAUDE.md", ".git/x.md",
-]
+from tests import brute
+from workload.expected import CLOSED_FOLDERS, DOC_FOLDERS, PROSE, SOURCE_STYLES, TOOL_FOLDERS, TOOL_NAMES, TOOL_PATH
+
+#: Every kind of folder in every place above every kind of name, in several spellings.
+FOLDERS = [*TOOL_FOLDERS, *CLOSED_FOLDERS, *DOC_FOLDERS, "lib", TOOL_PATH.partition("/")[0]]
+NAMES = [*TOOL_NAMES, TOOL_PATH.rpartition("/")[2], "readme.md", "ideas.md", "ideas.md.bak", "ideasmd", "run.go", *FOLDERS[:6]]
+
+
+def spellings(name):
+    return sorted({name, name.lower(), name.upper(), name.title()})
+
+
+def grid():
+    above = [""] + [f"{a}/" for f in FOLDERS for a in spellings(f)]
+    above += [f"{a}/{b}/" for a in FOLDERS for b in FOLDERS] + [f"lib/{f}/lib/" for f in FOLDERS]
+    return sorted({f"{folder}{spelt}" for folder in above for name in NAMES for spelt in spellings(name)})
+
+
+PATHS = grid()
+RULES = {p: brute.rule_of(p) for p in PATHS}
 
 
 def tree(spark, paths):
@@ -30,52 +32,49 @@ def tree(spark, paths):
     return spark.createDataFrame(rows, "repo string, path string, mode int, content binary")
 
 
-def test_removals(spark):
-    files = tree(spark, ARTIFACTS + MARKDOWN + KEPT)
-    removed = ops.removals(files)
-    got = {r.path: r.step for r in removed.collect()}
-    assert got == {**dict.fromkeys(ARTIFACTS, "artifacts"), **dict.fromkeys(MARKDOWN, "markdown")}
-    assert sorted(r.path for r in ops.apply_removals(files, removed).collect()) == sorted(KEPT)
-    rules = {r.path: r.rule for r in removed.collect()}
-    assert rules[".claude/commands/test.md"] == "tool-dir"
-    assert rules[".github/copilot-instructions.md"] == "tool-path"
-    assert rules["docs/CLAUDE.md"] == "tool-file" and rules["guide.Md"] == "markdown"
-
-
-def test_tool_directories_anywhere(spark):
-    files = tree(spark, ["src/.claude/x", ".codex/y", "z/.cursor", ".claude"])
-    got = [r.path for r in ops.removals(files, root_only=False).collect()]
-    assert sorted(got) == [".codex/y", "src/.claude/x"]
+@pytest.mark.parametrize("root_only", [True, False])
+def test_removals_of_the_whole_grid(spark, root_only):
+    files = tree(spark, PATHS)
+    removed = ops.removals(files, root_only=root_only)
+    got = {r.path: (r.step, r.rule) for r in removed.collect()}
+    want = {p: rule for p in PATHS if (rule := brute.rule_of(p, root_only))}
+    assert got == {p: ("markdown" if rule == "markdown" else "artifacts", rule) for p, rule in want.items()}
+    assert set(want.values()) == {"tool-dir", "tool-path", "tool-file", "markdown"}
+    kept = sorted(r.path for r in ops.apply_removals(files, removed).collect())
+    assert kept == sorted(set(PATHS) - set(want)) and len(kept) > 1000
 
 
 def test_name_table(spark):
-    files = tree(spark, ARTIFACTS + KEPT)
-    want = [p for p in ARTIFACTS if "/" not in p or p in ("docs/CLAUDE.md", "src/AGENTS.md")]
-    assert sorted(r.path for r in ops.match_rules(files).collect()) == sorted(want)
-    mine = spark.createDataFrame([("main.go",)], "base string")
-    assert [r.path for r in ops.match_rules(files, mine).collect()] == ["main.go"]
+    files = tree(spark, PATHS)
+    closed = {*TOOL_FOLDERS, *CLOSED_FOLDERS}
+    want = [p for p in PATHS if p.rpartition("/")[2] in TOOL_NAMES and not closed & set(p.split("/")[:-1])]
+    assert sorted(r.path for r in ops.match_rules(files).collect()) == want
+    mine = spark.createDataFrame([("run.go",)], "base string")
+    assert {r.path.rpartition("/")[2] for r in ops.match_rules(files, mine).collect()} == {"run.go"}
 
 
-@pytest.mark.parametrize("path, base, folder, ext", [
-    ("a/b/C.Go", "C.Go", "a/b", ".go"), ("x", "x", ".", ""), (".mcp.json", ".mcp.json", ".", ".json"),
-    (".gitignore", ".gitignore", ".", ".gitignore"), ("a.b/c", "c", "a.b", ""), ("a/b.tar.GZ", "b.tar.GZ", "a", ".gz"),
-    ("a.", "a.", ".", "."),
-])
-def test_path_parts(spark, path, base, folder, ext):
-    row = spark.createDataFrame([(path,)], "path string").select(
-        P.base_name("path"), P.dir_name("path"), P.extension("path"), P.relative_path("path", "a/"),
-    ).first()
-    assert tuple(row) == (base, folder, ext, path.removeprefix("a/"))
+def test_path_parts(spark):
+    stems, ends = ["", "n", "n.o", ".n"], ["", ".", ".go", ".GZ", ".tar.gz"]
+    paths = [f"{folder}{stem}{end}" for folder in ("", "a/", "a.b/", "a/b/", "x/a/") for stem in stems for end in ends]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = df.select("path", P.base_name("path"), P.dir_name("path"), P.extension("path"), P.relative_path("path", "a/")).collect()
+    for path, base, folder, ext, below in map(tuple, rows):
+        above, _, name = path.rpartition("/")
+        assert (base, folder, below) == (name, above or ".", path.removeprefix("a/"))
+        assert ext == ("." + name.lower().rpartition(".")[2] if "." in name else "")
 
 
 def test_extensions(spark):
-    files = tree(spark, ["a.GO", "b.md", "c.MDX", "d.rst", "e.txt", "f", "g.cs", "h.json"])
+    styles = {e: style for style, ends in SOURCE_STYLES.items() for e in ends}
+    ends = [*styles, *PROSE, "", ".json", ".goo", ".m", ".md5"]
+    files = tree(spark, [f"{n}{e}" for e in ends for n in ("lib/f",)] + [f"g{e.upper()}" for e in ends])
+    low = {r.path: "." + r.path.lower().rpartition(".")[2] if "." in r.path else "" for r in files.collect()}
     rows = files.select("path", P.is_source("path").alias("s"), P.is_prose("path").alias("p")).collect()
-    assert [r.path for r in rows if r.s] == ["a.GO", "g.cs"]
-    assert [r.path for r in rows if r.p] == ["b.md", "c.MDX", "d.rst", "e.txt"]
-    assert len(SOURCE_EXTENSIONS) == 15
-    joined = ops.with_syntax(files).select("path", "line_token", "block_open", "html")
-    assert sorted(map(tuple, joined.collect())) == [("a.GO", "//", "/*", False), ("g.cs", "//", "/*", False)]
+    assert {r.path for r in rows if r.s} == {p for p, e in low.items() if e in styles}
+    assert {r.path for r in rows if r.p} == {p for p, e in low.items() if e in PROSE}
+    joined = ops.with_syntax(files).select("path", "line_token", "block_open", "doc_open", "html").collect()
+    signs = {"go": ("//", "/*", None, False), "ts": ("//", "/*", None, True), "py": ("#", None, '"""', False), "rb": ("#", None, None, False)}
+    assert {r[0]: tuple(r)[1:] for r in joined} == {p: signs[styles[e]] for p, e in low.items() if e in styles}
 
 
 def test_text_rows_and_typography(spark):
@@ -95,11 +94,11 @@ def test_changed(spark):
 
 
 def test_joins_are_lazy(spark):
-    files = tree(spark, ARTIFACTS + KEPT)
+    files = tree(spark, PATHS)
     tracker, group = spark.sparkContext.statusTracker(), "lazy"
     spark.sparkContext.setJobGroup(group, group)
     kept = ops.apply_removals(files, ops.removals(files))
     run.restore(run.touched_originals(files, run.plan(files)), files)
     assert tracker.getJobIdsForGroup(group) == []
-    assert kept.count() == len(KEPT)
+    assert kept.count() == sum(rule is None for rule in RULES.values())
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -113,3 +113,20 @@ CODE_POINTS = [
     ("typography", 0x2033, 0x2033, '"'),
     ("typography", 0x2212, 0x2212, '-'),
 ]
+
+# Names that decide what becomes of a path, likewise.
+TOOL_FOLDERS = [".claude", ".codex", ".cursor", ".continue", ".aider"]
+CLOSED_FOLDERS = [".git", "node_modules", "vendor", ".glyphsweep"]
+DOC_FOLDERS = ["docs", "doc", "adr"]
+TOOL_NAMES = [
+    "CLAUDE.md", "AGENTS.md", ".mcp.json", ".claude.json", ".claudeignore", ".cursorrules", ".cursorignore",
+    ".aider.conf.yml", ".aider.input.history", ".aider.chat.history.md",
+]
+TOOL_PATH = ".github/copilot-instructions.md"
+SOURCE_STYLES = {
+    "go": [".go", ".java", ".c", ".cpp", ".h", ".hpp", ".rs", ".cs", ".php"],
+    "ts": [".js", ".jsx", ".ts", ".tsx"],
+    "py": [".py"],
+    "rb": [".rb"],
+}
+PROSE = [".md", ".markdown", ".mdx", ".txt", ".rst", ".adoc", ".asciidoc"]
