@@ -23,6 +23,7 @@ from glyphsweep.plans import run as runs
 from glyphsweep.plans import store as stores
 from glyphsweep.rules import CharRule, LineRule
 from glyphsweep.sources import readers, sinks
+from glyphsweep.sources import tree as tree_source
 from glyphsweep.sources.scratch import new_path
 from glyphsweep.streaming.text import profile_hidden_stream, read_text_stream
 from workload import oracle as O
@@ -1078,6 +1079,39 @@ def read_tree_names(spark, sf_dir):
     return read.groupBy(P.dir_name("path").alias("name")).agg(F.sum(F.octet_length("content")).alias("n_bytes"))
 
 
+def _named_pages(spark, sf_dir) -> str:
+    """The pages as files below four names, by ``page_id % 4``."""
+    target = new_path(spark, "tree")
+    pages = table(spark, sf_dir, "pages")
+    for n, name in enumerate(_NAMES):
+        pages.where(F.col("page_id") % 4 == n).select("html").write.text(f"{target}/{name}")
+    return target.removeprefix("file:")
+
+
+@query(
+    "SELECT name, sum(strlen(html) + 1)::BIGINT AS n_bytes, sum(strlen(html) + 1)::BIGINT AS length, true AS written_just_now "
+    f"FROM pages, (SELECT unnest({list(_NAMES[:3])!r}) AS name, unnest([0, 1, 2]) AS n) WHERE page_id % 4 = n GROUP BY name"
+)
+def tree_table(spark, sf_dir):
+    """A tree as a table of its own format; what its directories are named is no matter."""
+    files = tree_source.read_tree_table(spark, _named_pages(spark, sf_dir), units=3).where("path LIKE '%.txt'")
+    recent = F.min(F.col("modificationTime") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"))
+    return files.groupBy(P.dir_name("path").alias("name")).agg(
+        F.sum(F.octet_length("content")).alias("n_bytes"), F.sum("length").alias("length"), recent.alias("written_just_now"))
+
+
+@query(
+    "SELECT sum(strlen(html) + 1)::BIGINT AS n_bytes FROM pages WHERE page_id % 4 = 2 "
+    "UNION ALL SELECT sum(strlen(html) + 1)::BIGINT FROM pages WHERE page_id % 4 = 3"
+)
+def tree_table_pruned(spark, sf_dir):
+    """Conditions on paths answered by the listing; another choice of closed directories."""
+    target = _named_pages(spark, sf_dir)
+    deep = tree_source.read_tree_table(spark, target, maxListed=2).where("path LIKE 'deep/_a/%' AND path LIKE '%.txt' AND length > 0")
+    closed = tree_source.read_tree_table(spark, target, skipDirs="deep", pathGlobFilter="*.txt").where("path >= 'n'")
+    return deep.unionByName(closed).groupBy("repo", P.dir_name("path")).agg(F.sum(F.octet_length("content")).alias("n_bytes")).select("n_bytes")
+
+
 @query(f"{O.WITH_DENSE} SELECT doc_id, {O.strip('text')} AS cleaned, {O.dirty('text')} AS changed FROM dense")
 def write_cleaned(spark, sf_dir):
     target = new_path(spark, "cleaned")
