@@ -108,8 +108,26 @@ def paths(words: DataFrame) -> DataFrame:
 
 # --- the frontier ---------------------------------------------------------------------
 
-def _second(text: Column) -> Column:
-    return text.substr(2, 1)
+#: What follows where a word may end; no letter, so no word holds it.
+_END = "."
+
+
+def _letter(text: Column, at: Column | int) -> Column:
+    """The letter at a position counted from 1, ``_END`` behind the last."""
+    found = text.substr(F.lit(at) if isinstance(at, int) else at, F.lit(1))
+    return F.when(found == "", F.lit(_END)).otherwise(found)
+
+
+def trie_edges(way: DataFrame) -> DataFrame:
+    """``node, letter, next, tail, size, ahead``: the letters behind the first one, their
+    number with it, and the letters that lead on from ``next``."""
+    # all words through an edge agree on its letters and its end
+    inner = way.where("letter <> ''").groupBy("node", "letter").agg(F.min("next").alias("next"), F.min("label").alias("label"))
+    onward = way.select("node", F.when(F.col("letter") == "", F.lit(_END)).otherwise(F.col("letter")).alias("letter")).distinct()
+    # a node has at most as many letters as the alphabet, under a hundred
+    ahead = onward.groupBy(F.col("node").alias("next")).agg(F.array_join(F.array_sort(F.collect_list("letter")), "").alias("ahead"))
+    return inner.join(ahead, "next").select(
+        "node", "letter", "next", _left("label", F.lit(2)).alias("tail"), F.char_length("label").alias("size"), "ahead")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -118,31 +136,26 @@ def neighbours(words: DataFrame) -> DataFrame:
     ``words`` is the stored table ``id, word`` of distinct words with unique numbers.
     """
     way = staged(paths(words), "paths")
-    inner = way.where("letter <> ''")
-    # all words through an edge agree on its letters and its end
-    edges = staged(inner.groupBy("node", "letter").agg(F.min("next").alias("next"), F.min("label").alias("label")), "edges")
+    edges = staged(trie_edges(way), "edges")
     ends = way.where("letter = ''").select("node", F.col("id").alias("other"))
-    # a node has at most as many edges as the alphabet has letters, under a hundred
-    fans = edges.groupBy("node").agg(F.collect_list(F.struct("letter", "next", "label")).alias("fan"))
-    rest = F.col("rest")
-
-    def goes_on(e: Column) -> Column:
-        size = F.char_length(e["label"])
-        return (e["letter"] != F.col("letter")) & (rest.substr(F.lit(2), size - 1) == e["label"].substr(F.lit(2), size - 1)) & (
-            F.char_length("rest") >= size)
-
-    replaced = inner.join(fans, "node").select("id", "rest", F.explode(F.filter("fan", goes_on)).alias("e")).select(
-        "id", F.col("e.next").alias("node"), _left("rest", F.char_length("e.label") + 1).alias("rest"))
+    inner = way.where("letter <> ''").select("id", "node", "letter", _left("rest", F.lit(2)).alias("behind"))
+    other = edges.withColumnRenamed("letter", "other_letter")
+    # another edge of the node whose letters go on like the word, and then again its end
+    replaced = inner.join(other, (inner["node"] == other["node"]) & (F.col("letter") != F.col("other_letter"))
+                          & F.startswith("behind", F.col("tail")) & F.contains("ahead", _letter(F.col("behind"), F.col("size")))).select(
+        "id", F.col("next").alias("node"), _left("behind", F.col("size")).alias("rest"))
     # of a run of equal letters the last is passed over, the others give the same word
-    passed = inner.where(_second(rest) != F.col("letter")).select("id", "node", _left("rest", F.lit(2)).alias("rest"))
+    passed = inner.where(_letter(F.col("behind"), 1) != F.col("letter")).select("id", "node", F.col("behind").alias("rest"))
     states = staged(replaced.unionByName(passed), "frontier")
     found = None
     while states.take(1):
         ended = staged(states.where("rest = ''").join(ends, "node").select("id", "other"), "ended")
         found = ended if found is None else found.unionByName(ended)
-        going = states.where("rest <> ''").withColumn("letter", rest.substr(1, 1)).join(edges, ["node", "letter"])
-        states = staged(going.where(F.startswith("rest", F.col("label"))).select(
-            "id", F.col("next").alias("node"), _left("rest", F.char_length("label") + 1).alias("rest")), "frontier")
+        going = states.where("rest <> ''").select(
+            "id", "node", F.col("rest").substr(1, 1).alias("letter"), _left("rest", F.lit(2)).alias("behind"))
+        stepped = going.join(edges, (going["node"] == edges["node"]) & (going["letter"] == edges["letter"])
+                             & F.startswith("behind", F.col("tail")) & F.contains("ahead", _letter(F.col("behind"), F.col("size"))))
+        states = staged(stepped.select("id", F.col("next").alias("node"), _left("behind", F.col("size")).alias("rest")), "frontier")
     if found is None:
         return words.select("id", F.col("id").alias("other")).where("false")
     found = found.where("id <> other")
