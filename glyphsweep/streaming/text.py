@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from glyphsweep.operators.text import profile_categories, profile_counts, unpivot_profile
 
@@ -31,8 +32,11 @@ def profile_hidden_stream(
 ) -> DataFrame:
     """Hits and dirty texts per event-time window, category and group.
 
-    Rows later than ``delay`` behind the newest event may be left out. The state is one
-    row of counters per open window and group.
+    The state is one row of counters per open window and group. In append mode a window
+    is given once, when the watermark (``delay`` behind the newest event of the batches
+    before) has passed its end, and its state is dropped; rows of windows that ended
+    before the watermark are left out. In complete and update mode windows are given
+    as they stand.
     """
     categories = profile_categories(opts)
     counts = profile_counts(df.withWatermark(ts, delay), col, [ts, *by], **opts)
@@ -45,3 +49,19 @@ def profile_hidden_stream(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
         *by, "category", "n_hits", "n_docs",
     )
+
+
+def append_profile(
+    df: DataFrame, target: str, checkpoint: str, col: str, ts: str, window: str, delay: str,
+    by: Sequence[str] = (), **opts,
+) -> StreamingQuery:
+    """Start a profile that appends every closed window to a Parquet table, once each.
+
+    It takes what input there is and ends; started again on the same checkpoint it goes
+    on with the open windows and the watermark of before.
+    """
+    profile = profile_hidden_stream(df, col, ts, window, delay, by, **opts)
+    return (
+        profile.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    )

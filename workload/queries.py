@@ -25,7 +25,8 @@ from glyphsweep.rules import CharRule, LineRule
 from glyphsweep.sources import readers, sinks
 from glyphsweep.sources import tree as tree_source
 from glyphsweep.sources.scratch import new_path
-from glyphsweep.streaming.text import profile_hidden_stream, read_text_stream
+from glyphsweep.streaming.saves import save_stream
+from glyphsweep.streaming.text import append_profile, profile_hidden_stream, read_text_stream
 from workload import oracle as O
 from workload import plant
 from workload.plant import commits, dense_docs, docs, files, table
@@ -1272,3 +1273,58 @@ def stream_profile(spark, sf_dir):
         F.unix_timestamp("window_start").alias("window_start"),
         "event_type", "category", "n_hits", "n_docs",
     )
+
+
+#: Which batch an event comes in: the first half of the time, the second, and late rows of all of it.
+_EVENT_BATCH = (
+    "CASE WHEN event_id % 10 = 0 THEN 2 WHEN ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) THEN 0 ELSE 1 END"
+)
+
+
+@query(
+    f"WITH e AS (SELECT event_id, ts, event_type, {_EVENT_TEXT} AS text, {_EVENT_BATCH} AS batch FROM events), "
+    # batch b drops windows that ended before the newest event of the batches before, less a day
+    "marks AS (SELECT b, (SELECT max(ts) FROM e WHERE batch < b) - INTERVAL 1 DAY AS mark FROM range(4) AS r(b)), "
+    "kept AS (SELECT e.*, time_bucket(INTERVAL 6 HOURS, ts) AS w FROM e JOIN marks ON b = batch "
+    "WHERE mark IS NULL OR time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS > mark), "
+    f"hits AS (SELECT event_id, w, event_type, unnest(regexp_extract_all({O.body('text')}, {O.q(O.hidden())})) AS ch FROM kept) "
+    f"SELECT epoch(w)::BIGINT AS window_start, event_type, {O.category('ch')} AS category, count(*)::BIGINT AS n_hits, "
+    "count(DISTINCT event_id)::BIGINT AS n_docs FROM hits "
+    "WHERE w + INTERVAL 6 HOURS <= (SELECT mark FROM marks WHERE b = 3) GROUP BY 1, 2, 3"
+)
+def stream_profile_append(spark, sf_dir):
+    """Closed windows only, over three batches and restarts; rows that come too late are dropped."""
+    base = new_path(spark, "stream-append")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "props")
+    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    late = F.col("event_id") % 10 == 0
+    batched = events.crossJoin(F.broadcast(bounds)).withColumn(  # one row
+        "batch", F.when(late, 2).when(F.col("ts") < F.col("lo") + (F.col("hi") - F.col("lo")) / 2, 0).otherwise(1))
+    for n in range(3):
+        batched.where(F.col("batch") == n).drop("batch", "lo", "hi").write.mode("append").parquet(f"{base}/in")
+        stream = read_text_stream(spark, f"{base}/in", "event_id bigint, ts timestamp_ntz, event_type string, props string")
+        ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+        marked = stream.select(ts.alias("ts"), "event_type", plant.planted(F.col("props"), F.col("event_id")).alias("text"))
+        append_profile(marked, f"{base}/table", f"{base}/checkpoint", "text", "ts", "6 hours", "1 day", ["event_type"]).awaitTermination()
+    return spark.read.parquet(f"{base}/table").select(
+        F.unix_timestamp("window_start").alias("window_start"), "event_type", "category", "n_hits", "n_docs")
+
+
+@query(
+    f"{_STAGED}, saves AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY step_ord) AS n "
+    f"FROM ({O.ACTIONS})) SELECT '{RUN_ID}' AS run_id, repo, path, mode, before AS content, step "
+    "FROM saves JOIN staged USING (repo, path) WHERE n = 1"
+)
+def stream_first_saved(spark, sf_dir):
+    """Saves step by step in three batches, each sent with all before it again: the first of a file is kept."""
+    base = new_path(spark, "stream-saves")
+    tree, store, attempt = files(spark, sf_dir), f"{base}/store", stores.new_attempt(RUN_ID)
+    saves = runs.plan(tree).join(tree, ["repo", "path"]).select(
+        F.lit(RUN_ID).alias("run_id"), "repo", "path", "mode", "content", F.array("step").alias("steps"), "step_ord",
+        F.timestamp_seconds(F.lit(1_767_322_800) + F.col("step_ord") * 60).alias("ts"))
+    for last in (3, 4, 5):
+        saves.where(F.col("step_ord") <= last).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(saves.schema).parquet(f"{base}/in")
+        attempt = save_stream(stream, store, attempt, f"{base}/checkpoint")
+    stores.record(spark, store, attempt)
+    return stores.read_run(spark, store, RUN_ID).select("run_id", "repo", "path", "mode", "content", F.col("steps")[0].alias("step"))
