@@ -84,26 +84,31 @@ def _left(text: str | Column, start: Column) -> Column:
     return text.substr(start, F.greatest(F.char_length(text) - start + 1, F.lit(0)))
 
 
+#: Words that meet the edges of a node in one task; the edges of nodes with more are repeated.
+BLOCK = 10_000
+
+
 def paths(words: DataFrame) -> DataFrame:
-    """The words' own ways through the trie: ``id, node, letter, next, label, rest``.
+    """The words' own ways through the trie: ``id, node, letter, next, label, rest, salts``.
 
     One row for each fork or word end on the way: the letter that leads on (empty at the
-    word's end), the next node, the letters up to it, and what is left of the word.
-    ``words`` is the stored table ``id, word``.
+    word's end), the next node, the letters up to it, what is left of the word, and in how
+    many blocks the words of the node are dealt. ``words`` is the stored table ``id, word``.
     """
     steps = staged(words.select("id", "word").mapInArrow(_prefixes, "id long, depth int, node binary, letter string"), "prefixes")
-    forks = steps.groupBy("node", "letter").agg(F.min("depth").alias("depth")).groupBy("node").agg(
-        F.count("*").alias("ways"), F.max((F.col("letter") == "").cast("int")).alias("ends"), F.min("depth").alias("depth"))
-    nodes = forks.where("ways > 1 OR ends = 1 OR depth = 0").select("node")
-    on_way = steps.join(nodes, "node", "left_semi")
-    ways = on_way.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "letter"))).alias("way"))
+    below = steps.where("depth > 0")
+    forks = below.groupBy("node", "letter").agg(F.count("*").alias("n")).groupBy("node").agg(
+        F.count("*").alias("ways"), F.max((F.col("letter") == "").cast("int")).alias("ends"), F.sum("n").alias("n"))
+    nodes = forks.where("ways > 1 OR ends = 1").select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    root = steps.where("depth = 0").withColumn("salts", F.lit(-(-words.count() // BLOCK) or 1))  # all words: no join
+    on_way = below.join(nodes, "node").select(*root.columns).unionByName(root)
+    ways = on_way.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "letter", "salts"))).alias("way"))
     spread = ways.join(words.select("id", "word"), "id").select("id", "word", F.posexplode("way").alias("i", "here"), "way").select(
-        "id", "word", F.col("here.node").alias("node"), F.col("here.letter").alias("letter"), F.col("here.depth").alias("depth"),
-        F.get("way", F.col("i") + 1).alias("next"))
+        "id", "word", "here.node", "here.letter", "here.depth", "here.salts", F.get("way", F.col("i") + 1).alias("next"))
     return spread.select(
         "id", "node", "letter", F.col("next.node").alias("next"),
         F.col("word").substr(F.col("depth") + 1, F.coalesce(F.col("next.depth"), F.col("depth")) - F.col("depth")).alias("label"),
-        _left("word", F.col("depth") + 1).alias("rest"))
+        _left("word", F.col("depth") + 1).alias("rest"), "salts")
 
 
 # --- the frontier ---------------------------------------------------------------------
@@ -119,15 +124,24 @@ def _letter(text: Column, at: Column | int) -> Column:
 
 
 def trie_edges(way: DataFrame) -> DataFrame:
-    """``node, letter, next, tail, size, ahead``: the letters behind the first one, their
-    number with it, and the letters that lead on from ``next``."""
+    """``node, salt, letter, next, tail, size, ahead, next_salts``, once for each block of
+    the node's words: the letters behind the first one, their number with it, the letters
+    that lead on from ``next`` and in how many blocks its words are."""
     # all words through an edge agree on its letters and its end
-    inner = way.where("letter <> ''").groupBy("node", "letter").agg(F.min("next").alias("next"), F.min("label").alias("label"))
-    onward = way.select("node", F.when(F.col("letter") == "", F.lit(_END)).otherwise(F.col("letter")).alias("letter")).distinct()
+    edges = way.where("letter <> ''").groupBy("node", "letter").agg(
+        F.min("next").alias("next"), F.min("label").alias("label"), F.max("salts").alias("salts"))
+    onward = way.groupBy("node", "letter").agg(F.max("salts").alias("salts")).select(
+        "node", F.when(F.col("letter") == "", F.lit(_END)).otherwise(F.col("letter")).alias("letter"), "salts")
     # a node has at most as many letters as the alphabet, under a hundred
-    ahead = onward.groupBy(F.col("node").alias("next")).agg(F.array_join(F.array_sort(F.collect_list("letter")), "").alias("ahead"))
-    return inner.join(ahead, "next").select(
-        "node", "letter", "next", _left("label", F.lit(2)).alias("tail"), F.char_length("label").alias("size"), "ahead")
+    ahead = onward.groupBy(F.col("node").alias("next")).agg(
+        F.array_join(F.array_sort(F.collect_list("letter")), "").alias("ahead"), F.max("salts").alias("next_salts"))
+    return edges.join(ahead, "next").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "letter", "next",
+        _left("label", F.lit(2)).alias("tail"), F.char_length("label").alias("size"), "ahead", "next_salts")
+
+
+def _salt(salts: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(salts)).cast("int").alias("salt")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -138,24 +152,22 @@ def neighbours(words: DataFrame) -> DataFrame:
     way = staged(paths(words), "paths")
     edges = staged(trie_edges(way), "edges")
     ends = way.where("letter = ''").select("node", F.col("id").alias("other"))
-    inner = way.where("letter <> ''").select("id", "node", "letter", _left("rest", F.lit(2)).alias("behind"))
+    inner = way.where("letter <> ''").select("id", "node", _salt("salts"), "letter", _left("rest", F.lit(2)).alias("behind"))
+    # the edge's letters go on like the word, and its end like what is left then
+    goes_on = F.startswith("behind", F.col("tail")) & F.contains("ahead", _letter(F.col("behind"), F.col("size")))
+    landed = ("id", F.col("next").alias("node"), _salt("next_salts"), _left("behind", F.col("size")).alias("rest"))
     other = edges.withColumnRenamed("letter", "other_letter")
-    # another edge of the node whose letters go on like the word, and then again its end
-    replaced = inner.join(other, (inner["node"] == other["node"]) & (F.col("letter") != F.col("other_letter"))
-                          & F.startswith("behind", F.col("tail")) & F.contains("ahead", _letter(F.col("behind"), F.col("size")))).select(
-        "id", F.col("next").alias("node"), _left("behind", F.col("size")).alias("rest"))
+    replaced = inner.join(other, ["node", "salt"]).where((F.col("letter") != F.col("other_letter")) & goes_on).select(*landed)
     # of a run of equal letters the last is passed over, the others give the same word
-    passed = inner.where(_letter(F.col("behind"), 1) != F.col("letter")).select("id", "node", F.col("behind").alias("rest"))
+    passed = inner.where(_letter(F.col("behind"), 1) != F.col("letter")).select("id", "node", "salt", F.col("behind").alias("rest"))
     states = staged(replaced.unionByName(passed), "frontier")
     found = None
     while states.take(1):
         ended = staged(states.where("rest = ''").join(ends, "node").select("id", "other"), "ended")
         found = ended if found is None else found.unionByName(ended)
         going = states.where("rest <> ''").select(
-            "id", "node", F.col("rest").substr(1, 1).alias("letter"), _left("rest", F.lit(2)).alias("behind"))
-        stepped = going.join(edges, (going["node"] == edges["node"]) & (going["letter"] == edges["letter"])
-                             & F.startswith("behind", F.col("tail")) & F.contains("ahead", _letter(F.col("behind"), F.col("size"))))
-        states = staged(stepped.select("id", F.col("next").alias("node"), _left("behind", F.col("size")).alias("rest")), "frontier")
+            "id", "node", "salt", F.col("rest").substr(1, 1).alias("letter"), _left("rest", F.lit(2)).alias("behind"))
+        states = staged(going.join(edges, ["node", "salt", "letter"]).where(goes_on).select(*landed), "frontier")
     if found is None:
         return words.select("id", F.col("id").alias("other")).where("false")
     found = found.where("id <> other")
