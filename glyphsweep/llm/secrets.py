@@ -2,8 +2,11 @@
 
 Three plain patterns give the base spans. On top of them a text is lexed for assignments
 in source and configuration syntax: ``name = "literal"``, ``"name": "literal"``,
-``export NAME=literal``, ``--name literal``, ``<name>literal</name>`` and header-like
-``name: literal``. Pairs of name and literal are propagated: a name assigned another
+``cfg["name"] = "literal"``, ``name: type = "literal"``, ``a, name = "x", "literal"``,
+``export NAME=literal``, ``--name literal``, ``<name>literal</name>``, header-like
+``name: literal`` and, below a name of its own line or brace, ``value: literal``. Values
+may be long strings, strings side by side or continued, sums, lists and joins; the parts
+of one value are judged together. What a call or a subscript gives is no literal. Pairs of name and literal are propagated: a name assigned another
 name, or a concatenation of names and literals, gets their literals as its own, in the
 order of the text, through any number of names. A literal is a secret if the names it reaches
 score enough: how sensitive the words of a name are, and how random the literal is.
@@ -50,14 +53,27 @@ STRONG = 0.75
 #: Words of a literal with blanks that is a passphrase.
 PHRASE_LEAST = 3
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_LITERAL = r""" "(?P<dq>(?:[^"\\\n]|\\.)*+)" | '(?P<sq>(?:[^'\\\n]|\\.)*+)' | `(?P<bq>[^`\n]*+)` """
-_TOKEN = re.compile(rf"""(?P<left>["']?(?P<name>{_NAME})["']?[\ \t]*(?::=|=>|=(?!=)|:(?![:/]))[\ \t]*)
-    (?:{_LITERAL}|(?P<ref>\$?\{{?{_NAME}\}}?(?=[\ \t]*(?:[+;,)\r\n]|\.\.|$)))|(?P<bare>[^\s"'`;,()<>{{}}]+))
-  | (?:^|(?<=\s))--(?P<flag>{_NAME})[\ =](?P<flagval>[^\s-]\S*)
-  | <(?P<tag>{_NAME})>(?P<tagval>[^<>\n]+)</(?P=tag)>
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+#: What the lexer stops at; all between is looked at once, from the next stop.
+_STOP = re.compile(rf"""(?:^|(?<=\s))--(?P<flag>{_NAME})[\ =](?P<flagval>[^\s-]\S*+)
+  | <(?P<tag>{_NAME})>(?P<tagval>[^<>\n]++)</(?P=tag)>
+  | (?P<op>:=|=>|[=!<>~]=|=|:(?![:/])) | (?P<open>\{{) | (?P<close>\}})
 """, re.VERBOSE | re.MULTILINE)
-_MORE = re.compile(rf"""[\ \t]*(?:\+|\.\.)[\ \t]*(?:{_LITERAL}|(?P<ref>{_NAME}))""", re.VERBOSE)
+_COMPARED = {"==", "!=", "<=", ">=", "~="}
+_STRING = re.compile(r"""(?P<prefix>[A-Za-z]{0,2})(?:
+    \"\"\"(?P<dq3>(?:[^"\\]|\\.|"(?!""))*+)\"\"\" | \'\'\'(?P<sq3>(?:[^'\\]|\\.|'(?!''))*+)\'\'\'
+  | "(?P<dq>(?:[^"\\\n]|\\.)*+)" | '(?P<sq>(?:[^'\\\n]|\\.)*+)' | `(?P<bq>[^`\n]*+)`)""", re.VERBOSE | re.DOTALL)
+_REF = re.compile(rf"(?P<ref>\$?\{{?{_NAME}\}}?)(?=[\ \t]*+(?:[+;,)\r\n]|\.\.|\Z))")
+_BARE = re.compile(r"""[^\s"'`;,()<>{}]++""")
+_EXPRESSION = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+\[")
+_HOLE = re.compile(rf"\$?\{{({_NAME})\}}")
+_BLANK, _BLANKS = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"\s*+")
+_JOIN = re.compile(r"\.join\(\s*+(?=[\[(])")
+#: Between a name's colon and its equals sign: a type.
+_TYPE = re.compile(r"[A-Za-z0-9_.,|?\[\] \t]{0,200}")
+#: Names that say no more than that a value follows: the name around them counts.
+_VALUE_NAMES = {"value", "default", "data", "content", "raw", "plain", "plaintext", "string", "text", "stringdata", "literal"}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: A text without one of these characters has no assignment.
 _HINT = re.compile(r"[=:]|--[A-Za-z]|</")
@@ -123,39 +139,220 @@ class Literal:
     start: int
     end: int
     value: str
+    is_name: bool = False
 
 
-def assignments(text: str) -> list[tuple[str, list[Literal], list[str]]]:
+Assignment = tuple[str, list[Literal], list[str]]
+
+
+def assignments(text: str) -> list[Assignment]:
     """Name, literals and names on the right-hand side of every assignment, in order."""
-    found = []
-    for m in _TOKEN.finditer(text):
-        name = m["name"] or m["flag"] or m["tag"]
-        literals, refs = [], []
-        if m["flag"]:
-            literals.append(Literal(*m.span("flagval"), m["flagval"]))
-        elif m["tag"]:
-            literals.append(Literal(*m.span("tagval"), m["tagval"]))
-        else:
-            at = _right_side(m, literals, refs)
-            while (more := _MORE.match(text, at)) is not None:
-                at = _right_side(more, literals, refs)
-        found.append((name, literals, refs))
-    return found
-
-
-def _right_side(m: re.Match, literals: list[Literal], refs: list[str]) -> int:
-    groups = m.groupdict()
-    for group in ("dq", "sq", "bq", "bare"):
-        if groups.get(group):
-            literals.append(Literal(*m.span(group), groups[group]))
-            return m.end()
-    if groups.get("ref"):
-        plain = groups["ref"].strip("${}")
-        refs.append(plain)
-        # what names a secret is a name, not its value
-        if not sensitivity(plain):
-            literals.append(Literal(m.end("ref") - len(groups["ref"]), m.end("ref"), groups["ref"]))
-    return m.end()
+    return _Lexer(text).run()
+
+
+class _Lexer:
+    """One pass over a text, from operator to operator; no character is looked back to
+    beyond the stop before it, so the time is linear whatever the text holds."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.found: list[Assignment] = []
+        self.floor = 0  # up to here all is read
+        self.line = 0  # where the line of the last stop began
+        self.outer: list[tuple[int, str]] = []  # names over indented lines: indent, name
+        self.braces: list[str] = []  # names of open braces
+        self.typed: tuple[str, int] | None = None  # a name and colon: perhaps a type follows
+
+    def run(self) -> list[Assignment]:
+        at = 0
+        while (m := _STOP.search(self.text, at)) is not None:
+            at = m.end()
+            if m["flag"]:
+                self.found.append((m["flag"], [Literal(*m.span("flagval"), m["flagval"])], []))
+            elif m["tag"]:
+                self.found.append((m["tag"], [Literal(*m.span("tagval"), m["tagval"])], []))
+            elif m["op"]:
+                at = self._operator(m) if m["op"] not in _COMPARED else at
+            elif m["open"]:
+                self.braces.append("")
+            elif self.braces:
+                self.braces.pop()
+            self.floor = at
+        return self.found
+
+    # the left-hand side
+
+    def _name_before(self, end: int) -> tuple[str, int] | None:
+        """The name that ends at ``end``, plain, quoted or a quoted subscript, and its start."""
+        text, low = self.text, self.floor
+        while end > low and text[end - 1] in " \t":
+            end -= 1
+        if end == low:
+            return None
+        if text[end - 1] == "]":
+            inner = self._name_before(end - 1) if text[end - 2:end - 1] in ("'", '"') else None
+            return (inner[0], inner[1] - 1) if inner and text[inner[1] - 1:inner[1]] == "[" else None
+        quote = text[end - 1] if text[end - 1] in "\"'" else ""
+        last = end - len(quote)
+        start = last
+        while start > low and text[start - 1] in _NAME_CHARS:
+            start -= 1
+        name = text[start:last].lstrip("0123456789.-")
+        if not name:
+            return None
+        if quote and text[start - 1:start] == quote and start > low:
+            start -= 1
+        return name, start
+
+    def _names(self, op: re.Match) -> list[str]:
+        """The names to the left; several for a tuple, the colon's name behind a type."""
+        typed, self.typed = self.typed, None
+        first = self._name_before(op.start())
+        if op["op"] == "=" and typed and _TYPE.fullmatch(self.text, typed[1], op.start()):
+            return [typed[0]]
+        if first is None:
+            return []
+        names, start = [first[0]], first[1]
+        while op["op"] == "=" and self.text[start - 1:start] in (",", " ") and start > self.floor:
+            comma = start
+            while comma > self.floor and self.text[comma - 1] in " \t":
+                comma -= 1
+            more = self._name_before(comma - 1) if self.text[comma - 1:comma] == "," and comma > self.floor else None
+            if more is None:
+                break
+            names.insert(0, more[0])
+            start = more[1]
+        self.start = start
+        return names
+
+    def _within(self, name: str) -> str:
+        """A name that only says "value", with the name around it."""
+        words = _WORDS.findall(name)
+        if not words or words[-1].lower() not in _VALUE_NAMES:
+            return name
+        around = next((n for n in reversed(self.braces) if n), "") or next((n for _, n in reversed(self.outer)), "")
+        return f"{around}.{name}" if around else name
+
+    # the right-hand side
+
+    def _operator(self, op: re.Match) -> int:
+        text = self.text
+        self.start = op.start()
+        names = self._names(op)
+        cut = text.rfind("\n", self.floor, self.start)
+        if cut >= 0:
+            self.line = cut + 1
+        if not names:
+            return op.end()
+        at = _BLANK.match(text, op.end()).end()
+        if op["op"] == ":":
+            lead = text[self.line:self.start] if self.start - self.line < 200 else "x"
+            indent = self.start - self.line if not lead.strip(" \t-") else -1
+            while self.outer and 0 <= indent <= self.outer[-1][0]:
+                self.outer.pop()
+            if at == len(text) or text[at] in "\r\n":
+                if indent >= 0:
+                    self.outer.append((indent, names[0]))
+                return at
+            self.typed = names[0], op.end()
+        if text[at:at + 1] == "{":
+            self.braces.append(names[0])
+            return at + 1
+        names = [self._within(n) for n in names]
+        groups, refs, at = self._value(at)
+        if len(names) > 1:
+            while len(groups) < len(names) and text[(comma := _BLANK.match(text, at).end()):comma + 1] == ",":
+                more, further, at = self._value(_BLANK.match(text, comma + 1).end())
+                groups += more or [[]]
+                refs += further
+            if len(groups) == len(names):
+                self.found += [(n, _whole(g), []) for n, g in zip(names, groups, strict=True)]
+                return at
+        self.found.append((names[-1], [x for g in groups for x in _whole(g)], refs))
+        return at
+
+    def _value(self, at: int) -> tuple[list[list[Literal]], list[str], int]:
+        """Literals, those of one value together, names, and where the expression ends."""
+        groups: list[list[Literal]] = []
+        refs: list[str] = []
+        group: list[Literal] = []
+        while True:
+            at, lists = self._part(at, group, refs)
+            groups += lists
+            after = _BLANK.match(self.text, at).end()
+            if self.text.startswith("..", after):
+                at = _BLANK.match(self.text, after + 2).end()
+            elif self.text[after:after + 1] == "+":
+                at = _BLANK.match(self.text, after + 1).end()
+            elif group and _STRING.match(self.text, after):
+                at = after  # strings side by side
+            else:
+                return ([group] if group else []) + groups, refs, at
+
+    def _part(self, at: int, group: list[Literal], refs: list[str]) -> tuple[int, list[list[Literal]]]:
+        text = self.text
+        if (m := _STRING.match(text, at)) is not None:
+            if (joined := _JOIN.match(text, m.end())) is not None:
+                lists, at = self._list(joined.end(), refs)
+                group += [x for g in lists for x in g]
+                return min(at + 1, len(text)), []
+            self._string(m, group, refs)
+            return m.end(), []
+        if text[at:at + 1] in ("(", "["):
+            lists, at = self._list(at, refs)
+            if len(lists) == 1:
+                group += lists[0]
+                return at, []
+            return at, lists
+        if (m := _REF.match(text, at)) is not None:
+            plain = m["ref"].strip("${}")
+            refs.append(plain)
+            # what names a secret is a name, not its value
+            if not sensitivity(plain):
+                group.append(Literal(m.start("ref"), m.end("ref"), m["ref"], is_name=True))
+            return m.end(), []
+        if (m := _BARE.match(text, at)) is not None:
+            called = text[m.end():m.end() + 1] == "(" or _EXPRESSION.match(m[0])
+            if not called:
+                group.append(Literal(m.start(), m.end(), m[0]))
+            return m.end(), []
+        return at, []
+
+    @staticmethod
+    def _string(m: re.Match, group: list[Literal], refs: list[str]) -> None:
+        kind = next(k for k in ("dq3", "sq3", "dq", "sq", "bq") if m[k] is not None)
+        value = m[kind]
+        if kind == "bq" or "f" in m["prefix"].lower():  # names in holes are names, not text
+            refs.extend(_HOLE.findall(value))
+            value = _HOLE.sub("", value)
+        if value:
+            group.append(Literal(*m.span(kind), value))
+
+    def _list(self, at: int, refs: list[str]) -> tuple[list[list[Literal]], int]:
+        """The strings of a list, tuple or parenthesis, those without a comma between together."""
+        text, groups, group = self.text, [], []
+        at += 1
+        while True:
+            at = _BLANKS.match(text, at).end()
+            if (m := _STRING.match(text, at)) is not None:
+                self._string(m, group, refs)
+                at = m.end()
+            elif text[at:at + 1] == "+":
+                at += 1
+            elif text[at:at + 1] == ",":
+                groups.append(group)
+                group, at = [], at + 1
+            else:  # the end, or something that is no string
+                return [g for g in (*groups, group) if g], at + (text[at:at + 1] in (")", "]") and at < len(text))
+
+
+def _whole(group: list[Literal]) -> list[Literal]:
+    """The parts of one value, each judged by the whole of it; beside strings a name is a name."""
+    group = [x for x in group if not x.is_name] or group
+    if len(group) < 2:
+        return group
+    value = "".join(x.value for x in group)
+    return [Literal(x.start, x.end, value) for x in group]
 
 
 def lexed_spans(text: str) -> list[Span]:
@@ -191,7 +388,12 @@ def find_spans(text: str | None) -> list[Span]:
     """Base spans and, where no base span covers them already, lexed literals."""
     text = text or ""
     base = base_spans(text)
-    more = [s for s in lexed_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    more, at, covered = [], 0, 0
+    for s in lexed_spans(text):  # by start, like the base spans
+        while at < len(base) and base[at].start <= s.start:
+            covered, at = max(covered, base[at].end), at + 1
+        if s.end > covered:
+            more.append(s)
     return sorted([*base, *more], key=_order)
 
 

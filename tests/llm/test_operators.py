@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import io
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +162,47 @@ def test_literals_are_followed_through_any_number_of_names():
     assert len(secrets.find_spans('x = "hT7$kd93Kq!z"\n' + parts + "passwd = x\n")) == 3001
 
 
+RANDOM = "hT7$kd93Kq!zW0-p"
+
+
+@pytest.mark.parametrize("text, parts", [
+    ('cfg["password"] = "{}"', 1), ("cfg['db']['password'] = '{}'", 1), ("app:\n  password:\n    value: {}\n  port: 1\n", 1),
+    ('{{"password": {{"value": "{}"}}, "x": "y"}}', 1), ('password = """{}"""', 1), ("password = r\'\'\'{}\'\'\'", 1),
+    ('user, password = "bob", "{}"', 1), ('user, password = ("bob", "{}")', 1), ('password: str = "{}"', 1),
+    ("const apiSecret: string = `{}`;", 1), ('password := "{}"', 1), ('"password" => "{}"', 1), ("export DB_PASSWORD={}\n", 1),
+    ('password = "{0}" "{1}"', 2), ('password = "{0}" \\\n  "{1}"', 2), ('password = ("{0}"\n  "{1}")', 2), ('password = "{0}" + "{1}"', 2),
+    ('password = "".join(["{0}", "{1}", "{2}"])', 3), ('password = ["{}"]', 1), ('part = "{}"\nurl_password = f"at {{part}}"', 1),
+    ('part = "{}"\nsecret = `x${{part}}`', 1), ('def f(password="{}"): pass', 1), ('{{ "a": 1, "password": "{}" }}', 1),
+    ('x = (y\npassword = "{}"', 1),
+])
+def test_syntaxes(text, parts):
+    size = -(-len(RANDOM) // parts)
+    cut = [RANDOM[i:i + size] for i in range(0, len(RANDOM), size)]
+    text = text.format(*cut)
+    assert [text[s.start:s.end] for s in secrets.find_spans(text) if s.kind == "literal"] == cut
+
+
+@pytest.mark.parametrize("text", [
+    'password = os.environ["DB_Pass9word"]', 'password = os.getenv("DB_Pass9word")', 'if password == "hT7$kd93Kq!z":', 'password != "hT7$kd93Kq!z"',
+    'password: str\nname = "hT7$kd93Kq!z"', 'password: hint\nvalue = "hT7$kd93Kq!z"', 'password:\n  length: hT7$kd93Kq\nvalue: hT7$kd93Kq!z\n',
+    '{"password": {"x": 1}, "value": "hT7$kd93Kq!z"}', 'password, user = "bob", "hT7$kd93Kq!z"', 'other["name"] = "hT7$kd93Kq!z"',
+])
+def test_what_is_no_secret(text):
+    assert [s for s in secrets.find_spans(text) if s.kind == "literal"] == []
+
+
+@pytest.mark.parametrize("text", [
+    "x = 1\n" + "a" * 1_000_000, "x = 1\n" + "ab." * 300_000, "a=b " * 40_000, "a:" * 200_000, "x:{" * 100_000, '"' * 1_000_000, "token" + " " * 1_000_000 + "=",
+    (" " * 1000 + "=") * 1000, 'x = """' + "y\n" * 200_000, 'x=["' * 40_000, "x = " + '"a"+' * 50_000, "a," * 200_000 + "=1", "--" + "a" * 1_000_000,
+    "<a>" * 200_000, "x=\'\'\'" * 40_000, "".join(" " * (i % 300) + f"k{i}:\n" for i in range(8000)), 'x="' + "\\" * 1_000_000, "x = ((" * 40_000,
+    'password = "hT7$kd93Kq!zW0-p"\n' * 10_000, "]" * 500_000 + "=", "x: int" + "|int" * 200_000 + " = 1", "password " * 100_000,
+], ids=lambda t: ascii(t[:12]))
+def test_time_is_linear(text):
+    start = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - start < 4
+
+
 def test_redaction_keeps_length():
     text = 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" é'
     masked = secrets.redacted(text, secrets.find_spans(text))
@@ -255,3 +298,20 @@ def test_wrapped_licence_notices(spark):
     docs = spark.createDataFrame(rows + prose, "doc_id long, text string")
     got = {r.doc_id: (r.n_notices, r.families) for r in licenses.licence_scan(docs).collect() if r.n_notices}
     assert got == {1: (1, "MIT"), 2: (1, "GPL-3.0"), 3: (1, "BSD"), 4: (1, "GPL-2.0"), 5: (2, "GPL-3.0,MIT"), 7: (2, "BSD,MIT")}
+
+
+def test_kept_rows_travel_whole(spark):
+    rows = [(i % 7 if i % 5 else None, " a  b" if i % 3 else f"t{i}\n", i, {"k": i}, datetime.datetime(2026, 1, 1, 0, 0, i % 60)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, c0 map<string,int>, at timestamp").selectExpr("*", "7 AS digest2", "text AS c1")
+    kept = exact_dedup.drop_copies(docs, table_bytes=100)
+    assert kept.dtypes == docs.dtypes
+    given = {(r.doc_id, r.text, r.digest, r.c0["k"], r.at) for r in docs.collect()}
+    got = kept.collect()
+    assert {(r.doc_id, r.text, r.digest, r.c0["k"], r.at) for r in got} <= given and all(r.c1 == r.text for r in got)
+    least: dict[str, int | None] = {}
+    for key, text, *_ in rows:
+        text = re.sub(r"[ \t-\r]+", " ", text)
+        held = least.get(text, key)
+        least[text] = key if held is None else held if key is None else min(held, key)
+    assert {re.sub(r"[ \t-\r]+", " ", r.text): r.doc_id for r in got} == least and len(got) == len(least)
+    assert exact_dedup.drop_copies(docs.limit(0)).collect() == []
