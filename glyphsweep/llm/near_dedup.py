@@ -20,7 +20,6 @@ are never looked at, so a group of copies costs about one comparison per copy.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -42,8 +41,8 @@ SIZE = BANDS * ROWS
 MARGIN = 4.0
 #: Texts of one side of a block that a task compares with each other.
 BLOCK = 500
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of words, A-Z as a-z; all other ASCII stands between words.
+_WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 _CACHE = 200_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -51,8 +50,8 @@ _ODD = np.random.default_rng(2024).integers(1, 2**63, 64, dtype=np.uint64) * np.
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        found = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
         if len(self) < _CACHE:
             self[word] = found
         return found
@@ -67,11 +66,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER) if not text.islower() else text)
+def words(text: str | bytes) -> list[bytes]:
+    content = text.encode("utf-8", "replace") if isinstance(text, str) else text
+    return content.translate(_WORD_BYTES).split()
 
 
-def shingles(found: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(found: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts; fewer words than ``n`` are one shingle, no words are none."""
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -133,6 +133,11 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return _mixed((rows * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
 
 
+def _name(found: list[bytes]) -> bytes | None:
+    """What texts of the same words have in common; none without words."""
+    return hashlib.sha256(b" ".join(found)).digest()[:16] if found else None
+
+
 # --- Spark ----------------------------------------------------------------------------
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, signs = [], []
         for text in batch.column(1):
             found = words(text.as_py())
-            names.append(hashlib.sha256(" ".join(found).encode("utf-8", "replace")).digest()[:16] if found else None)
+            names.append(_name(found))
             signs.append(bag_min_hash(*shingles(found)).tobytes() if found else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], names=["key", "name", "signature"])
@@ -160,7 +165,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
 
     def bag(packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        return shingles(words(expand.decompress(packed.as_py()).decode("utf-8", "replace")))
+        return shingles(words(expand.decompress(packed.as_py())))
 
     for batch in batches:
         found = [similarity(bag(a), bag(b)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
@@ -171,27 +176,35 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = pa.array([squeeze.compress(x.as_py().encode("utf-8", "replace")) for x in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "packed"])
+        names, packed = [], []
+        for text in batch.column(0):
+            content = text.as_py().encode("utf-8", "replace")
+            names.append(_name(words(content)))
+            packed.append(squeeze.compress(content))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], names=["name", "packed"])
 
 
 def texts_of(needed: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, packed``: the compressed texts of the stored keys ``needed``."""
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("node"), text_or_empty(F.col(text)).alias("text")).join(
-        broadcast_measured(needed), "node", "left_semi").mapInArrow(_packed, f"node {kind}, packed binary")
-    return staged(texts, "texts")
+    """``node, packed``: a compressed text of each of the stored nodes (``node, name, key``).
 
+    Their keys choose the rows, which are then told apart by what they say: a key may
+    stand in many rows with different texts.
+    """
+    rows = docs.select(F.col(key).alias("key"), text_or_empty(F.col(text)).alias("text")).join(
+        broadcast_measured(staged(needed.select("key").distinct(), "keys")), "key", "left_semi")
+    packed = rows.select("text").mapInArrow(_packed, "name binary, packed binary")
+    one_each = packed.join(broadcast_measured(needed.select("name", "node")), "name").groupBy("node").agg(F.first("packed").alias("packed"))
+    return staged(one_each, "texts")
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     """``a, b, similarity`` of those pairs whose whole texts overlap enough."""
-    kind = docs.schema[key].dataType.simpleString()
     pairs = staged(pairs, "pairs")
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    texts = texts_of(needed, docs, key, text)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(staged(nodes.join(asked, "node", "left_semi").select("node", "name", "key"), "needed"), docs, key, text)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
-    found = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_overlaps, f"a {kind}, b {kind}, similarity double")
+    found = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_overlaps, "a long, b long, similarity double")
     return found.where(F.col("similarity") >= similar)
 
 
@@ -211,7 +224,7 @@ def _across(similar: float, least: float):
 
             def bag(row: tuple) -> tuple[np.ndarray, np.ndarray]:
                 if row[0] not in bags:  # noqa: B023
-                    bags[row[0]] = shingles(words(expand.decompress(row[3]).decode("utf-8", "replace")))  # noqa: B023
+                    bags[row[0]] = shingles(words(expand.decompress(row[3])))  # noqa: B023
                 return bags[row[0]]  # noqa: B023
 
             numbers = {root: i for i, root in enumerate({r[1] for r in outside} | {r[1] for r in members})}
@@ -238,13 +251,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def near_pairs(nodes: DataFrame, docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
-    """Similar pairs that connect all similar texts; ``nodes`` has ``node, signature``."""
-    kind = docs.schema[key].dataType.simpleString()
-    buckets = nodes.select("node", "signature").mapInArrow(_band_rows, f"bucket long, node {kind}")
+    """Similar pairs that connect all similar texts; the stored ``nodes`` have ``node, name,
+    key, signature``: a number, what tells the text from others, a key it stands under."""
+    buckets = nodes.select("node", "signature").mapInArrow(_band_rows, "bucket long, node long")
     shared = staged(buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = staged(buckets.join(shared.select("bucket", "a"), "bucket"), "members")
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = staged(verified(stars, docs, key, text, similar), "links")
+    first = staged(verified(stars, nodes, docs, key, text, similar), "links")
     roots = staged(components(first, "a", "b"), "roots")
 
     # texts that buckets connect, similar or not; where such a cluster holds several
@@ -259,8 +272,8 @@ def near_pairs(nodes: DataFrame, docs: DataFrame, key: str, text: str, similar:
     parts = F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int")
     mixed = mixed.select("cluster", F.col("top.root").alias("largest"), blocks.alias("blocks"), parts.alias("parts"))
     open_nodes = staged(held.join(mixed, "cluster"), "open")
-    rows = open_nodes.join(texts_of(open_nodes.select("node").distinct(), docs, key, text), "node").join(
-        nodes.select("node", "signature"), "node")
+    needed = staged(nodes.join(open_nodes.select("node"), "node", "left_semi").select("node", "name", "key"), "needed")
+    rows = open_nodes.join(texts_of(needed, docs, key, text), "node").join(nodes.select("node", "signature"), "node")
     place = F.xxhash64("node")
     inside = rows.select(
         "cluster", F.pmod(place, F.col("blocks")).cast("int").alias("block"),
@@ -273,7 +286,7 @@ def near_pairs(nodes: DataFrame, docs: DataFrame, key: str, text: str, similar:
     least = similar - MARGIN * float(np.sqrt(similar * (1 - similar) / SIZE))
     order = ["cluster", "block", "part"]
     across = inside.unionByName(outside).repartition(*order).sortWithinPartitions(*order).mapInArrow(
-        _across(similar, least), f"a {kind}, b {kind}, similarity double")
+        _across(similar, least), "a long, b long, similarity double")
     return first.unionByName(across)
 
 
@@ -291,13 +304,19 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     rows = staged(named.mapInArrow(_signatures, f"key {kind}, name binary, signature binary"), "signatures")
     worded = rows.where("name IS NOT NULL AND key IS NOT NULL")
     nodes = staged(worded.groupBy("name").agg(F.min(F.struct("key", "signature")).alias("least")).select(
-        "name", F.col("least.key").alias("node"), F.col("least.signature").alias("signature")), "nodes")
-    links = staged(near_pairs(nodes.dropDuplicates(["node"]), docs, key, text, similar).select("a", "b").unionByName(
-        worded.select("key", "name").join(nodes.select("name", "node"), "name").where("key <> node").select(
-            F.col("node").alias("a"), F.col("key").alias("b"))).distinct(), "all-links")
-    roots = components(links, "a", "b")
-    rooted = rows.select("key").join(roots, F.col("key") == F.col("node"), "left").select(
-        "key", F.coalesce("root", "key").alias("class_id"))
+        F.monotonically_increasing_id().alias("node"), "name", F.col("least.key").alias("key"),
+        F.col("least.signature").alias("signature")), "nodes")
+    similar_texts = near_pairs(nodes, docs, key, text, similar).select("a", "b")
+    # the texts of one key are one document
+    keyed = staged(worded.select("key", "name").join(nodes.select("name", "node"), "name").select("key", "node").distinct(), "keyed")
+    several = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "a")
+    same_key = keyed.join(several, "key").select("a", F.col("node").alias("b")).where("a <> b")
+    roots = staged(components(staged(similar_texts.unionByName(same_key).distinct(), "all-links"), "a", "b"), "classes")
+    of_key = staged(keyed.join(roots, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("root")), "of-key")
+    ids = of_key.groupBy("root").agg(F.min("key").alias("class_id"))
+    rooted = staged(rows.select("key").join(of_key.join(ids, "root").select(F.col("key").alias("_key"), "class_id"),
+                                            F.col("key") == F.col("_key"), "left").select(
+        "key", F.coalesce("class_id", "key").alias("class_id")), "rooted")
     sizes = rooted.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size"))
     return rooted.join(sizes, "class_id", "left").select(
         F.col("key").alias(key), "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),

@@ -75,3 +75,25 @@ def test_odd_tables(spark):
     assert got == [(1, 1, 2, True), (1, 1, 2, True), (None, None, 1, True)]
     assert N.near_dedup(docs.limit(0)).count() == 0
     assert N.drop_near_copies(docs).columns == docs.columns
+
+
+def test_one_key_with_many_texts(spark):
+    """The texts of a key are one document, and near copies of each of them are found."""
+    rnd = random.Random(6)
+
+    def text():
+        return " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eta"]) + str(rnd.randrange(400)) for _ in range(60))
+
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (5, c + " end"), (5, d), (6, d + " end"), (7, text()), (7, None), (8, None)]
+    rows += [(9, t) for t in (text() for _ in range(300))] + [(9, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node", "2 AS name", "3 AS root")
+    got = N.near_dedup(docs).collect()
+    assert len(got) == len(rows)
+    classes = {}
+    for r in got:
+        classes.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert classes == {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {4}, 6: {4}, 7: {7}, 8: {8}, 9: {1}}
+    sizes = {r["class_id"]: r["class_size"] for r in got}
+    assert sizes == {1: 305, 4: 4, 7: 2, 8: 1}
+    assert sorted({r["doc_id"] for r in N.drop_near_copies(docs).collect()}) == [1, 4, 7, 8]
