@@ -137,18 +137,45 @@ def code_points(spark: SparkSession, typography: bool = True) -> DataFrame:
     return spark.createDataFrame(rows, "lo int, hi int, category string, replacement string")
 
 
+def disjoint_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (lo, hi, category) cut into pieces (lo, hi, category) that do not overlap.
+
+    Where ranges overlap, the one of the least ``priority`` counts if there is such a
+    column (null is last), then the narrowest, then the one that begins first, then the
+    first by name. Empty ranges and bounds beyond Unicode are dropped or cut. The sweep
+    goes block by block of 256 code points, so its work is bounded by Unicode's size,
+    however many ranges there are, and no task sees more than its blocks.
+    """
+    order = F.col("priority") if "priority" in ranges.columns else F.lit(None).cast("int")
+    lo, hi = F.greatest(F.col("lo"), F.lit(0)), F.least(F.col("hi"), F.lit(0x10FFFF))
+    ranked = ranges.where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (lo <= hi)).select(
+        lo.alias("lo"), hi.alias("hi"),
+        F.struct(order.isNull().alias("last"), order.alias("priority"), (F.col("hi") - F.col("lo")).alias("width"),
+                 F.col("lo").alias("from"), F.col("category").alias("category")).alias("rank"))
+    blocks = ranked.select("*", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))).alias("block"))
+    start = F.col("block") * 256
+    # of ranges alike within the block the best is enough
+    cut = blocks.groupBy("block", F.greatest("lo", start).alias("lo"), F.least("hi", start + 255).alias("hi")).agg(F.min("rank").alias("rank"))
+    points = cut.select("block", "rank", F.explode(F.sequence("lo", "hi")).alias("cp")).groupBy("block", "cp").agg(F.min("rank").alias("rank"))
+    named = points.select("block", "cp", F.col("rank.category").alias("category"))
+    # neighbours of one category are a piece: their places less their ranks agree
+    along = Window.partitionBy("block", "category").orderBy("cp")
+    islands = named.withColumn("island", F.col("cp") - F.row_number().over(along))
+    return islands.groupBy("block", "category", "island").agg(F.min("cp").alias("lo"), F.max("cp").alias("hi")).select("lo", "hi", "category")
+
+
 def categorize(
     findings: DataFrame, ranges: DataFrame | None = None, rune: str = "rune"
 ) -> DataFrame:
-    """Label code points by a table of ranges (lo, hi, category) that do not overlap.
+    """Label code points by a table of ranges (lo, hi, category, perhaps priority).
 
-    The ranges are spread over blocks of 256 code points, so the range join is an
-    equality join on the block.
+    Ranges may overlap; ``disjoint_ranges`` says which counts. They are spread over blocks
+    of 256 code points, so the range join is an equality join on the block.
     """
     if ranges is None:
         rules = F.broadcast(code_points(findings.sparkSession).select("lo", "hi", "category"))
     else:  # adaptive execution sees the size of the table and splits a frequent block
-        rules = ranges.select("lo", "hi", "category")
+        rules = disjoint_ranges(ranges)
     first, last = F.shiftright("lo", 8), F.shiftright("hi", 8)
     blocks = rules.select(
         F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("category").alias("_category"),

@@ -220,3 +220,23 @@ def test_categorize_by_a_given_table(spark):
     df = spark.createDataFrame([(0x200B,), (0x2100,), (0xE0100,), (None,)], "rune int")
     got = {r.rune: r.category for r in ops.categorize(df, ranges).collect()}
     assert got == {0x200B: "mine", 0x2100: "unknown", 0xE0100: "far", None: "unknown"}
+
+
+def test_overlapping_ranges_are_cut(spark):
+    rnd = random.Random(4)
+    given = [(lo := rnd.randint(-50, 3000), lo + rnd.randint(-5, 700), rnd.choice("abcd"), rnd.choice([None, 1, 2])) for _ in range(60)]
+    given += [(0x10FFF0, 0x200000, "end", 1), (None, 5, "x", 1), (5, None, "x", 1), (0xE0000, 0xE0FFF, "far", None)] * 2
+    ranges = spark.createDataFrame(given, "lo int, hi int, category string, priority int")
+    pieces = sorted((r.lo, r.hi, r.category) for r in ops.disjoint_ranges(ranges).collect())
+    assert all(a[1] < b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+    known = [(lo, hi, c, p) for lo, hi, c, p in given if lo is not None and hi is not None]
+
+    def best(cp):
+        over = [(p is None, p or 0, hi - lo, lo, c) for lo, hi, c, p in known if lo <= cp <= hi]
+        return min(over)[-1] if over else None
+
+    of = {cp: c for lo, hi, c in pieces for cp in range(lo, hi + 1)}
+    for cp in (*range(0, 4000), *range(0xE0000 - 3, 0xE1003), *range(0x10FFE0, 0x110000)):
+        assert of.get(cp) == best(cp), hex(cp)
+    plain = ops.disjoint_ranges(ranges.drop("priority").where("category = 'far'")).collect()
+    assert {(r.lo, r.hi) for r in plain} == {(b * 256, b * 256 + 255) for b in range(0xE00, 0xE10)}

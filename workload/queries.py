@@ -1137,6 +1137,27 @@ def write_summary(spark, sf_dir):
     return spark.read.schema(summary.schema).json(target)
 
 
+# Ranges that overlap in every way; of equal priority the narrowest counts.
+USER_RANGES = [
+    (0x2000, 0x20FF, "punctuation", 2), (0x200B, 0x200F, "joiners", 2), (0x200D, 0x202E, "first", 1), (0x2060, 0x2064, "math", None),
+    (0x00A0, 0x10FFFF, "rest", 3), (0x2028, 0x2029, "lines", 2), (0xFE00, 0xFE07, "b", 2), (0xFE00, 0xFE07, "a", 2), (0x30, 0x20, "empty", 0),
+]
+
+
+@query(
+    f"{O.WITH_DENSE}, {O.findings('dense')}, ranges AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({lo}, {hi}, '{name}', {'NULL' if p is None else p})" for lo, hi, name, p in USER_RANGES)
+    + ") AS t(lo, hi, name, priority)), best AS (SELECT rune, arg_min(name, (coalesce(priority, 99), hi - lo, lo, name)) AS category "
+    "FROM (SELECT DISTINCT rune FROM found) JOIN ranges ON rune BETWEEN lo AND hi GROUP BY rune) "
+    "SELECT rune, coalesce(best.category, 'unknown') AS category, count(*)::BIGINT AS n FROM found LEFT JOIN best USING (rune) GROUP BY ALL"
+)
+def categorize_overlapping(spark, sf_dir):
+    """User ranges over and within each other: every finding has one of them."""
+    ranges = spark.createDataFrame(USER_RANGES, "lo int, hi int, category string, priority int")
+    found = text_ops.find_hidden(dense_docs(spark, sf_dir), "doc_id", "text")
+    return text_ops.categorize(found, ranges).groupBy("rune", "category").agg(F.count("*").alias("n"))
+
+
 # --- SQL names ---------------------------------------------------------------------------
 
 
@@ -1162,6 +1183,30 @@ def sql_find_hidden(spark, sf_dir):
     )
 
 
+@query(
+    f"{O.WITH_DENSE} SELECT doc_id, {_per_option(lambda o: 'md5(' + O.strip('text', **o) + ')')}, "
+    f"{O.dirty('text', typography=True, zwj=True)} AS dirty, "
+    f"CASE WHEN doc_id % 2 = 0 THEN {O.count('text', O.hidden(typography=True))} ELSE {O.count('text', O.hidden())} END::BIGINT AS n FROM dense"
+)
+def sql_options_per_call(spark, sf_dir):
+    """All option sets in one statement, by name and by place, and an option taken from a column."""
+    register_sql_functions(spark)
+    dense_docs(spark, sf_dir).createOrReplaceTempView("dense_docs")
+    calls = ", ".join(
+        f"md5(strip_hidden(text{''.join(f', {k} => true' for k in o)})) AS {name}" for name, o in OPTION_SETS.items())
+    return spark.sql(
+        f"SELECT doc_id, {calls}, contains_hidden(text, true, true) AS dirty, "
+        "count_hidden(text, typography => doc_id % 2 = 0) AS n FROM dense_docs")
+
+
+@query(f"{O.WITH_DENSE}, {O.findings('dense', typography=True, selectors=True)} {_FOUND}")
+def sql_find_with_options(spark, sf_dir):
+    register_sql_functions(spark)
+    dense_docs(spark, sf_dir).createOrReplaceTempView("dense_docs")
+    return spark.sql(
+        "SELECT doc_id, f.* FROM dense_docs, LATERAL find_hidden(text, keep_variation_selectors => true, typography => true) AS f")
+
+
 # Letters the built-in rules do not cover.
 USER_CHARS = (CharRule("user", ((0x00E8, 0x00EA), (0x0061, 0x0061)), "_"),)
 
