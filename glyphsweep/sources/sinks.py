@@ -35,3 +35,14 @@ def write_events(events: DataFrame, path: str, closing: DataFrame | None = None,
     write_cleaned(events.where(F.col("level").isin(*shown)), path, "json")
     if closing is not None:
         closing.where(F.col("level").isin(*shown)).coalesce(1).write.mode("append").json(path)
+
+
+def write_bucketed(files: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Write a file table in buckets of (repo, path) under a catalog name, and read it.
+
+    Joins on these two columns take the files as they lie: a restore moves its originals
+    to the files, not the files. A name or place that exists is an error. ``buckets``
+    should give files of some hundred megabytes; a repository is spread over all of them.
+    """
+    files.write.mode("errorifexists").option("path", path).bucketBy(buckets, "repo", "path").sortBy("repo", "path").saveAsTable(table)
+    return files.sparkSession.table(table)

@@ -93,3 +93,23 @@ def test_restore_leaves_the_join_to_adaptive_execution(spark, tree):
 def test_measures_stand_above_the_explode(docs):
     plan = physical(text_ops.running_positions(docs, "doc_id", "text"))
     assert "named_struct" not in plan
+
+
+def test_restoring_a_bucketed_table_moves_no_file(spark, tree, tmp_path):
+    from glyphsweep.sources.sinks import write_bucketed
+
+    current = write_bucketed(tree, "bucketed_files", f"{tmp_path}/bucketed", 4)
+    tree.where("path = '1.go'").repartition(3).write.parquet(f"{tmp_path}/originals")
+    originals = spark.read.parquet(f"{tmp_path}/originals")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        restored = run.restore(current, originals)
+        plan = physical(restored)
+        join = plan[plan.index("LeftAnti"):]
+        files, _, rest = join.partition("SelectedBucketsCount")
+        assert "Exchange hashpartitioning" not in files and "Exchange hashpartitioning(repo" in rest
+        assert restored.count() == tree.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.sql("DROP TABLE bucketed_files")

@@ -1002,6 +1002,18 @@ def run_log(spark, sf_dir):
     return stores.read_runs(spark, store).select("run_id", "version", "n_entries")
 
 
+@query(
+    f"{_STAGED} SELECT repo, path, CASE WHEN {_TOUCHED} THEN coalesce(nullif(mode, 0), 420) ELSE mode END AS mode, "
+    "before AS content FROM staged"
+)
+def restore_bucketed(spark, sf_dir):
+    """An applied run undone on a file table in buckets, which does not move for it."""
+    base, result = _applied(spark, sf_dir)
+    name = "files_" + base.rpartition("-")[2]
+    current = sinks.write_bucketed(spark.read.parquet(result.files_path), name, f"{base}/bucketed", 8)
+    return runs.restore(current, runs.read_run(spark, f"{base}/store", result.run_id))
+
+
 @query(f"{_STAGED} SELECT count(*)::BIGINT AS n_files FROM staged WHERE {_TOUCHED}")
 def restored_count(spark, sf_dir):
     """Files put back, counted while the restored table is written."""
