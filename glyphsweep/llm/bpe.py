@@ -7,7 +7,8 @@ root holds no mergeable pair.
 
 Encoding reads vocabulary, merges, word-end suffix and added tokens from the file. Text
 is cut at added tokens, brought to NFC, lower-cased and cut into words, words into
-UTF-8 bytes. A task encodes each distinct word once and remembers a bounded number.
+UTF-8 bytes. A task encodes the words that are new in a run of texts together, one
+segment tree a row of an array, and remembers a bounded number.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -35,8 +38,12 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x20
 #: Controls that Python, other than the vocabulary's normaliser, takes for white space.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[{WHITE_SPACE}]+")
-#: Words whose encoding a task remembers. Others are encoded again: a bound on memory only.
+#: Chunks whose encoding a task remembers before it begins anew: a bound on memory only.
 CACHE_WORDS = 300_000
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 2_000_000
+#: Words of more bytes are merged one at a time.
+LONG_WORD = 128
 _NO_PAIR = 1 << 62
 
 
@@ -94,22 +101,74 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return out
 
 
-class _Chunks(dict):
-    """Encodings by chunk; a chunk met for the first time is encoded."""
-
-    def __init__(self, encode_chunk) -> None:
-        super().__init__()
-        self.encode_chunk = encode_chunk
-
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        found = self.encode_chunk(chunk)
-        if len(self) < CACHE_WORDS and len(chunk) < 64:
-            self[chunk] = found
-        return found
+class Merges:
+    """The merges of a vocabulary over numbered symbols, for many words at a time."""
+
+    def __init__(self, symbols: dict[str, int], pairs: list[tuple[str, str]]) -> None:
+        self.count = len(symbols)
+        keys = np.array([symbols[a] * self.count + symbols[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank = keys[order], order.astype(np.int64)
+        self.made = np.array([symbols[a + b] for a, b in pairs], np.int64)
+
+    def _values(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What stands in the tree for pairs of symbols: rank, then place; none for -1."""
+        keys = left * self.count + right
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        good = (left >= 0) & (right >= 0) & (self.keys[found] == keys)
+        return np.where(good, self.rank[found] << 32 | at, _NO_PAIR)
+
+    def merge(self, words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words after all merges, and how many each word has.
+
+        One row of ``tree`` is the segment tree of one word: the root is 1, the children of
+        i are 2i and 2i + 1, the leaves are the pairs. In each round every word that has a
+        pair left merges its root's, and the three leaves concerned are set anew.
+        """
+        n = np.array([len(w) for w in words])
+        size = 1 << max(0, int(n.max()) - 2).bit_length()
+        rows, places = len(words), np.arange(size + 1)
+        symbols = np.full((rows, size + 2), -1, np.int64)
+        symbols[:, :size + 1][places < n[:, None]] = np.fromiter(chain.from_iterable(words), np.int64, int(n.sum()))
+        head = symbols >= 0
+        after = np.tile(np.arange(1, size + 3), (rows, 1))
+        before = np.tile(np.arange(-1, size + 1), (rows, 1))
+        tree = np.full((rows, 2 * size), _NO_PAIR, np.int64)
+        tree[:, size:] = self._values(symbols[:, :size], symbols[:, 1:size + 1], places[:size])
+        level = size // 2
+        while level:
+            tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
+            level //= 2
+        todo = np.flatnonzero(tree[:, 1] < _NO_PAIR)
+        while len(todo):
+            root = tree[todo, 1]
+            left = root & 0xFFFFFFFF
+            right = after[todo, left]
+            symbols[todo, left] = self.made[root >> 32]
+            head[todo, right] = False
+            following = np.minimum(after[todo, right], size + 1)  # behind the last stands no symbol
+            after[todo, left], before[todo, following] = following, left
+            earlier = before[todo, left]
+            self._set(tree, todo, size, np.where(right < size, right, left), np.full(len(todo), _NO_PAIR))
+            self._set(tree, todo, size, left, self._values(symbols[todo, left], symbols[todo, following], left))
+            known = earlier >= 0
+            self._set(tree, todo[known], size, earlier[known], self._values(
+                symbols[todo[known], earlier[known]], symbols[todo[known], left[known]], earlier[known]))
+            todo = todo[tree[todo, 1] < _NO_PAIR]
+        return symbols[head], head.sum(axis=1)
+
+    @staticmethod
+    def _set(tree: np.ndarray, rows: np.ndarray, size: int, at: np.ndarray, value: np.ndarray) -> None:
+        """Set one leaf of each row, and the nodes above it."""
+        at = at + size
+        tree[rows, at] = value
+        while size > 1:
+            at, size = at >> 1, size >> 1
+            tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
 
 
 class Vocabulary:
-    """What a vocabulary file says, and the words encoded so far."""
+    """What a vocabulary file says, and the chunks encoded so far."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -117,53 +176,93 @@ class Vocabulary:
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: rank << 32 for rank, pair in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.tokens = {i: t for t, i in (self.ids | self.added).items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = regex.compile(WORD_PATTERN)
         self.bytes = byte_characters()
-        self.known: dict[str, bytes] = {}
-        self.chunks = _Chunks(self._chunk)
-
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            symbols = [self.bytes[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.suffix
-            if len(symbols) > 1:
-                symbols = merge(symbols, self.ranks)
-            found = b"".join(struct.pack("<I", self.ids[s]) for s in symbols if s in self.ids)
-            if len(self.known) < CACHE_WORDS:
-                self.known[word] = found
+        every = [*self.ids, *self.bytes, *(b + self.suffix for b in self.bytes), *chain.from_iterable(pairs), *(a + b for a, b in pairs)]
+        self.numbers = {symbol: i for i, symbol in enumerate(dict.fromkeys(every))}
+        self.last = [self.numbers[b + self.suffix] for b in self.bytes]
+        self.inner = [self.numbers[b] for b in self.bytes]
+        self.id_of = np.array([self.ids.get(symbol, -1) for symbol in self.numbers], np.int64)
+        self.merges = Merges(self.numbers, pairs) if pairs else None
+        self.known: dict[str, tuple[bytes, str]] = {}
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words; those of similar length are merged together."""
+        groups: dict[int, list[str]] = {}
+        found = {}
+        for word in words:
+            n = len(word.encode("utf-8"))
+            if n > LONG_WORD or self.merges is None:
+                symbols = [self.bytes[b] for b in word.encode("utf-8")]
+                symbols[-1] += self.suffix
+                found[word] = b"".join(struct.pack("<I", self.ids[s]) for s in merge(symbols, self.ranks) if s in self.ids)
+            else:
+                groups.setdefault(max(n - 2, 0).bit_length(), []).append(word)
+        for group in groups.values():
+            rows = []
+            for word in group:
+                content = word.encode("utf-8")
+                rows.append([self.inner[b] for b in content[:-1]] + [self.last[content[-1]]])
+            symbols, counts = self.merges.merge(rows)
+            ids = self.id_of[symbols]
+            ends = np.cumsum(counts)
+            held = np.concatenate([[0], np.cumsum(ids >= 0)])  # symbols that the vocabulary lacks have no id
+            packed = ids[ids >= 0].astype("<u4").tobytes()
+            for word, lo, hi in zip(group, (4 * held[ends - counts]).tolist(), (4 * held[ends]).tolist(), strict=True):
+                found[word] = packed[lo:hi]
         return found
 
-    def _plain(self, text: str) -> bytes:
+    def _cut_words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if text[:-1].isalpha():  # most often letters, perhaps with one mark behind
-            words = [text] if text[-1].isalpha() else [text[:-1], *self.words.findall(text[-1])]
-        else:
-            words = [text] if len(text) == 1 and text.isalpha() else self.words.findall(text)
-        return b"".join(map(self._word, words))
+            return [text] if text[-1].isalpha() else [text[:-1], *self.words.findall(text[-1])]
+        return [text] if len(text) == 1 and text.isalpha() else self.words.findall(text)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded text of what stands between white space."""
+    def _parts(self, chunk: str) -> list[str | int]:
+        """The words of what stands between white space, and the ids of added tokens."""
         if self.cut is None or "<" not in chunk:
-            ids = self._plain(chunk)
-        else:
-            parts, at = [], 0
-            for m in self.cut.finditer(chunk):
-                parts += self._plain(chunk[at:m.start()]), struct.pack("<I", self.added[m[0]])
-                at = m.end()
-            ids = b"".join([*parts, self._plain(chunk[at:])])
-        return ids, self.decode(ids)
+            return self._cut_words(chunk)
+        parts, at = [], 0
+        for m in self.cut.finditer(chunk):
+            parts += [*self._cut_words(chunk[at:m.start()]), self.added[m[0]]]
+            at = m.end()
+        return parts + self._cut_words(chunk[at:])
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode those of the chunks that are not remembered."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        parts = {c: self._parts(c) for c in chunks - self.known.keys()}
+        words = self._encoded(list({w for found in parts.values() for w in found if isinstance(w, str)}))
+        for chunk, found in parts.items():
+            ids = b"".join([words[w] if isinstance(w, str) else struct.pack("<I", w) for w in found])
+            self.known[chunk] = ids, self.decode(ids)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[bytes, str]]:
+        """For each text the ids as little-endian 32-bit integers, and the text they decode
+        to. Texts are taken together up to a number of characters, for their new words."""
+        held, size = [], 0
+        for text in texts:
+            held.append(_SPLIT.split(text) if _NOT_WHITE.search(text) else text.split())
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list[list[str]]) -> Iterator[tuple[bytes, str]]:
+        self.learn(set(chain.from_iterable(held)))
+        for chunks in held:
+            found = [x for x in map(self.known.__getitem__, chunks) if x[0]]
+            yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the text they decode to."""
-        chunks = _SPLIT.split(text) if _NOT_WHITE.search(text) else text.split()
-        found = [x for x in map(self.chunks.__getitem__, chunks) if x[0]]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by spaces, special ones included: the file names no decoder."""
@@ -184,7 +283,7 @@ def encode(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
         for batch in batches:
-            rows = [words.encode(t) for t in batch]
+            rows = list(words.encode_all(batch))
             yield pd.DataFrame({
                 "ids": [[i for (i,) in struct.iter_unpack("<I", ids)] for ids, _ in rows],
                 "decoded": [d for _, d in rows],
@@ -203,8 +302,7 @@ def digests(text: Column, path: str) -> Column:
         words = vocabulary(path)
         for batch in batches:
             rows = []
-            for t in batch:
-                ids, decoded = words.encode(t)
+            for ids, decoded in words.encode_all(batch):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                              hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
