@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts its lineage."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts its lineage.
+
+    With ``by``, a column of few values, in a folder for each of its values.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

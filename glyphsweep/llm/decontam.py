@@ -1,18 +1,22 @@
 """Benchmark decontamination with a positional inverted index, DataFrame functions only.
 
-Test items are cut into windows of consecutive words. Only the rarest corpus term of each
-window is indexed: a posting holds term, document, position and the words around it. The
-lists of a window's other terms are intersected, offset by offset, on those words, so a
-posting of the rarest term decides without another pass over the corpus. The result is
-exact phrases and, with ``slop``, windows whose words all stand near each other.
-
-Nothing grows with the corpus on one task: term counts are combined per task before the
-shuffle, a document's matches are bounded by its length. The terms sought are broadcast
-if their measured size allows it, otherwise Spark joins the exploded words by term.
+Test items are cut into windows of consecutive words. The index holds, for every corpus
+token that is among the rarest terms of some window, a posting: term, document, position.
+A window's lists are intersected from the rarest on, positions less offsets being equal
+for phrases, close to each other for proximity. What is left, few places, is read in the
+documents themselves: a phrase word by word, a near match by all its words standing, in
+any order, within ``slop`` more words than the window has.
+
+Nothing grows with the corpus on one task: terms are counted per task before the shuffle,
+tokens travel without the document they stand in, a document's matches are bounded by its
+length. What is joined with the corpus is broadcast if its measured size allows it, else
+both sides are shuffled, the documents once.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ from glyphsweep.llm.common import broadcast_measured, staged, text_or_empty
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 13
+#: Terms of a window whose lists are intersected; words that a near match may have more.
+RAREST, SLOP = 3, 3
+#: Stands behind the last word of every document, where no word can be.
+_END = " "
 
 
 def words(text: Column) -> Column:
@@ -50,58 +58,126 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(broadcast_measured(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``window, term, offset``: of each window its rarest term.
+def rarest_terms(windows: DataFrame, counts: DataFrame, most: int = RAREST) -> DataFrame:
+    """``wid, rank, term, offset``: the rarest terms of each window, from rank 0 on.
 
     A window with a term that the corpus lacks has no occurrence and is left out.
     """
-    terms = windows.select("window", F.posexplode("window").alias("offset", "term"))
-    counted = terms.join(counts, "term", "left").groupBy("window").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("least"))
-    return counted.where("least.n > 0").select("window", "least.term", "least.offset")
-
+    terms = windows.select("wid", F.posexplode("window").alias("offset", "term")).groupBy("wid", "term").agg(
+        F.min("offset").alias("offset"))
+    counted = terms.join(counts, "term", "left").groupBy("wid").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("rare"))
+    return counted.where(F.col("rare")[0]["n"] > 0).select("wid", F.posexplode(F.slice("rare", 1, most)).alias("rank", "r")).select(
+        "wid", "rank", "r.term", "r.offset")
 
-def postings(documents: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index: ``term, key, content, pos`` and the words within ``reach`` of ``pos``.
 
-    ``around`` starts at word ``pos - at``.
-    """
-    tokens = documents.select("key", "content", "w", F.posexplode("w").alias("pos", "term"))
-    found = tokens.join(broadcast_measured(terms), "term", "left_semi")
-    at = F.least(F.col("pos"), F.lit(reach))
-    return found.select("term", "key", "content", "pos", at.alias("at"),
-                        F.slice("w", F.col("pos") - at + 1, at + reach + 1).alias("around"))
+def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: ``term, key, content, pos`` for every token that is one of ``terms``."""
+    tokens = documents.select("key", "content", F.posexplode("w").alias("pos", "term"))
+    return tokens.join(broadcast_measured(terms), "term", "left_semi").select("term", "key", "content", "pos")
 
 
-def phrase_matches(index: DataFrame, rarest: DataFrame) -> DataFrame:
-    """``key, content, start, n, window``: every occurrence of a window as a phrase."""
-    first = F.col("at") - F.col("offset")
-    n = F.size("window")
-    return (index.join(rarest, "term")
-            .where((first >= 0) & (F.when(first >= 0, F.slice("around", first + 1, n)) == F.col("window")))
-            .select("key", "content", (F.col("pos") - F.col("offset")).alias("start"), n.alias("n"), "window"))
+@dataclass(frozen=True)
+class Index:
+    """Stored tables: ``item, wid``; ``wid, window, n``; rarest terms; postings; and one
+    ``key, content, n_words`` for every row of the documents."""
 
+    items: DataFrame
+    windows: DataFrame
+    rarest: DataFrame
+    postings: DataFrame
+    lengths: DataFrame
 
-def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int) -> DataFrame:
-    """``key, content, pos, window``: postings of a window's rarest term around which all
-    its words stand, in any order, within ``slop`` more words than the window has."""
-    span = F.size("window") + slop
-    near = F.exists(
-        F.sequence(F.greatest(F.col("at") - span + 2, F.lit(1)), F.col("at") + 1),
-        lambda s: F.size(F.array_except("window", F.slice("around", s, span))) == 0)
-    return index.join(rarest, "term").where(near).select("key", "content", "pos", "window")
+    def lists(self, rank: int) -> DataFrame:
+        """The terms of a rank with their windows; bounded by the test items."""
+        return broadcast_measured(self.rarest.where(F.col("rank") == rank).select("wid", "term", "offset"))
 
 
 def build_index(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                item_key: str = "item_id", item_text: str = "text", size: int = WINDOW,
-                slop: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows by item, rarest terms by window, and the stored postings of those terms."""
-    windows = staged(item_windows(items, item_key, item_text, size), "windows")
+                item_key: str = "item_id", item_text: str = "text", size: int = WINDOW) -> Index:
+    cut = staged(item_windows(items, item_key, item_text, size), "windows")
+    windows = staged(cut.select("window").distinct().select(
+        F.monotonically_increasing_id().alias("wid"), "window", F.size("window").alias("n")), "window-ids")
     documents = documents_of(docs, key, text)
     terms = staged(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    rarest = staged(rarest_terms(windows.select("window").distinct(), term_counts(documents, terms)), "rarest")
-    sought = staged(rarest.select("term").distinct(), "sought")
-    return windows, rarest, staged(postings(documents, sought, size - 1 + slop), "postings")
+    rarest = staged(rarest_terms(windows, term_counts(documents, terms)), "rarest")
+    sought = staged(rarest.select("term").union(docs.sparkSession.createDataFrame([(_END,)], "term string")).distinct(), "sought")
+    named = staged(cut.join(windows, "window").select("item", "wid"), "items")
+    # the lengths come with the tokens, so that texts are cut into words twice and no more
+    ended = documents.withColumn("w", F.concat("w", F.array(F.lit(_END))))
+    stored = staged(postings(ended, sought).withColumn("is_end", F.col("term") == _END), "postings", by="is_end")
+    return Index(named, windows, rarest, stored.where("NOT is_end").drop("is_end"),
+                 stored.where("is_end").select("key", "content", F.col("pos").cast("long").alias("n_words")))
+
+
+def _same(key: str = "_key", content: str = "_content") -> Column:
+    return F.col("key").eqNullSafe(F.col(key)) & (F.col("content") == F.col(content))
+
+
+def phrase_places(index: Index) -> DataFrame:
+    """``key, content, wid, start``: where all lists of a window meet at one start; stored."""
+    found = index.postings.join(index.lists(0), "term").select(
+        "wid", "key", "content", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    listed = index.postings.select("term", F.col("key").alias("_key"), F.col("content").alias("_content"), "pos")
+    for rank in range(1, RAREST):
+        following = index.lists(rank)
+        asked = found.join(following, "wid")
+        # the same start in the next list
+        met = asked.join(listed, (asked["term"] == listed["term"]) & _same() & (asked["start"] + asked["offset"] == listed["pos"]),
+                         "left_semi").select(*found.columns)
+        found = met.unionByName(found.join(following, "wid", "left_anti"))  # short windows have fewer lists
+    return staged(found.select("key", "content", "wid", "start").distinct(), "phrase-places")
+
+
+def near_places(index: Index, slop: int = SLOP) -> DataFrame:
+    """``key, content, wid, pos``: postings of a window's rarest term that have others of its
+    rarest terms within ``slop`` more words than the window has; stored."""
+    spans = index.windows.select("wid", (F.col("n") + slop).alias("span"))
+    widest = spans.agg(F.max("span")).first()[0] or 1
+    found = index.postings.join(index.lists(0), "term").join(broadcast_measured(spans), "wid").select("wid", "key", "content", "pos", "span")
+    block = F.floor(F.col("pos") / widest)
+    # a posting stands in its own block and in those beside it, so that near ones share one
+    listed = index.postings.select("term", F.col("key").alias("_key"), F.col("content").alias("_content"), F.col("pos").alias("_pos"),
+                                   F.explode(F.array(block - 1, block, block + 1)).alias("_block"))
+    for rank in range(1, RAREST):
+        following = index.lists(rank).select("wid", "term")
+        asked = found.join(following, "wid").withColumn("block", block)
+        met = asked.join(listed, (asked["term"] == listed["term"]) & _same() & (asked["block"] == listed["_block"])
+                         & (F.abs(asked["pos"] - listed["_pos"]) < asked["span"]), "left_semi").select(*found.columns)
+        found = met.unionByName(found.join(following, "wid", "left_anti"))
+    return staged(found.select("key", "content", "wid", "pos").distinct(), "near-places")
+
+
+def asked_documents(docs: DataFrame, places: list[DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, content, w`` of the documents with places, each once; stored."""
+    asked = places[0].select("key", "content")
+    for more in places[1:]:
+        asked = asked.unionByName(more.select("key", "content"))
+    asked = staged(asked.distinct().withColumnsRenamed({"key": "_key", "content": "_content"}), "asked")
+    given = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(F.col(text))).alias("content"), F.col(text).alias("text"))
+    met = given.join(broadcast_measured(asked), _same(), "left_semi")
+    return staged(met.groupBy("key", "content").agg(F.first("text").alias("text")).select("key", "content", words(F.col("text")).alias("w")), "asked-words")
+
+
+def _read(asked: DataFrame, places: DataFrame, index: Index) -> DataFrame:
+    """Places with their window and the words of their document."""
+    found = places.join(broadcast_measured(index.windows), "wid").withColumnsRenamed({"key": "_key", "content": "_content"})
+    return asked.join(found, _same())
+
+
+def phrase_matches(index: Index, places: DataFrame, asked: DataFrame) -> DataFrame:
+    """``key, content, start, n, wid``: every occurrence of a window as a phrase."""
+    read = _read(asked, places, index).where(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("window"))
+    return read.select("key", "content", "start", "n", "wid")
+
+
+def proximity_matches(index: Index, places: DataFrame, asked: DataFrame, slop: int = SLOP) -> DataFrame:
+    """``key, content, wid``: windows all of whose words stand in some run of ``slop`` more
+    words than the window has; phrases among them."""
+    span = F.col("n") + slop
+    first = F.greatest(F.col("pos") - span + 2, F.lit(1))
+    near = F.exists(F.sequence(first, F.col("pos") + 1), lambda s: F.size(F.array_except("window", F.slice("w", s, span))) == 0)
+    return _read(asked, places, index).where(near).select("key", "content", "wid").distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -115,36 +191,44 @@ def _covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text", size: int = WINDOW,
-                  share: int = 20) -> DataFrame:
-    """One row per document: ``n_words, n_hit, n_items, items_sha256, contaminated``.
+                  share: int = 20, slop: int = SLOP) -> DataFrame:
+    """One row per document: ``n_words, n_hit, n_items, items_sha256, contaminated, n_near``.
 
     A word is hit if it lies in an occurrence of a window; a document is contaminated if
     at least one in ``share`` of its words is hit. ``items`` lists the items with
-    occurring windows as sorted strings. Null or empty texts have no words and are not
+    occurring windows as sorted strings; ``n_near`` counts the items with a window whose
+    words stand near each other, phrases included. Null or empty texts have no words and are not
     contaminated; items without words match nothing; rows with equal key and text get
     equal results; a null key is a key like any other.
     """
-    windows, rarest, index = build_index(docs, items, key, text, item_key, item_text, size)
-    matches = staged(phrase_matches(index, rarest), "matches")
+    index = build_index(docs, items, key, text, item_key, item_text, size)
+    phrases, close_by = phrase_places(index), near_places(index, slop)
+    asked = asked_documents(docs, [phrases, close_by], key, text)
+    matches = staged(phrase_matches(index, phrases, asked), "matches")
+    near = staged(proximity_matches(index, close_by, asked, slop), "near")
     by = ["key", "content"]
     hits = matches.groupBy(*by).agg(F.collect_set(F.struct(
         F.col("start"), (F.col("start") + F.col("n")).alias("end"))).alias("spans"))
     hits = hits.select(*by, _covered(F.array_sort("spans")).cast("long").alias("n_hit"))
-    found = matches.select(*by, "window").distinct().join(windows, "window").select(*by, "item").distinct()
+    found = matches.select(*by, "wid").distinct().join(index.items, "wid").select(*by, "item").distinct()
     found = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    per_document = hits.join(found, (hits.key.eqNullSafe(found.key)) & (hits.content == found.content), "left").select(
-        hits.key.alias("hit_key"), hits.content.alias("hit_content"), "n_hit", "items")
-    counted = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(F.col(text))).alias("content"),
-                          F.size(words(F.col(text))).cast("long").alias("n_words"))
+    close = near.join(index.items, "wid").select(*by, "item").distinct().groupBy(*by).agg(F.count("*").alias("n_near"))
+
+    def with_more(left: DataFrame, right: DataFrame) -> DataFrame:
+        more = right.withColumnsRenamed({"key": "_key", "content": "_content"})
+        return left.join(more, _same(), "left").drop("_key", "_content")
+
+    # every phrase is a near match
+    per_document = with_more(with_more(close, hits), found).withColumnsRenamed({"key": "hit_key", "content": "hit_content"})
+    counted = index.lengths
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
     listed = F.coalesce(F.col("items"), none)
-    return counted.join(
-        per_document, F.col("key").eqNullSafe(F.col("hit_key")) & (F.col("content") == F.col("hit_content")), "left",
-    ).select(
+    return counted.join(per_document, _same("hit_key", "hit_content"), "left").select(
         F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), listed.alias("items"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), listed.alias("items"),
         F.col("content").alias("content_hash"),
     )
 

@@ -98,11 +98,20 @@ dw AS (SELECT r, s, n, w[s:s + n - 1] AS x FROM ds),
 m AS (SELECT r, s, n, item_id FROM dw JOIN bw USING (x)),
 p AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS q FROM m) GROUP BY r),
 i AS (SELECT r, count(*) AS n_items, sha256(string_agg(v, ',' ORDER BY v)) AS h
-      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS v FROM m) GROUP BY r)
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS v FROM m) GROUP BY r),
+-- near: all words of a window within three more words; looked for around its rarest word
+ww AS (SELECT DISTINCT x FROM bw),
+terms AS (SELECT DISTINCT unnest(x) AS term FROM ww),
+pos AS (SELECT r, term, p FROM (SELECT r, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM d) JOIN terms USING (term)),
+freq AS (SELECT term, count(*) AS n FROM pos GROUP BY term),
+rare AS (SELECT x, arg_min(term, (n, term)) AS term FROM (SELECT x, unnest(x) AS term FROM ww) JOIN freq USING (term) GROUP BY x),
+near AS (SELECT DISTINCT q.r, x FROM pos q JOIN rare USING (term) JOIN d ON d.r = q.r
+         WHERE len(list_filter(range(greatest(p - len(x) - 2, 1), p + 1), lambda s: list_has_all(w[s:s + len(x) + 2], x))) > 0),
+c AS (SELECT r, count(DISTINCT item_id) AS n_near FROM near JOIN bw USING (x) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(h, sha256('')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN p USING (r) LEFT JOIN i USING (r)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN p USING (r) LEFT JOIN i USING (r) LEFT JOIN c USING (r)
 """
 
 
