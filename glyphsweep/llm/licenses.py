@@ -1,16 +1,19 @@
 """Licence notices by a trained paragraph classifier, DataFrame functions only.
 
 A paragraph is a line of a text, or a run of lines without an empty one between them, as
-wide as the longest template, so that wrapped notices are met whole. Its features are the word runs of up to three words that
-occur in a licence template and are not made of common words alone. A multinomial
-logistic regression over them is trained in Spark on the templates, on parts of them, on
-sentences that merely mention licences, and on a bounded sample of the corpus' own
-paragraphs, which stand for ``unknown``. The probability from which a prediction counts
-is calibrated on those corpus paragraphs; it is then confirmed by comparing the paragraph
-with the family's templates.
-
-Features hold at least one telling word, so paragraphs without any are unknown as they
-stand; the telling words and the weights are bounded by the templates, not by the data.
+wide as the longest template, so that wrapped notices are met whole; a licence expression
+with OR or AND is one paragraph for each of its licences. What a text says it is not
+licensed under is cut out. Features are the word runs of up to three words that occur in
+a licence template and are not made of common words alone. A multinomial logistic
+regression over them is trained in Spark on the templates, on parts of them, on sentences
+that merely mention licences, and on a bounded sample of the corpus' own paragraphs, which
+stand for ``unknown``. A prediction is confirmed if, of all templates, one of its family
+is the one that the paragraph holds most of, and enough of. The probability from which a
+prediction counts is calibrated on all paragraphs that no template confirms.
+
+Features hold at least one telling word, and a confirmed paragraph a least number of
+them, so other paragraphs are unknown as they stand; the telling words and the weights
+are bounded by the templates, not by the data.
 """
 
 from __future__ import annotations
@@ -60,8 +63,20 @@ TEMPLATES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; either version 2 of the License",
     ],
-    "LGPL": ["Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL": ["Licensed under the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
@@ -69,12 +84,30 @@ TEMPLATES = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
                 "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "ISC": [
+        "Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0",
+        "Use, modification and distribution are subject to the Boost Software License, Version 1.0.",
+    ],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.",
                  "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.",
                  "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.",
+                 "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.",
+                    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.",
+                    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -103,33 +136,69 @@ def grams(found: Column, longest: int = LONGEST) -> Column:
     return F.array_distinct(F.transform(telling, lambda run: F.array_join(run, " ")))
 
 
-def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, content, line, w``: the lines of every text as words."""
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(F.col(text))).alias("content"),
-                        F.posexplode(F.split(text_or_empty(F.col(text)), "\n")).alias("line", "paragraph"))
-    return lines.select("key", "content", "line", words(F.col("paragraph")).alias("w"))
+#: A licence expression, and what stands between its licences.
+_EXPRESSION, _BETWEEN = r"(?i)spdx-license-identifier\s*:\s*(.*)", r"(?i)\s+(?:or|and)\s+|[()]"
+_UNDER = "licen[sc]ed|released|distributed|available|covered|offered|provided|published"
+#: What is said not to hold: in a line up to the end of the sentence or to "but", and in
+#: the words of a run of lines, where sentences have no end, a number of words.
+_NOT_IN_LINE = rf"(?i)\bnot\s+(?:[a-z]+\s+){{0,3}}?(?:{_UNDER})\s+(?:under|by)\b(?:(?!\bbut\b|[.;](?:\s|$)).)*"
+_NOT_IN_RUN = rf"\bnot (?:[a-z]+ ){{0,3}}?(?:{_UNDER}) (?:under|by)(?: (?!but )[^ ]+){{0,8}}"
+
+
+def _line_words(line: Column) -> Column:
+    denied = line.rlike(r"(?i)\bnot\s")
+    return words(F.when(denied, F.regexp_replace(line, _NOT_IN_LINE, " ")).otherwise(line))
+
+
+def _run_words(found: Column) -> Column:
+    said = F.regexp_replace(F.array_join(found, " "), _NOT_IN_RUN, " ")
+    return F.when(F.array_contains(found, "not"), F.array_remove(F.split(said, " "), "")).otherwise(found)
 
 
-def wrapped(docs: DataFrame, key: str, text: str, telling: list[str]) -> DataFrame:
-    """``key, content, line, last, w``: from every line with telling words, the run of lines
-    up to an empty one or to as many words as the longest template has."""
+def documents_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, content, raw, lines``: the lines of every text, and their words."""
+    raw = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(F.col(text))).alias("content"),
+                      F.split(text_or_empty(F.col(text)), "\n").alias("raw"))
+    return raw.select("*", F.transform("raw", _line_words).alias("lines"))
+
+
+def _paragraph(line: Column, last: Column, part: Column, found: Column) -> Column:
+    return F.struct(line.cast("int").alias("line"), last.cast("int").alias("last"), part.cast("int").alias("part"), found.alias("w"))
+
+
+def paragraphs(cut: DataFrame, telling: list[str] | None = None, least: int = 1) -> DataFrame:
+    """``key, content, line, last, part, w``: lines, licences of expressions, runs of lines.
+
+    With ``telling`` words only paragraphs that hold ``least`` different ones, and runs
+    whose first line holds one; a run goes up to an empty line or to as many words as the
+    longest template has.
+    """
     most = max(len(re.findall(r"[A-Za-z0-9]+", t)) for ts in TEMPLATES.values() for t in ts)
-    split = F.transform(F.split(text_or_empty(F.col(text)), "\n"), words)
-    cut = docs.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(F.col(text))).alias("content"), split.alias("lines"))
-    known = F.array(*map(F.lit, telling))
+
+    def tells(found: Column, n: int) -> Column:
+        return F.size(F.array_distinct(F.filter(found, lambda w: w.isin(telling)))) >= n if telling else F.size(found) > 0
+
+    single = F.transform("lines", lambda w, i: _paragraph(i, i, F.lit(0), w))
+    expressions = F.flatten(F.transform(
+        F.filter(F.transform("raw", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(r"(?i)spdx.*\s(?:or|and)\s")),
+        lambda x: F.transform(F.split(F.regexp_extract(x["p"], _EXPRESSION, 1), _BETWEEN), lambda e, j: _paragraph(
+            x["i"], x["i"], j + 1, words(F.concat(F.lit("SPDX-License-Identifier: "), e))))))
 
     def run(i: Column) -> Column:
         none = F.struct(F.array().cast("array<string>").alias("w"), F.lit(0).alias("n"), F.lit(True).alias("open"))
         return F.aggregate(F.slice("lines", i + 1, most), none, lambda a, x: F.when(
             a["open"] & (F.size(x) > 0) & (F.size(a["w"]) < most),
             F.struct(F.concat(a["w"], F.slice(x, 1, most)).alias("w"), (a["n"] + 1).alias("n"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(a["w"].alias("w"), a["n"].alias("n"), F.lit(False).alias("open"))))
+        ).otherwise(F.struct(a["w"].alias("w"), a["n"].alias("n"), F.lit(False).alias("open"))),
+            lambda a: _paragraph(i, i + a["n"] - 1, F.lit(0), _run_words(a["w"])))
 
     # a run needs a second line, and words of a template in its first
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (
-        F.size(F.coalesce(F.get("lines", i + 1), F.array().cast("array<string>"))) > 0) & F.arrays_overlap(F.get("lines", i), known))
-    runs = cut.select("key", "content", F.explode(F.transform(starts, lambda i: F.struct(i.alias("line"), run(i).alias("r")))).alias("s"))
-    return runs.select("key", "content", "s.line", (F.col("s.line") + F.col("s.r.n") - 1).alias("last"), F.col("s.r.w").alias("w"))
+        F.size(F.coalesce(F.get("lines", i + 1), F.array().cast("array<string>"))) > 0) & F.exists(F.get("lines", i), lambda w: (
+            w.isin(telling) if telling else F.lit(False))))
+    every = F.concat(single, expressions, F.transform(starts, run))
+    kept = F.filter(every, lambda x: tells(x["w"], least))
+    return cut.select("key", "content", F.inline(kept))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -155,14 +224,14 @@ class Model:
     weights: DataFrame  # gram, weights (array by family)
     templates: DataFrame  # gram, template, family
     sizes: DataFrame  # template, family, n_grams
-    telling: DataFrame  # word
-    least: float
+    telling: list[str]
+    least_telling: int
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_unknown: int = MOST_UNKNOWN) -> Model:
     spark = docs.sparkSession
     sample = bounded_sample(docs, key, most_unknown, docs.count())
-    other = paragraphs(sample, key, text).where("size(w) > 0").groupBy("key", "content").agg(F.min_by("w", F.xxhash64("line", "content")).alias("w"))
+    other = paragraphs(documents_of(sample, key, text)).where("line = last AND part = 0").groupBy("key", "content").agg(F.min_by("w", F.xxhash64("line", "content")).alias("w"))
     examples = _examples(spark).select("family", "template", grams(F.col("w")).alias("grams"), "w")
     known = examples.where(F.col("family") != UNKNOWN)
     vocabulary = staged(known.select(F.explode("grams").alias("gram")).distinct(), "licence-grams")
@@ -186,16 +255,22 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_unknown
     templates = staged(known.where("template IS NOT NULL").select("family", "template", F.explode("grams").alias("gram")), "licence-templates")
     sizes = templates.groupBy("template", "family").agg(F.count("*").alias("n_grams"))
     content = known.select(F.explode("w").alias("word")).where(~F.col("word").isin(COMMON)).distinct()
-    model = Model(families, [float(x) for x in fitted.interceptVector], weights, templates,
-                  staged(sizes, "licence-sizes"), staged(content, "licence-words"), 0.5)
-    # calibrated: from the probability of being known that few corpus paragraphs reach
-    unknown_rows = table.where(F.col("family") == UNKNOWN).select(
-        F.monotonically_increasing_id().alias("row"), F.explode_outer("grams").alias("gram"))
-    p, scored = _softmax(model, unknown_rows, ["row"])
-    probability = 1 - F.element_at(p, families.index(UNKNOWN) + 1)
-    level = scored.agg(F.percentile_approx(probability, 1 - PASSING, 10_000).alias("p")).first()["p"]
-    model.least = min(0.9, max(0.5, float(level or 0.5)))
-    return model
+    telling = sorted(r["word"] for r in content.collect())
+    grams_of: dict[int, list[str]] = {}
+    for r in templates.select("template", "gram").collect():
+        grams_of.setdefault(r["template"], []).append(r["gram"])
+    least = min(_least_words(g, set(telling)) for g in grams_of.values())
+    return Model(families, [float(x) for x in fitted.interceptVector], weights, templates, staged(sizes, "licence-sizes"), telling, least)
+
+
+def _least_words(found: list[str], telling: set[str]) -> int:
+    """Different telling words without which not enough of a template's features can be there."""
+    of_word = sorted((sum(w in g.split() for g in found) for w in telling), reverse=True)
+    n, reached = 0, 0
+    while reached < CONFIRMED * len(found):
+        reached += of_word[n]
+        n += 1
+    return n
 
 
 def _softmax(model: Model, features: DataFrame, by: list[str]) -> tuple[Column, DataFrame]:
@@ -213,45 +288,46 @@ def _softmax(model: Model, features: DataFrame, by: list[str]) -> tuple[Column,
 def licence_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """``key, content, line, last, family, probability, share``: the confirmed notices.
 
-    ``share`` is how much of the best template of the family the paragraph holds. Of runs of
-    lines that overlap in one family the first counts, and none where one of its lines
-    is a notice of the family by itself.
+    ``share`` is how much of the closest template the paragraph holds. Of runs of lines that
+    overlap the first counts, and none where one of its lines is a notice of the family by
+    itself.
     """
     model = model or train(docs, key, text)
-    lines = paragraphs(docs, key, text)
-    by = ["key", "content", "line", "last"]
-    lines = lines.select("key", "content", "line", F.col("line").alias("last"), "w").unionByName(
-        wrapped(docs, key, text, sorted(r["word"] for r in model.telling.collect())))
-    telling = lines.select(*by, "w", F.explode("w").alias("word")).join(
-        F.broadcast(model.telling), "word", "left_semi").groupBy(*by).agg(F.first("w").alias("w"))
-    features = staged(telling.select(*by, F.explode(grams(F.col("w"))).alias("gram")).join(
+    by = ["key", "content", "line", "last", "part"]
+    lines = paragraphs(documents_of(docs, key, text), model.telling, model.least_telling)
+    features = staged(lines.select(*by, F.explode(grams(F.col("w"))).alias("gram")).distinct().join(
         F.broadcast(model.weights.select("gram")), "gram", "left_semi"), "licence-features")
     p, scored = _softmax(model, features, by)
     unknown = model.families.index(UNKNOWN)
     others = F.transform(p, lambda x, i: F.when(i == unknown, F.lit(-1.0)).otherwise(x))
     best = F.array_position(others, F.array_max(others)).cast("int")
     families = F.array(*map(F.lit, model.families))
-    predicted = scored.where(1 - F.element_at(p, unknown + 1) >= model.least).select(
-        *by, F.element_at(families, best).alias("family"), F.array_max(others).alias("probability"))
-    # null keys stay comparable in these joins
-    same = lambda a, b: a.key.eqNullSafe(b.key) & (a.content == b.content) & (a.line == b.line) & (a.last == b.last)
+    judged = scored.select(*by, (1 - F.element_at(p, unknown + 1)).alias("known"), F.element_at(families, best).alias("family"),
+                           F.array_max(others).alias("probability"))
     held = features.join(F.broadcast(model.templates), "gram").groupBy(*by, "template", "family").agg(F.count("*").alias("n"))
-    shares = held.join(F.broadcast(model.sizes), ["template", "family"]).groupBy(*by, "family").agg(
-        F.max(F.col("n") / F.col("n_grams")).alias("share")).where(F.col("share") >= CONFIRMED)
-    found = predicted.join(shares, same(predicted, shares) & (predicted.family == shares.family)).select(
-        *[predicted[c] for c in by], predicted.family, "probability", "share")
-    return _once(found.distinct())
+    # of all templates the one of which the paragraph holds most
+    shares = held.join(F.broadcast(model.sizes), ["template", "family"]).groupBy(*by).agg(
+        F.max(F.struct((F.col("n") / F.col("n_grams")).alias("share"), "n", "family")).alias("top")).select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("top.share").alias("share"), F.col("top.family").alias("closest"))
+    same = F.lit(True)
+    for c in by:  # null keys stay comparable
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    compared = staged(judged.join(shares, same).select(*by, "known", "family", "probability", "share", "closest"), "licence-compared")
+    level = compared.where(F.col("share") < CONFIRMED).agg(F.percentile_approx("known", 1 - PASSING, 10_000).alias("p")).first()["p"]
+    least = min(0.9, max(0.5, float(level or 0.5)))
+    found = compared.where((F.col("share") >= CONFIRMED) & (F.col("known") >= least) & (F.col("family") == F.col("closest")))
+    return _once(found.select("key", "content", "line", "last", "family", "probability", "share").distinct())
 
 
 def _once(found: DataFrame) -> DataFrame:
     """Without the runs that repeat a notice."""
     of = Window.partitionBy("key", "content", "family")
     single = F.col("line") == F.col("last")
-    before = of.orderBy("line", "last").rowsBetween(Window.unboundedPreceding, -1)
-    after = of.orderBy(F.col("line").desc(), F.col("last").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = of.orderBy(F.col("line").desc(), F.col("last")).rowsBetween(Window.unboundedPreceding, 0)
     # the nearest line from here on that is a notice by itself, and the end of the runs before
     alone = found.withColumn("next", F.min(F.when(single, F.col("line"))).over(after)).where(
         single | F.col("next").isNull() | (F.col("next") > F.col("last")))
+    before = Window.partitionBy("key", "content").orderBy("line", "last", F.desc("share"), "family").rowsBetween(Window.unboundedPreceding, -1)
     ends = alone.withColumn("reached", F.max(F.when(~single, F.col("last"))).over(before))
     return ends.where(single | F.col("reached").isNull() | (F.col("reached") < F.col("line"))).drop("next", "reached")
 
@@ -259,7 +335,8 @@ def _once(found: DataFrame) -> DataFrame:
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """One row per document: the key, ``n_notices, families`` (sorted, comma-joined).
 
-    Null and empty texts have none; rows that repeat key and text get equal results.
+    Null and empty texts have none; rows that repeat key and text get equal results; a
+    null key is a key like any other; an empty table gives no rows.
     """
     found = licence_paragraphs(docs, key, text, model).groupBy("key", "content").agg(
         F.count_distinct("line", "last").alias("n"), F.array_sort(F.collect_set("family")).alias("families"))
