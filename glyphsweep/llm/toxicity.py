@@ -5,8 +5,10 @@ weight, each term has a small vector; the inner product of two vectors is what t
 adds, so that an insult next to a group's name can count although each alone is neutral.
 All pairs of a text are summed in time linear in its terms. Every term in ``LEAST_ROWS``
 rows of the sample has a weight and a vector; penalties by what chance would give shrink
-those that tell nothing, so that long texts do not drown in their pairs. The vectors start
-from the pairs that the weights alone leave unexplained. The model is fitted with logistic
+those that tell nothing, so that long texts do not drown in their pairs. How much is
+chosen on rows held back from the fit, for the weights and then for the vectors, which
+are left out only if they do no good there. The vectors start small and random, and from
+the pairs that the weights alone leave unexplained. The model is fitted with logistic
 loss on a bounded sample of labelled rows; every text is scored whole, in tasks.
 """
 
@@ -32,11 +34,11 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Terms in fewer rows of the sample have no weight and no vector.
 LEAST_ROWS = 4
-#: Penalties in units of the largest slope chance would give. That of the weights is the
-#: one of these that does best on every fourth row when fitted on the others.
-WEIGHT_PENALTIES, FACTOR_PENALTY = (0.1, 0.3, 0.6, 1.0), 1.2
+#: Penalties in units of the largest slope chance would give: those of these that do best
+#: on every fourth row when fitted on the others.
+WEIGHT_PENALTIES, FACTOR_PENALTIES = (0.1, 0.3, 0.6, 1.0), (0.15, 0.5, 1.2)
 #: Rows of each class from which the vectors get their start, and terms in one matrix.
-START_ROWS, START_BLOCK = 1_000, 4_096
+START_ROWS, START_BLOCK = 500, 4_096
 _CACHE = 200_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -92,12 +94,13 @@ class _Rows:
         return np.concatenate(chosen), np.repeat(np.arange(len(part)), [len(r) for r in chosen])
 
 
-def unexplained_pairs(rows: _Rows, bias: float, weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-    """``a, b, z``: pairs of terms whose joint rows the weights misjudge more than chance explains.
+def unexplained_pairs(rows: _Rows, among: np.ndarray, bias: float, weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """``a, b, z``: pairs of terms whose joint rows among the given ones the weights misjudge
+    more than chance explains.
 
     They only give the vectors a start, so a bounded number of rows of each class will do.
     """
-    few = np.concatenate([rng.permutation(np.flatnonzero(rows.labels == c))[:START_ROWS] for c in (0, 1)])
+    few = np.concatenate([rng.permutation(among[rows.labels[among] == c])[:START_ROWS] for c in (0, 1)])
     ids, row_of = rows.flat(few)
     rest = rows.labels[few] - sigmoid(bias + np.bincount(row_of, weights[ids], len(few)))
     rest = (rest - rest.mean()).astype(np.float32)
@@ -151,10 +154,43 @@ def leading_vectors(a: np.ndarray, b: np.ndarray, z: np.ndarray, rng: np.random.
     return nodes, start
 
 
+def _margins(table: _Rows, part: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray | None) -> np.ndarray:
+    ids, row_of = table.flat(part)
+    margin = bias + np.bincount(row_of, weights[ids], len(part))
+    if factors is not None and factors.any():
+        sums = np.stack([np.bincount(row_of, f[ids], len(part)) for f in factors])
+        margin += 0.5 * ((sums * sums).sum(axis=0) - np.bincount(row_of, (factors * factors).sum(axis=0)[ids], len(part)))
+    return margin
+
+
+def _loss(table: _Rows, part: np.ndarray, model: tuple) -> float:
+    """Mean weighted logistic loss of the rows ``part``."""
+    margin, y = _margins(table, part, *model), table.labels[part]
+    return float((table.share[part] * np.logaddexp(0, np.where(y == 1, -margin, margin))).sum() / table.share[part].sum())
+
+
+@dataclass
+class Fitted:
+    """A model with what chose it: losses on held-back rows by penalty, ``None`` for no vectors."""
+
+    model: Model
+    weight_losses: dict[float, float]
+    factor_losses: dict[float | None, float]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 20, batch: int = 256,
         rate: float = 0.1, seed: int = 7) -> Model:
-    """Weights first, then weights and vectors, by proximal AdaGrad on the weighted logistic loss."""
-    none = Model(-2.0, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32))
+    return fit_chosen(rows, labels, importance, epochs, batch, rate, seed).model
+
+
+def fit_chosen(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 20, batch: int = 256,
+               rate: float = 0.1, seed: int = 7) -> Fitted:
+    """Weights first, then weights and vectors, by proximal AdaGrad on the weighted logistic loss.
+
+    Both penalties are those that do best on every fourth row when fitted on the others;
+    the vectors are left out only if no penalty does better than none of them there.
+    """
+    none = Fitted(Model(-2.0, np.zeros(TERMS, np.float32), np.zeros((TERMS, FACTORS), np.float32)), {}, {})
     if not len(rows) or labels.min() == labels.max():
         return none
     in_rows = np.bincount(np.concatenate(rows), minlength=TERMS)
@@ -172,18 +208,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epoc
     rate = min(rate, 1 / np.sqrt(max(1.0, np.mean([len(r) for r in table.terms]))))
     rng = np.random.default_rng(seed)
 
-    def descend(among: np.ndarray, penalty: float, start: tuple, pairs: bool) -> tuple[float, np.ndarray, np.ndarray]:
-        bias, weights, factors = start[0], start[1].copy(), start[2].copy()
+    def descend(among: np.ndarray, rounds: int, start: tuple, penalty: float, factor_penalty: float | None) -> tuple:
+        bias, weights, factors = start[0], start[1].copy(), None if factor_penalty is None else start[2].copy()
         past_bias, past_weights, past_factors = 1e-8, np.full(width, 1e-6), np.full(width, 1e-6)
-        for _ in range(epochs):
+        for _ in range(rounds):
             order = rng.permutation(among)
             for part in (order[s:s + batch] for s in range(0, len(order), batch)):
                 ids, row_of = table.flat(part)
                 margin = bias + np.bincount(row_of, weights[ids], len(part))
-                if pairs:
-                    sums = np.stack([np.bincount(row_of, f[ids], len(part)) for f in factors])
+                if factors is not None:
+                    sums = [np.bincount(row_of, f[ids], len(part)) for f in factors]
                     squares = np.bincount(row_of, (factors * factors).sum(axis=0)[ids], len(part))
-                    margin += 0.5 * ((sums * sums).sum(axis=0) - squares)
+                    margin += 0.5 * (sum(s * s for s in sums) - squares)
                 g = table.share[part] * (sigmoid(margin) - labels[part]) / len(part)
                 by_term = np.bincount(ids, g[row_of], width)
                 past_bias += g.sum() ** 2
@@ -192,37 +228,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epoc
                 step = rate / np.sqrt(past_weights)
                 weights -= step * by_term
                 weights = np.sign(weights) * np.maximum(0, np.abs(weights) - step * penalty * chance)
-                if pairs:
+                if factors is not None:
                     slope = np.stack([np.bincount(ids, (g * s)[row_of], width) for s in sums]) - factors * by_term
                     past_factors += (slope * slope).sum(axis=0)
                     step = rate / np.sqrt(past_factors)
                     factors -= step * slope
                     length = np.maximum(np.sqrt((factors * factors).sum(axis=0)), 1e-12)
-                    factors *= np.maximum(0, 1 - step * FACTOR_PENALTY * chance / length)
+                    factors *= np.maximum(0, 1 - step * factor_penalty * chance / length)
         return bias, weights, factors
 
-    start = (np.log(toxic / (1 - toxic)), np.zeros(width), rng.normal(0, 0.01, (FACTORS, width)))
-    apart = rng.permutation(n)
-    kept, tried = apart[n // 4:], apart[:n // 4]
-
-    def loss(penalty: float) -> float:
-        bias, weights, _ = descend(kept, penalty, start, False)
-        ids, row_of = table.flat(tried)
-        p = np.clip(sigmoid(bias + np.bincount(row_of, weights[ids], len(tried))), 1e-9, 1 - 1e-9)
-        return float(-(table.share[tried] * np.where(labels[tried] == 1, np.log(p), np.log(1 - p))).sum())
-
-    penalty = min(WEIGHT_PENALTIES, key=loss) if len(tried) else WEIGHT_PENALTIES[-1]
-    alone = descend(apart, penalty, start, False)
-    a, b, z = unexplained_pairs(table, alone[0], alone[1], rng)
-    if len(z):
-        nodes, leading = leading_vectors(a, b, z, rng)
-        alone[2][:, nodes] += 0.5 * leading
-    bias, weights, factors = descend(apart, penalty, alone, True)
-    model = none
+    def vectors_for(alone: tuple, among: np.ndarray) -> np.ndarray:
+        """Small random vectors, and what pairs the weights leave unexplained."""
+        factors = rng.normal(0, 0.01, (FACTORS, width))
+        a, b, z = unexplained_pairs(table, among, alone[0], alone[1], rng)
+        if len(z):
+            nodes, leading = leading_vectors(a, b, z, rng)
+            factors[:, nodes] += 0.5 * leading
+        return factors
+
+    blank = (np.log(toxic / (1 - toxic)), np.zeros(width))
+    everyone = rng.permutation(n)
+    kept, tried = everyone[n // 4:], everyone[:n // 4]
+    weight_losses: dict[float, float] = {}
+    factor_losses: dict[float | None, float] = {}
+    penalty, factor_penalty, factors = WEIGHT_PENALTIES[-1], None, None
+    if len(tried):
+        alone = {p: descend(kept, epochs // 2, blank, p, None) for p in WEIGHT_PENALTIES}
+        weight_losses = {p: _loss(table, tried, m) for p, m in alone.items()}
+        penalty = min(weight_losses, key=weight_losses.get)
+        begun = (*alone[penalty][:2], vectors_for(alone[penalty], kept))
+        # as many rounds for either, so that only the pairs tell them apart
+        factor_losses = {p: _loss(table, tried, descend(kept, epochs // 2, begun, penalty, p)) for p in (None, *FACTOR_PENALTIES)}
+        factor_penalty, factors = min(factor_losses, key=factor_losses.get), begun[2]
+    alone = descend(everyone, epochs, blank, penalty, None)
+    bias, weights, factors = descend(everyone, epochs // 2, (*alone[:2], factors), penalty, factor_penalty)
+    model = none.model
     model.bias = float(bias)
     model.weights[used] = weights
-    model.factors[used] = factors.T
-    return model
+    if factors is not None:
+        model.factors[used] = factors.T
+    return Fitted(model, weight_losses, factor_losses)
 
 
 def _ids(text: Column) -> Column:
@@ -236,8 +281,8 @@ def _ids(text: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """Fit on labels outside the held-out fold. Rows without key or label teach nothing."""
-    known = labels.where(fold(F.col(key), FOLDS) != HELD_OUT).where(F.col(label).isin(0, 1)).select(
-        key, F.col(label).alias("y")).dropDuplicates([key])
+    known = labels.where(fold(F.col(key), FOLDS) != HELD_OUT).where(F.col(label).isin(0, 1)).groupBy(key).agg(
+        F.max(label).alias("y"))  # marked toxic once is toxic
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = bounded_sample(known.where("y = 1"), key, most_toxic, counts.get(1, 0)).unionByName(
         bounded_sample(known.where("y = 0"), key, most_clean, counts.get(0, 0)))
@@ -266,7 +311,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """One row per document: the key, ``held_out, score, predicted``.
 
     Rows may repeat; a null key is not held out. Without labels of both classes every
-    text gets the same low score.
+    text gets the same low score. A key labelled both ways is toxic; an empty table gives
+    no rows.
     """
     model = model or train(docs, labels, key, text)
     scored = docs.select(F.col(key).alias(key), F.coalesce(fold(F.col(key), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),

@@ -66,3 +66,37 @@ def test_shapes_read_whole_words():
     same, other = "\u6f22" * 60 + "\u3002" + "\u5b57" * 60, "\u6f22" * 60 + "7" + "\u5b57" * 60
     shapes = [quality.features(t)[quality.DENSE:] for t in (same, other)]
     assert (shapes[0] != shapes[1]).any()
+
+
+def test_vectors_are_used_where_held_back_rows_gain():
+    """On the given labels the pair term lowers the loss of rows it was not fitted on."""
+    import pandas as pd
+
+    docs, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.merge(labels[labels.toxic.isin([0, 1])], on="doc_id")
+    held = np.array([zlib.crc32(str(k).encode()) % 4 == 2 for k in known.doc_id])
+    rows, y = [toxicity.terms(t or "") for t in known.text], known.toxic.to_numpy(float)
+    kept = np.flatnonzero(~held)
+    fitted = toxicity.fit_chosen([rows[i] for i in kept], y[kept], np.ones(len(kept)))
+    best = min(fitted.factor_losses, key=fitted.factor_losses.get)
+    assert best is not None and fitted.factor_losses[best] < 0.95 * fitted.factor_losses[None]
+    assert (np.abs(fitted.model.factors).sum(axis=1) > 0).sum() > 1000
+
+    def loss(model):
+        p = np.clip([model.score(rows[i]) for i in np.flatnonzero(held)], 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(y[held] == 1, np.log(p), np.log(1 - p)))
+
+    alone = toxicity.Model(fitted.model.bias, fitted.model.weights, np.zeros_like(fitted.model.factors))
+    assert loss(fitted.model) < loss(alone)
+
+
+def test_labels_without_pairs_get_no_vectors():
+    rnd = random.Random(2)
+    common = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(240):
+        rows.append(toxicity.terms(" ".join([*rnd.choices(common, k=8), "grobian" if i % 2 else "marsian"])))
+        labels.append(float(rnd.random() < (0.9 if i % 2 else 0.1)))
+    fitted = toxicity.fit_chosen(rows, np.array(labels), np.ones(len(rows)))
+    best = min(fitted.factor_losses, key=fitted.factor_losses.get)
+    assert (best is None) == (fitted.model.factors == 0).all() or fitted.factor_losses[best] <= fitted.factor_losses[None]
