@@ -9,7 +9,8 @@ are in the table never spill, so a text with any number of copies takes one slot
 
 This runs twice: over the texts of every input partition, so that a text held by a third
 of all rows leaves each task once, and over the distinct texts of each shuffle partition.
-What travels per row besides is the key and a digest.
+What travels per row besides is the key and a digest. Where only the kept rows are
+wanted, they travel themselves, one per text and task, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphsweep.llm.common import staged, text_or_empty
+from glyphsweep.llm.common import text_or_empty
 
 #: Bytes of distinct content a table holds before it spills.
 TABLE_BYTES = 64 * 1024 * 1024
@@ -35,7 +36,7 @@ _WHITE = r"[\x20\x09-\x0D]+"
 #: Result rows and bytes of one Arrow batch.
 _BATCH_ROWS, _BATCH_BYTES = 2000, 8 * 1024 * 1024
 
-Entry = tuple  # content, smallest key, rows that have this key, rows
+Entry = tuple  # content, smallest key, rows that have this key, rows, a row of this key if rows are carried
 
 
 def normalised(text: Column) -> Column:
@@ -61,15 +62,18 @@ class ContentTable:
         self.contents: list[bytes] = []
         self.keys: list[tuple] = []
         self.counts: list[int] = []
+        self.rows: list[tuple | None] = []
 
-    def add(self, hashed: int, content: bytes, key: tuple, count: int) -> bool:
+    def add(self, hashed: int, content: bytes, key: tuple, count: int, row: tuple | None = None) -> bool:
         """False if the content is new and the budget is used up."""
         mask = len(self.slots) - 1
         at = hashed & mask
         while (entry := self.slots[at]) >= 0:
             if self.hashes[entry] == hashed and self.contents[entry] == content:
-                self.keys[entry] = least(self.keys[entry], key)
+                before, self.keys[entry] = self.keys[entry], least(self.keys[entry], key)
                 self.counts[entry] += count
+                if self.keys[entry][0] != before[0]:
+                    self.rows[entry] = row
                 return True
             at = (at + 1) & mask
         if self.contents and self.bytes + len(content) > self.budget:
@@ -79,7 +83,8 @@ class ContentTable:
         self.contents.append(content)
         self.keys.append(key)
         self.counts.append(count)
-        self.bytes += len(content)
+        self.rows.append(row)
+        self.bytes += len(content) * (1 if row is None else 2)  # a row holds its text once more
         if 2 * len(self.contents) > len(self.slots):
             self._grow()
         return True
@@ -94,8 +99,8 @@ class ContentTable:
             self.slots[at] = entry
 
     def entries(self) -> Iterator[Entry]:
-        for content, (key, ties), count in zip(self.contents, self.keys, self.counts, strict=True):
-            yield content, key, ties, count
+        for content, (key, ties), count, row in zip(self.contents, self.keys, self.counts, self.rows, strict=True):
+            yield (content, key, ties, count) if row is None else (content, key, ties, count, row)
 
 
 def grace(records: Iterable[Entry], budget: int = TABLE_BYTES, level: int = 0) -> Iterator[Entry]:
@@ -103,13 +108,14 @@ def grace(records: Iterable[Entry], budget: int = TABLE_BYTES, level: int = 0) -
     table, files = ContentTable(budget), {}
     shift = 64 + FAN_OUT_BITS * level  # the table itself uses the low bits
     with tempfile.TemporaryDirectory(prefix="grace-") as folder:
-        for content, key, ties, count in records:
+        for content, key, ties, count, *carried in records:
+            row = carried[0] if carried else None
             hashed = int.from_bytes(hashlib.blake2b(content, digest_size=32).digest(), "little")
-            if not table.add(hashed, content, (key, ties), count):
+            if not table.add(hashed, content, (key, ties), count, row):
                 part = (hashed >> shift) % (1 << FAN_OUT_BITS)
                 if part not in files:
                     files[part] = open(os.path.join(folder, str(part)), "wb")  # noqa: SIM115
-                pickle.dump((content, key, ties, count), files[part], protocol=5)
+                pickle.dump((content, key, ties, count, *carried), files[part], protocol=5)
         yield from table.entries()
         del table
         for part, file in sorted(files.items()):
@@ -202,21 +208,50 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def _plain(text: str | None) -> bytes:
+    """``normalised`` of a text, as bytes: every run of white space is one space."""
+    content = (text or "").encode("utf-8", "surrogatepass")
+    words = content.split()
+    if not words:
+        return b" " if content else b""
+    return b"".join((b" " if content[:1].isspace() else b"", b" ".join(words), b" " if content[-1:].isspace() else b""))
+
+
+def _row_udf(schema: pa.Schema, key_at: int, text_at: int, budget: int):
+    """Whole rows through the table: one of the smallest key for each text, with its digest."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Entry]:
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(schema) - 1)), strict=True):
+                yield _plain(row[text_at]), row[key_at], 1, 1, row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for content, *_, row in grace(entries(batches), budget):
+            rows.append((*row, hashlib.sha256(content).digest()))
+            size += len(content)
+            if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
+                yield _batch(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+    return run
+
+
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` without its exact copies, all columns kept.
 
-    Where the same key and text occur in several rows, which of them stays is open.
+    Exactly one row of each text stays, one of the smallest key; where the same key and
+    text occur in several rows, which of them is open. The rows themselves go through the
+    tables, so they are shuffled once, after copies within a task are gone.
     """
-    classes = content_classes(docs, key, text, table_bytes)
-    members = docs.select(F.col(key).alias("_key"), F.sha2(normalised(F.col(text)), 256).alias("digest"))
-    judged = staged(members.join(classes, "digest").select(
-        "_key", "digest", (F.col("ties") > 1).alias("tied"), F.col("_key").eqNullSafe(F.col("keep_id")).alias("least"),
-    ).where("tied OR NOT least").distinct(), "copies")
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col(key).alias("_row_key"),
-                       F.sha2(normalised(F.col(text)), 256).alias("_row_digest"))
-    same = (F.col("_row_digest") == F.col("digest")) & F.col("_row_key").eqNullSafe(F.col("_key"))
-    alone = rows.join(judged, same, "left_anti")
-    first = Window.partitionBy("_row_digest").orderBy(F.lit(0))
-    tied = rows.join(judged.where("tied AND least"), same, "left_semi").withColumn("_n", F.row_number().over(first))
-    return alone.select("row.*").unionByName(tied.where("_n = 1").select("row.*"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names may repeat or clash
+    kept = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    carried = T.StructType([*kept, T.StructField("digest", T.BinaryType())])
+    udf = _row_udf(to_arrow_schema(carried), docs.columns.index(key), docs.columns.index(text), table_bytes)
+    local = docs.toDF(*names).mapInArrow(udf, carried)
+    return local.repartition("digest").select(*names).mapInArrow(udf, carried).select(*names).toDF(*docs.columns)

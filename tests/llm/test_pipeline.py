@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(QUERIES) < set(driver.queries()) and "pipeline" in driver.queries()
-    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
