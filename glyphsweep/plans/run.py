@@ -37,7 +37,6 @@ from glyphsweep.plans.store import (
     Attempt,
     exists,
     latest_run,
-    log_version,
     new_attempt,
     new_run_id,
     read_run,
@@ -313,8 +312,7 @@ def apply(
     attempt, seen = new_attempt(run_id or new_run_id()), None
     target = f"{out.rstrip('/')}/run_id={attempt.run_id}"
     if store is not None:
-        seen = log_version(spark, store)
-        refuse_recorded(spark, store, attempt.run_id)
+        seen = refuse_recorded(spark, store, attempt.run_id)
         target = f"{target}/attempt={attempt.attempt}"
     if exists(spark, target):
         raise ValueError(f"PATH_ALREADY_EXISTS: {target}, perhaps an input of the run")

@@ -148,9 +148,13 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("run_id")).limit(1)
 
 
-def refuse_recorded(spark: SparkSession, store: str, run_id: str) -> None:
-    if not read_runs(spark, store).where(F.col("run_id") == run_id).isEmpty():
+def refuse_recorded(spark: SparkSession, store: str, run_id: str) -> int:
+    """The newest number of a log that does not hold the run; an error if it does."""
+    same = F.coalesce(F.max(F.col("run_id") == run_id), F.lit(False))
+    last, recorded = read_runs(spark, store).agg(F.coalesce(F.max("version"), F.lit(0)), same).first()
+    if recorded:
         raise RunConflict(f"run {run_id} is already recorded")
+    return last
 
 
 def record(spark: SparkSession, store: str, attempt: Attempt, seen: int | None = None) -> int | None:
@@ -161,11 +165,10 @@ def record(spark: SparkSession, store: str, attempt: Attempt, seen: int | None =
     """
     if attempt.n_entries == 0:
         return None
-    seen = log_version(spark, store) if seen is None else seen
     checked = seen
     while True:
-        last = log_version(spark, store)
-        refuse_recorded(spark, store, attempt.run_id)
+        last = refuse_recorded(spark, store, attempt.run_id)
+        checked = last if checked is None else checked
         if last > checked:
             new = read_runs(spark, store).where(F.col("version").between(checked + 1, last))
             for other in new.select("run_id", "attempt").collect():  # runs that finished while this one worked
