@@ -240,4 +240,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     bad = staged(contamination(docs, items, key, text, item_key, item_text, size, share).where("contaminated").select(
         F.col(key).alias("_bad_key"), F.col("content_hash").alias("_bad_content")), "contaminated")
     same = F.col(key).eqNullSafe(F.col("_bad_key")) & (F.xxhash64(text_or_empty(F.col(text))) == F.col("_bad_content"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(broadcast_measured(bad), same, "left_anti")

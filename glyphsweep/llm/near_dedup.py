@@ -325,5 +325,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one document of each class, all columns kept; rows without key stay."""
-    gone = near_dedup(docs, key, text, similar).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = staged(near_dedup(docs, key, text, similar).where("NOT kept").select(F.col(key).alias("_gone")).distinct(), "gone")
+    return docs.join(broadcast_measured(gone), F.col(key) == F.col("_gone"), "left_anti")
