@@ -106,3 +106,21 @@ def test_a_stream_of_no_rows(spark, tmp_path):
     assert attempt.n_entries == 0 and store.record(spark, place, attempt) is None
     with pytest.raises(ValueError):
         store.read_run(spark, place, attempt.run_id)
+
+
+def test_files_share_groups_of_state(spark, tmp_path):
+    """A group of its own for every file costs a task milliseconds a file; mode is null for some, a repeat stays known."""
+    names = [f"f{i}" for i in range(600)]  # some of their hashes end in a zero byte
+    first = [save(n, order) for n in names for order in (3, 2)]
+    first = [(*r[:3], None if int(r[2][1:]) % 3 else r[3], *r[4:]) for r in first]
+    batches = [first, [save(n, 4) for n in names] + [save("new", 4)], [save("late", 5, at=NOON + 40 * HOUR)], [save("f1", 6, at=NOON + 40 * HOUR)]]
+    for rows in batches:
+        stream = feed(spark, f"{tmp_path}/in", rows, SAVES)
+        query = S.first_saved_stream(stream, buckets=8).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(
+            availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 8
+    rows = {r.path: r for r in spark.read.schema(SAVES).parquet(f"{tmp_path}/out").collect()}
+    assert sorted(rows) == sorted([*names, "new", "late"]) and spark.read.parquet(f"{tmp_path}/out").count() == 602
+    assert all(rows[n].step_ord == 2 and rows[n].mode == (None if int(n[1:]) % 3 else 0o644) for n in names)
+    assert bytes(rows["f7"].content) == b"f7 at 2" and rows["f7"].steps == ["s2"]
