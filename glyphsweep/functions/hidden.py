@@ -163,7 +163,7 @@ def first_hidden_position(c: Column | str, **opts) -> Column:
     rules = hidden_rules(**opts)
     ahead = F.get(F.split(c, hidden_class(rules), 2), F.lit(0))
     ahead_bytes = sql_over(c, f"split({raw.text_sql('CAST(t AS BINARY)')}, {sql_string(raw.hidden_bytes(rules))}, 2)[0]")
-    units = F.when(F.is_valid_utf8(c), F.char_length(ahead)).otherwise(F.regexp_count(ahead_bytes, F.lit(raw.UNIT)))
+    units = F.when(F.is_valid_utf8(c), F.char_length(ahead)).otherwise(sql_over(ahead_bytes, raw.units_sql("t")))
     return F.when(contains_hidden(c, **opts), units + 1).otherwise(F.char_length(c) * 0)
 
 
@@ -246,7 +246,7 @@ def _byte_measures_sql(rules: Iterable[CharRule]) -> str:
         'rune', {raw.rune_sql("p[i + 1]")},
         'bytes', CAST(char_length(piece) AS BIGINT),
         'lines', CAST(char_length(piece) - char_length(replace(piece, '\\n', '')) AS BIGINT),
-        'chars', CAST(regexp_count({last_line}, {sql_string(raw.UNIT)}) AS BIGINT))"""
+        'chars', CAST({raw.units_sql(last_line)} AS BIGINT))"""
     ahead = "slice(p, 1, size(p) - 1)"
     return sql_let(_byte_pieces_sql(rules), "p", f"transform({ahead}, (piece, i) -> {measure})")
 

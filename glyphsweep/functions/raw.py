@@ -12,8 +12,10 @@ The SQL texts are over ``t``, the value as BINARY.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+from glyphsweep.functions.bind import sql_string
 from glyphsweep.rules import BOM, CharRule
 
 LATIN = "'ISO-8859-1'"
@@ -67,7 +69,10 @@ def hidden_bytes(rules: Iterable[CharRule], lead: str = "") -> str:
     ranges = [r for rule in rules for r in rule.ranges]
     if not ranges:
         return r"(?!)"
-    body = f"(?:{'|'.join(byte_sequences(ranges))})"
+    sequences = byte_sequences(ranges)
+    # one class decides at most bytes that none of the sequences begins here
+    firsts = "".join(dict.fromkeys(re.match(r"\[[^]]*\]|\\x..", x)[0].strip("[]") for x in sequences))
+    body = f"(?=[{firsts}])(?:{'|'.join(sequences)})"
     has_bom = any(lo <= BOM <= hi for lo, hi in ranges)
     return body + (rf"(?<!\A{lead}\xEF\xBB\xBF)" if has_bom else "")
 
@@ -76,6 +81,20 @@ def hidden_bytes(rules: Iterable[CharRule], lead: str = "") -> str:
 UNIT = "(?s)(?:" + "|".join(byte_sequences([(0x0, 0x10FFFF)])) + "|.)"
 
 
+#: The same for units that begin with a byte beyond ASCII.
+_HIGH_UNIT = "(?=[\\x80-\\xFF])(?:" + "|".join(byte_sequences([(0x80, 0x10FFFF)])) + "|[\\x80-\\xFF])"
+
+
+def units_sql(text: str) -> str:
+    """SQL text for the number of decoded units of a text of one character per byte.
+
+    Characters beyond ASCII take two bytes there, so those of ASCII, each a unit, are
+    counted by lengths and only the others are matched.
+    """
+    return (f"CASE WHEN octet_length({text}) = char_length({text}) THEN char_length({text}) ELSE "
+            f"2 * char_length({text}) - octet_length({text}) + regexp_count({text}, {sql_string(_HIGH_UNIT)}) END")
+
+
 def text_sql(t: str = "t") -> str:
     """SQL text for the bytes as one character each."""
     return f"decode({t}, {LATIN})"

@@ -57,6 +57,14 @@ def test_units_are_what_a_decoder_reads():
         assert [m[0].encode("latin-1") for m in unit.finditer(content.decode("latin-1"))] == [u for _, u, _ in brute.units(content)]
 
 
+def test_units_are_counted_without_matching_ascii(spark):
+    given = [*contents(300, 9), bytes(range(256)), "a\u00e9\u4e2d\U0001f600".encode() + b"\xc3a\xa9\xe2\x80"]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(given)], "id int, b binary")
+    counted = df.selectExpr("id", f"{raw.text_sql('b')} AS t").selectExpr("id", f"{raw.units_sql('t')} AS n").collect()
+    assert {r.id: r.n for r in counted} == {i: len(list(brute.units(c))) for i, c in enumerate(given)}
+    assert raw.hidden_bytes(hidden_rules()).startswith("(?=[")  # most bytes meet one class, not every alternative
+
+
 def test_byte_patterns_match_the_ranges_alone():
     ranges = [r for rule in hidden_rules(typography=True) for r in rule.ranges]
     pattern = re.compile("|".join(raw.byte_sequences(ranges)))

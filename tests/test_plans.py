@@ -113,3 +113,11 @@ def test_restoring_a_bucketed_table_moves_no_file(spark, tree, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
         spark.sql("DROP TABLE bucketed_files")
+
+
+def test_pieces_do_not_read_their_text_again(docs):
+    """What is worked out of a whole text stands below the generator, once a text."""
+    for kind in ("string", "binary"):
+        plan = physical(text_ops.running_positions(docs.select("doc_id", F.col("text").cast(kind).alias("c")), "doc_id", "c"))
+        above, below = plan.split("Generate ", 1)
+        assert "isValid" not in above and "isValid" in below
