@@ -282,12 +282,15 @@ def encode(text: Column, path: str) -> Column:
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
-        for batch in batches:
-            rows = list(words.encode_all(batch))
-            yield pd.DataFrame({
-                "ids": [[i for (i,) in struct.iter_unpack("<I", ids)] for ids, _ in rows],
-                "decoded": [d for _, d in rows],
-            })
+        try:
+            for batch in batches:
+                rows = list(words.encode_all(batch))
+                yield pd.DataFrame({
+                    "ids": [[i for (i,) in struct.iter_unpack("<I", ids)] for ids, _ in rows],
+                    "decoded": [d for _, d in rows],
+                })
+        finally:
+            words.known.clear()
 
     return run(text_or_empty(text))
 
@@ -300,12 +303,15 @@ def digests(text: Column, path: str) -> Column:
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
-        for batch in batches:
-            rows = []
-            for ids, decoded in words.encode_all(batch):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
-                             hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                rows = []
+                for ids, decoded in words.encode_all(batch):
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                                 hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # the process goes on to tasks of other stages
+            words.known.clear()
 
     return run(text_or_empty(text))
 

@@ -60,6 +60,14 @@ class _WordHashes(dict):
 _word_hashes = _WordHashes()
 
 
+def _forgetting(rows: Iterator) -> Iterator:
+    """``rows``; then the words are forgotten, since the process goes on to tasks of other stages."""
+    try:
+        yield from rows
+    finally:
+        _word_hashes.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -204,7 +212,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     texts = texts_of(staged(nodes.join(asked, "node", "left_semi").select("node", "name", "key"), "needed"), docs, key, text)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
-    found = both.select("a", "b", "packed_a", "packed_b").mapInArrow(_overlaps, "a long, b long, similarity double")
+    found = both.select("a", "b", "packed_a", "packed_b").mapInArrow(lambda batches: _forgetting(_overlaps(batches)), "a long, b long, similarity double")
     return found.where(F.col("similarity") >= similar)
 
 
@@ -242,7 +250,7 @@ def _across(similar: float, least: float):
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links, strict=True)], names=["a", "b", "similarity"])
 
-    return run
+    return lambda batches: _forgetting(run(batches))
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -301,7 +309,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), text_or_empty(F.col(text)).alias("text"))
-    rows = staged(named.mapInArrow(_signatures, f"key {kind}, name binary, signature binary"), "signatures")
+    rows = staged(named.mapInArrow(lambda batches: _forgetting(_signatures(batches)), f"key {kind}, name binary, signature binary"), "signatures")
     worded = rows.where("name IS NOT NULL AND key IS NOT NULL")
     nodes = staged(worded.groupBy("name").agg(F.min(F.struct("key", "signature")).alias("least")).select(
         F.monotonically_increasing_id().alias("node"), "name", F.col("least.key").alias("key"),

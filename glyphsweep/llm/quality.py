@@ -58,6 +58,13 @@ class _ShapeIds(dict):
 
 
 _shape_ids = _ShapeIds()
+
+
+def _forget() -> None:
+    """At the end of a task: its process goes on to tasks of other stages."""
+    _shape_ids.clear()
+
+
 DENSE = 26
 
 
@@ -119,8 +126,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 def _vectors(text: Column) -> Column:
     @F.pandas_udf(T.BinaryType())
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([features(t).tobytes() for t in batch])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for batch in batches:
+                yield pd.Series([features(t).tobytes() for t in batch], dtype="object")
+        finally:
+            _forget()
 
     return run(text_or_empty(text))
 
@@ -148,8 +159,11 @@ def score(text: Column, model: Model) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([float(model.score(features(t))) for t in batch], dtype="float64")
+        try:
+            for batch in batches:
+                yield pd.Series([float(model.score(features(t))) for t in batch], dtype="float64")
+        finally:
+            _forget()
 
     return run(text_or_empty(text))
 

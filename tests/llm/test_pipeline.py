@@ -6,11 +6,12 @@ import hashlib
 import re
 import struct
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from glyphsweep.llm import quality
+from glyphsweep.llm import bpe, near_dedup, quality
 from glyphsweep.llm.common import table
 from glyphsweep.llm.queries import ORACLE, QUERIES, vocabulary_path
 from tests.compare import connect, differences
@@ -53,3 +54,20 @@ def test_pipeline_against_brute_force(spark):
     assert got == want
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_tasks_leave_no_words_in_their_processes(spark):
+    """Processes are used again by the stages that follow: what each remembered would add up."""
+    docs = spark.range(4_000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', 'word', md5(cast(id AS string)), sha1(cast(id AS string)), 'a few words more of', id % 900) AS text").repartition(8)
+    labels = spark.range(4_000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS quality")
+    kept = near_dedup.drop_near_copies(quality.keep_good(docs, labels, threshold=0.0))
+    assert bpe.encode_documents(kept, vocabulary_path()).count() == kept.count()
+    bpe.encode_documents(docs, vocabulary_path()).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"n": [len(quality._shape_ids) + len(near_dedup._word_hashes) + len(bpe.vocabulary(vocabulary_path()).known)]})
+
+    assert spark.range(0, 64, 1, 16).mapInPandas(held, "n long").agg({"n": "max"}).first()[0] == 0
